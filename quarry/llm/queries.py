@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.bpe import encode_decode
 from quarry.llm.jaccard_join import jaccard_components
 
 
@@ -11,11 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), "rb") as file:
+        ranks = file.read()
+    return encode_decode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85, label="op4")
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
 }
 SQL: dict[str, str] = {}
