@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import encode_decode
+from quarry.llm import mixing
 from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.substring_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -24,8 +30,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85, label="op4")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), label="op6")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_source_mix": op6_source_mix,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_source_mix": mixing.SQL}
