@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_decode
-from quarry.llm import mixing
+from quarry.llm import chat, mixing, va_search
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.substring_dedup import repeated_passages
 
@@ -30,15 +31,28 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85, label="op4")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(turns.withColumn("parts", chat.text_parts())))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), label="op6")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, label="op8")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_chat_format": op5_chat_format,
     "op6_source_mix": op6_source_mix,
+    "op8_exact_search": op8_exact_search,
 }
-SQL: dict[str, str] = {"op6_source_mix": mixing.SQL}
+SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
