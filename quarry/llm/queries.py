@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_decode
-from quarry.llm import chat, mixing, va_search
+from quarry.llm import chat, mixing, quality, va_search
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.substring_dedup import repeated_passages
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), label="op2")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -49,10 +53,11 @@ def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_source_mix": op6_source_mix,
     "op8_exact_search": op8_exact_search,
 }
-SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
