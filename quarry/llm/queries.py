@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import encode_decode
 from quarry.llm import chat, mixing, quality, va_search
 from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.language_id import identify
 from quarry.llm.substring_dedup import repeated_passages
 
 
@@ -47,6 +48,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, label="op8")
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_source_mix": op6_source_mix,
+    "op7_language_id": op7_language_id,
     "op8_exact_search": op8_exact_search,
 }
 SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
