@@ -9,6 +9,7 @@ from quarry.llm.bpe import encode_decode
 from quarry.llm import chat, mixing, quality, va_search
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.language_id import identify
+from quarry.llm.pii import find_pii
 from quarry.llm.secret_scan import scan
 from quarry.llm.substring_dedup import repeated_passages
 
@@ -57,6 +58,10 @@ def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, label="op8")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_language_id": op7_language_id,
     "op8_exact_search": op8_exact_search,
+    "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
