@@ -1,15 +1,80 @@
-"""The corpus pipeline: stages over documents, each one of the corpus operators."""
+"""The corpus pipeline: stages over documents, each one of the corpus operators.
+
+Every stage works on all rows that its predecessor kept, and is written as Parquet and
+reread before the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.bpe import encode_decode
+from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.language_id import UNKNOWN, held_out, learn, predict
+from quarry.llm.mixing import mix
+from quarry.llm.secret_scan import redact
+from quarry.plans.staging import stage
+
+#: Documents whose best cosine is below this are in no learned language.
+LEAST_SCORE = 0.02
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: rejects texts without letters, and those like no language."""
+    model = learn(docs.where(~held_out("doc_id")), "text", "lang")
+    judged = predict(docs, model, "text")
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (five words, 0.8): the least doc_id of each group stays."""
+    groups = jaccard_components(docs, width=5, percent=80, label="pipeline-jaccard")
+    drop = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
+    few = drop.count() <= 2_000_000
+    kept = docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti")
+    return kept.select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: every secret in a text is replaced by a mark."""
+    return redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: a document appears as often as the mix holds it."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
+    mixed = mix(docs, label="pipeline-mix", carry=tuple(carry)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: ids of every text, decoded again to hold them against it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        ranks = file.read()
+    return encode_decode(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE", tokens),
+]
 
-STAGES: list = []
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each staged in the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage_of in STAGES:
-        docs = stage_of(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{i}")
     return docs
