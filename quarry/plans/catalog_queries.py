@@ -1,6 +1,550 @@
-"""Named queries over the driver's tables, with their SQL."""
+"""Named queries over the driver's tables and over inline code, with their SQL.
+
+The graph queries run on the foreign-key reference graph of the tables; extraction and
+diagnostics run on code and tool output given inline, with their rows as VALUES.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import diagnostics, text
+from quarry.operators import affected_tests, catalog, graph, replay, symbols, traverse, validation
+from quarry.plans import code_fixtures as code
+from quarry.plans.fk_graph import WITH, fk_edges, fk_nodes
+from quarry.sources import files as source_files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ROOT = "region:0"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if it has any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """Rows as a SQL table; the columns carry their types as ``name TYPE``."""
+    names = [c.rsplit(" ", 1) for c in columns.split(", ")]
+    show = lambda v: "NULL" if v is None else ("TRUE" if v else "FALSE") if isinstance(v, bool) else repr(v) if isinstance(v, int | float) else "[" + ", ".join(map(show, v)) + "]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
+    body = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+    quoted = [f'"{n}"' for n, _ in names]
+    return f"SELECT {', '.join(f'CAST({q} AS {t}) AS {q}' for q, (_, t) in zip(quoted, names, strict=True))} FROM (VALUES {body}) AS v({', '.join(quoted)})"
+
+
+# graph: counts, neighbours, dependencies
+
+
+@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS call_count FROM e GROUP BY ALL ORDER BY call_count DESC, symbol, file LIMIT 10")
+def hotspots(spark, d):
+    return graph.hotspots(fk_edges(spark, d), 10)
+
+
+@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS call_count FROM e WHERE dst_file = 'part' GROUP BY ALL ORDER BY call_count DESC, symbol, file LIMIT 5")
+def hotspots_for_file(spark, d):
+    return graph.hotspots(fk_edges(spark, d), 5, "part")
+
+
+_CALLER = "src_name AS caller, src_file AS caller_file, src_type AS caller_type, src_line AS caller_line, call_line"
+
+
+@query(f"{WITH} SELECT {_CALLER} FROM e WHERE dst_name = 'part:1'")
+def callers(spark, d):
+    return graph.callers(fk_edges(spark, d), "part:1")
+
+
+@query(f"{WITH} SELECT {_CALLER} FROM e WHERE dst_name = 'nation:1' AND src_file = 'supplier'")
+def callers_in_file(spark, d):
+    return graph.callers(fk_edges(spark, d), "nation:1", "supplier")
+
+
+@query(f"{WITH} SELECT count(*) AS caller_count FROM e WHERE dst_name = 'nation:1'")
+def caller_count(spark, d):
+    return graph.callers(fk_edges(spark, d), "nation:1").agg(F.count("*").alias("caller_count"))
+
+
+@query(f"{WITH} SELECT dst_name AS callee, dst_file AS callee_file, dst_type AS callee_type, dst_line AS callee_line, call_line FROM e WHERE src_name = 'orders:1'")
+def callees(spark, d):
+    return graph.callees(fk_edges(spark, d), "orders:1")
+
+
+@query(f"{WITH} SELECT src_file AS source_module, dst_file AS target_module, count(*) AS call_count FROM e WHERE src_file <> dst_file GROUP BY ALL")
+def module_dependencies(spark, d):
+    return graph.module_dependencies(fk_edges(spark, d))
+
+
+@query(f"{WITH} SELECT src_file AS source_module, dst_file AS target_module, count(*) AS call_count FROM e WHERE src_file <> dst_file AND src_file = 'orders' GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10")
+def module_dependencies_for_file(spark, d):
+    return graph.module_dependencies(fk_edges(spark, d), "orders", 10)
+
+
+@query(f"{WITH} SELECT (SELECT count(*) FROM n) AS total_nodes, (SELECT count(*) FROM e) AS total_edges")
+def graph_totals(spark, d):
+    return graph.totals(fk_nodes(spark, d), fk_edges(spark, d))
+
+
+@query(f"{WITH} SELECT (SELECT count(*) FROM n WHERE file_path = 'orders') AS total_nodes, (SELECT count(*) FROM e WHERE src_file = 'orders') AS total_edges")
+def file_totals(spark, d):
+    return graph.totals(fk_nodes(spark, d), fk_edges(spark, d), "orders")
+
+
+@query(f"""{WITH}, h AS (SELECT dst_name AS a, dst_file AS b, count(*) AS c FROM e GROUP BY ALL ORDER BY c DESC, a, b LIMIT 5),
+m AS (SELECT src_file AS a, dst_file AS b, count(*) AS c FROM e WHERE src_file <> dst_file GROUP BY ALL ORDER BY c DESC, a, b LIMIT 10)
+SELECT (SELECT count(*) FROM n) AS total_nodes, (SELECT count(*) FROM e) AS total_edges,
+(SELECT list(a || '|' || b || '|' || c ORDER BY c DESC, a, b) FROM h) AS hotspots, (SELECT list(a || '|' || b || '|' || c ORDER BY c DESC, a, b) FROM m) AS module_dependencies""")
+def graph_stats(spark, d):
+    return graph.graph_stats(fk_nodes(spark, d), fk_edges(spark, d))
+
+
+@query("SELECT 'events' AS file_path, event_type AS symbol_name, CAST(user_id AS INTEGER) AS line_number, 'e' AS symbol_type, CAST(min(event_id) AS VARCHAR) AS signature FROM events GROUP BY event_type, user_id")
+def node_dedupe(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(F.lit("events").alias("file_path"), F.col("event_type").alias("symbol_name"), F.col("user_id").cast("int").alias("line_number"), F.lit("e").alias("symbol_type"), F.col("event_id").cast("string").alias("signature"), F.col("event_id").alias("ordinal"))
+    return graph.dedupe_nodes(rows)
+
+
+def _parts(spark, d):
+    """Parts as symbols of their brand's file, and references between neighbouring keys."""
+    p = table(spark, d, "part")
+    nodes = p.select(F.col("p_brand").alias("file_path"), F.col("p_type").alias("symbol_name"), F.lit("t").alias("symbol_type"), F.col("p_partkey").cast("int").alias("line_number"))
+    raw = p.alias("a").join(p.alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_brand").alias("file_path"), F.col("a.p_type").alias("source"), F.col("b.p_type").alias("target"), F.lit("calls").alias("edge_type"), F.col("a.p_size").alias("line_number"))
+    return nodes, raw
+
+
+_PARTS = """WITH nn AS (SELECT p_brand AS f, p_type AS s, CAST(min(p_partkey) AS INTEGER) AS line FROM part GROUP BY ALL),
+r AS (SELECT a.p_brand AS f, a.p_type AS s, b.p_type AS t, a.p_size AS line FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+
+
+@query(f"{_PARTS} SELECT r.f AS src_file, r.s AS src_name, 't' AS src_type, x.line AS src_line, r.f AS dst_file, r.t AS dst_name, 't' AS dst_type, y.line AS dst_line, 'calls' AS edge_type, r.line AS call_line FROM r JOIN nn x ON x.f = r.f AND x.s = r.s JOIN nn y ON y.f = r.f AND y.s = r.t")
+def edge_resolution_file(spark, d):
+    return graph.resolve_edges(*_parts(spark, d), "file")
+
+
+@query(f"""{_PARTS}, far AS (SELECT s, min({{'f': f, 'line': line}}) AS w FROM nn GROUP BY s)
+SELECT r.f AS src_file, r.s AS src_name, 't' AS src_type, x.line AS src_line, coalesce(y.f, far.w.f) AS dst_file, r.t AS dst_name, 't' AS dst_type, coalesce(y.line, far.w.line) AS dst_line, 'calls' AS edge_type, r.line AS call_line
+FROM r JOIN nn x ON x.f = r.f AND x.s = r.s LEFT JOIN nn y ON y.f = r.f AND y.s = r.t JOIN far ON far.s = r.t""")
+def edge_resolution_project(spark, d):
+    return graph.resolve_edges(*_parts(spark, d), "project")
+
+
+@query(f"{WITH} SELECT src_file, count(*) AS edges FROM e WHERE src_file NOT IN ('supplier', 'customer') AND dst_file NOT IN ('supplier', 'customer') GROUP BY src_file")
+def remove_files(spark, d):
+    gone = spark.createDataFrame([("supplier",), ("customer",)], "file_path string")
+    manifest = spark.createDataFrame([], "file_path string, hash string, updated_at double")
+    _, edges, _ = graph.remove_files(fk_nodes(spark, d), fk_edges(spark, d), manifest, gone)
+    return edges.groupBy("src_file").agg(F.count("*").alias("edges"))
+
+
+def _files(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"), "doc_id")
+
+
+def _manifest(spark, d):
+    stored = F.when(F.col("doc_id") % 10 == 0, F.lit("stale")).otherwise(F.col("sha256"))
+    return _files(spark, d).where("doc_id % 7 <> 3").select("file_path", stored.alias("hash"), F.lit(1.0).alias("updated_at"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def content_hash(spark, d):
+    return _files(spark, d).drop("doc_id")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_path, doc_id % 7 <> 3 AND doc_id % 10 <> 0 AS cached FROM documents")
+def changed_files(spark, d):
+    return graph.changed_files(_files(spark, d), _manifest(spark, d))
+
+
+@query("SELECT bool_and(doc_id % 7 <> 3 AND doc_id % 10 <> 0) AS valid FROM (SELECT * FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)")
+def cache_valid(spark, d):
+    return graph.cache_valid(_files(spark, d), _manifest(spark, d))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 7 = 3 OR doc_id % 10 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS updated_at FROM documents")
+def manifest_upsert(spark, d):
+    files, old = _files(spark, d), _manifest(spark, d)
+    stale = graph.changed_files(files, old).where("not cached").select("file_path")
+    fresh = files.join(stale, "file_path", "left_semi").select("file_path", F.col("sha256").alias("hash"), F.lit(2.0).alias("updated_at"))
+    return graph.upsert(old, fresh, "file_path")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 5 <> 1")
+def incremental_rebuild(spark, d):
+    """The orders of keys 0 (mod 5) are replaced, those of keys 1 are gone."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    gone = orders.where("o_orderkey % 5 = 1").select("o_orderkey")
+    new = orders.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("N"))
+    return graph.upsert(orders.join(gone, "o_orderkey", "left_anti"), new, "o_orderkey")
+
+
+# traversal
+
+
+def _dependents_sql(depth: int) -> str:
+    return f"""WITH RECURSIVE {WITH[5:]}, l AS (SELECT DISTINCT src_name, dst_name FROM e), w(caller, depth) AS (SELECT DISTINCT src_name, 1 FROM l WHERE dst_name = '{ROOT}'
+UNION ALL SELECT DISTINCT l.src_name, w.depth + 1 FROM w JOIN l ON l.dst_name = w.caller WHERE w.depth < {depth}),
+best AS (SELECT caller, min(depth) AS depth FROM w WHERE caller <> '{ROOT}' GROUP BY caller),
+rep AS (SELECT b.caller, b.depth, e.src_file, e.src_line, e.call_line, e.src_type, row_number() OVER (PARTITION BY b.caller ORDER BY e.src_file, e.src_line, e.call_line, e.src_type) AS rn
+ FROM best b JOIN e ON e.src_name = b.caller LEFT JOIN best p ON p.caller = e.dst_name WHERE (b.depth = 1 AND e.dst_name = '{ROOT}') OR p.depth = b.depth - 1)
+SELECT caller, src_file AS caller_file, src_type AS caller_type, src_line AS caller_line, call_line, CAST(depth AS INTEGER) AS depth FROM rep WHERE rn = 1"""
+
+
+for _depth in (1, 2, 3, 5):
+
+    def _dependents(spark, d, _depth=_depth):
+        return traverse.transitive_dependents(fk_edges(spark, d), ROOT, _depth)
+
+    QUERIES[f"dependents_d{_depth}"], SQL[f"dependents_d{_depth}"] = _dependents, _dependents_sql(_depth)
+
+
+def _impact_sql(listed: str = "") -> str:
+    reach = _dependents_sql(3).replace("SELECT caller, src_file AS caller_file, src_type AS caller_type, src_line AS caller_line, call_line, CAST(depth AS INTEGER) AS depth FROM rep WHERE rn = 1", "x AS (SELECT (SELECT count(*) FROM e WHERE dst_name = 'region:0') AS direct_callers, (SELECT count(*) FROM rep WHERE rn = 1) AS transitive_dependents, (SELECT count(*) FROM n) AS total_nodes)")
+    reach = reach.replace("\nx AS", ",\nx AS")
+    return f"""{reach} SELECT '{ROOT}' AS symbol, 'modify' AS change_type, direct_callers, transitive_dependents, total_nodes, round(transitive_dependents / total_nodes, 3) AS impact_ratio,
+CASE WHEN transitive_dependents / total_nodes > 0.5 AND transitive_dependents > 10 THEN 'high' WHEN transitive_dependents / total_nodes > 0.2 AND transitive_dependents > 5 THEN 'medium' ELSE 'low' END AS risk_level{listed} FROM x"""
+
+
+@query(_impact_sql())
+def impact_ratio(spark, d):
+    return traverse.impact(fk_nodes(spark, d), fk_edges(spark, d), ROOT)
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("content"), "page_id")
+
+
+@query(_impact_sql(", (SELECT list(depth || '@' || caller ORDER BY depth || '@' || caller) FROM rep WHERE rn = 1 AND depth = 1) AS dependents, CAST([] AS VARCHAR[]) AS test_files"))
+def impact_report(spark, d):
+    return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT, max_depth=1)
+
+
+@query("SELECT DISTINCT url AS path FROM pages WHERE contains(html, 'thing') OR contains(html, 'cht')")
+def test_files_substring(spark, d):
+    wanted = spark.createDataFrame([("a.thing",), ("b.c.cht",)], "caller string")
+    pages = _pages(spark, d).withColumn("content", F.col("content"))
+    renamed = pages.withColumn("file_path", F.concat(F.lit("tests/"), F.col("file_path"), F.lit(".test.ts")))
+    found = affected_tests.by_substring(renamed, affected_tests.targets(wanted))
+    return found.select(F.regexp_replace(F.regexp_replace("path", "^tests/", ""), r"\.test\.ts$", "").alias("path"))
+
+
+@query(values(code.TEST_FILES_HIT, "path VARCHAR"))
+def test_files_refs(spark, d):
+    files = source_files.inline(spark, code.TEST_FILES)
+    wanted = spark.createDataFrame([("Service.process",), ("helper",)], "caller string")
+    return affected_tests.by_reference(files, affected_tests.targets(wanted))
+
+
+# language, paths, names
+
+
+def _paths(spark, d):
+    lang = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "de", ".ts").when(F.col("lang") == "fr", ".js").otherwise(".md")
+    return table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), lang).alias("path"))
+
+
+_VOTES = "WITH c AS (SELECT count(*) FILTER (WHERE lang = 'en') AS py, count(*) FILTER (WHERE lang = 'de') AS ts, count(*) FILTER (WHERE lang = 'fr') AS js FROM documents)"
+
+
+@query(f"{_VOTES} SELECT CASE WHEN py + ts + js = 0 THEN NULL WHEN py >= ts AND py >= js THEN 'python' WHEN ts >= js THEN 'typescript' ELSE 'javascript' END AS language FROM c")
+def language_vote(spark, d):
+    return graph.language_vote(_paths(spark, d))
+
+
+@query(f"{_VOTES} SELECT CASE WHEN py > ts AND py > js THEN 'python' WHEN ts > py AND ts > js THEN 'typescript' WHEN js > py AND js > ts THEN 'javascript' ELSE 'typescript' END AS language FROM c")
+def language_vote_library(spark, d):
+    return graph.language_vote(_paths(spark, d), "react")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN 'typescript' WHEN lang = 'fr' THEN 'javascript' ELSE 'python' END AS language, CASE lang WHEN 'de' THEN '.ts' WHEN 'fr' THEN '.js' ELSE '.ts' END AS extension FROM documents")
+def language_from_path(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "de", ".tsx").when(F.col("lang") == "fr", ".jsx").otherwise(".py"))
+    return docs.select("doc_id", text.language_of_path(path).alias("language"), F.regexp_replace(text.default_extension(path), "x$", "").alias("extension"))
+
+
+@query("SELECT page_id, list_has_any(string_split(url, '/'), ['', 'build', 'dist', 'node_modules', 'en']) AS excluded FROM pages")
+def path_exclusion(spark, d):
+    return table(spark, d, "pages").select("page_id", text.excluded(F.col("url"), ("", "build", "dist", "node_modules", "en")).alias("excluded"))
+
+
+_SCORE = "CASE WHEN lower({c}) = '{q}' THEN 1.0::DOUBLE WHEN contains(lower({c}), '{q}') OR contains('{q}', lower({c})) THEN 0.9::DOUBLE ELSE len(list_filter(string_split(lower({c}), ''), lambda x: contains('{q}', x)))::DOUBLE / greatest(length({c}), {n}) END"
+_LIKE = _SCORE.format(c="p_name", q="green metal", n=11)
+
+
+@query(f"SELECT p_partkey, {_LIKE} AS score FROM part")
+def similarity_score(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.similarity_to(F.col("p_name"), "Green Metal").alias("score"))
+
+
+def _part_symbols(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("symbol_type"), F.col("p_partkey").cast("int").alias("line_number"), F.col("p_type").alias("signature"), F.col("p_brand").alias("file_path"), F.col("p_partkey").cast("int").alias("ordinal"), (F.col("p_size") % 3).alias("dir_rank"))
+
+
+@query(f"""WITH s AS (SELECT p_name AS name, p_brand AS symbol_type, p_type AS signature, p_brand, p_partkey, p_size % 3 AS dir_rank, {_LIKE} AS score FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY dir_rank ORDER BY score DESC, p_brand, p_partkey) AS rn FROM s WHERE score >= 0.5)
+SELECT name || ' (' || symbol_type || ') - ' || signature AS entry, score FROM r WHERE rn <= 10 ORDER BY dir_rank, rn LIMIT 5""")
+def similar_top_k(spark, d):
+    found = symbols.similar(_part_symbols(spark, d), "Green Metal", 0.5)
+    return found.select(text.similar_entry(F.col("name"), F.col("symbol_type"), F.col("signature")).alias("entry"), "score")
+
+
+@query("SELECT p_name AS name, p_brand AS symbol_type, CAST(p_partkey AS INTEGER) AS line_number FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 7) ORDER BY p_brand, p_partkey LIMIT 1")
+def find_symbol(spark, d):
+    rows = _part_symbols(spark, d)
+    name = rows.where("line_number = 7").select("name").first()[0]
+    return symbols.find_symbol(rows, name).select("name", "symbol_type", "line_number")
+
+
+@query("SELECT page_id, 'from ' || replace(replace(url, '/', '.'), chr(92), '.') || '.mod import s' AS import_path FROM pages")
+def import_path_py(spark, d):
+    return table(spark, d, "pages").select("page_id", text.python_import(F.concat(F.col("url"), F.lit("/mod.py")), F.lit("s")).alias("import_path"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'import { s } from ''lib/' || url || '''' ELSE 'import { s } from ''lib''' END AS import_path FROM pages")
+def import_path_ts(spark, d):
+    return table(spark, d, "pages").select("page_id", text.ts_import(F.lit("lib"), F.when(F.col("page_id") % 2 == 0, F.col("url")), F.lit("s")).alias("import_path"))
+
+
+_URL = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || page_id WHEN 2 THEN 'http:///' || page_id ELSE '' END"
+
+
+@query(f"SELECT page_id, regexp_matches({_URL}, '^https?://[^/?#]+') AS valid FROM pages")
+def url_valid(spark, d):
+    return table(spark, d, "pages").select("page_id", text.url_valid(F.expr(_URL)).alias("valid"))
+
+
+@query("SELECT p_partkey, p_brand || ':' || p_name || '::' || p_type AS key FROM part")
+def cache_key(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.cache_key(F.col("p_brand"), F.col("p_name"), F.lit(None), F.col("p_type")).alias("key"))
+
+
+@query(f"WITH k AS ({values(code.KNOWN_ROWS, 'library VARCHAR, symbol VARCHAR')}) SELECT doc_id, k.library IS NOT NULL AS known FROM documents d LEFT JOIN k ON k.library = 'pandas' AND k.symbol = CASE WHEN d.doc_id % 3 = 0 THEN 'merge' WHEN d.doc_id % 3 = 1 THEN 'print' END")
+def known_symbol(spark, d):
+    known = symbols.known_symbols(spark).where("library = 'pandas'")
+    asked = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "merge").when(F.col("doc_id") % 3 == 1, "print").alias("symbol"))
+    return asked.join(F.broadcast(known), "symbol", "left").select("doc_id", F.col("library").isNotNull().alias("known"))
+
+
+@query(values(code.VERIFY_ROWS, "library VARCHAR, symbol VARCHAR, status VARCHAR, source VARCHAR, line_number INTEGER, import_path VARCHAR, doc_url VARCHAR, similar VARCHAR[]"))
+def verify_api(spark, d):
+    files = source_files.inline(spark, code.SEARCH_PROJECT)
+    table_ = source_files.symbols(files).withColumn("dir_rank", F.lit(0)).withColumn("relative_path", F.col("file_path"))
+    asked = spark.createDataFrame(code.VERIFY_REQUESTS, "library string, symbol string, language string, doc_url string")
+    return symbols.verify(asked, table_, symbols.known_symbols(spark)).select("library", "symbol", "status", "source", "line_number", "import_path", "doc_url", "similar")
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '<(\w+)', 1)) AS BIGINT) AS n, regexp_extract_all(html, '<(\w+)', 1)[1] AS first FROM pages")
+def decl_regex(spark, d):
+    tags = F.regexp_extract_all("html", F.lit(r"<(\w+)"), F.lit(1))
+    return table(spark, d, "pages").select("page_id", F.size(tags).cast("long").alias("n"), F.get(tags, 0).alias("first"))
+
+
+@query("SELECT page_id, CASE WHEN instr(html, '<p') > 0 THEN CAST(length(left(html, instr(html, '<p') - 1)) - length(replace(left(html, instr(html, '<p') - 1), chr(10), '')) + 1 AS INTEGER) END AS line FROM pages")
+def match_line_number(spark, d):
+    return table(spark, d, "pages").select("page_id", text.line_of_match(F.col("html"), "<p").alias("line"))
+
+
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM part")
+def title_case(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.title_name(F.translate("p_name", " ", "-")).alias("title"))
+
+
+@query("SELECT doc_id, left(trim(string_split(coalesce(text, ''), chr(10))[1], ' '), 120) AS description FROM documents")
+def description(spark, d):
+    content = F.concat(F.lit("name: x\ndescription: "), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.lit("\nrest"))
+    return table(spark, d, "documents").select("doc_id", text.description(content).alias("description"))
+
+
+@query(f"{WITH} SELECT symbol_name, printf('%.1f%%', line_number / 7.0 * 100) AS share, replace(printf('%,d', line_number * 1000), '.', ',') AS big, string_split(symbol_name, ':')[-1] AS last FROM n WHERE file_path = 'nation'")
+def number_formats(spark, d):
+    n = fk_nodes(spark, d).where("file_path = 'nation'")
+    return n.select("symbol_name", text.percent(F.col("line_number") / 7.0).alias("share"), text.thousands(F.col("line_number") * 1000).alias("big"), text.last_segment(F.translate("symbol_name", ":", ".")).alias("last"))
+
+
+# catalog
+
+
+def _catalog(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+
+
+def _installed(spark, d):
+    names = table(spark, d, "part").join(table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
+    return names.select(F.col("p_name").alias("name"))
+
+
+_THERE = "name IN (SELECT p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49))"
+
+
+@query(f"""WITH c AS (SELECT p_name AS name, row_number() OVER (ORDER BY p_partkey) AS rn, count(*) OVER () AS total FROM part WHERE contains(lower(p_name), 'a'))
+SELECT name, total, 30 < total AS more, {_THERE} AS installed FROM c WHERE rn > 10 AND rn <= 30""")
+def catalog_page(spark, d):
+    found = catalog.page(catalog.search(_catalog(spark, d), " A "), ["ordinal"], 20, 10).drop("ordinal")
+    return catalog.with_installed(found, _installed(spark, d))
+
+
+@query(f"SELECT p_name AS name, {_THERE.replace('name IN', 'p_name IN')} AS installed FROM part")
+def catalog_installed_flag(spark, d):
+    return catalog.with_installed(_catalog(spark, d).drop("ordinal"), _installed(spark, d))
+
+
+@query(values(code.CATALOG_ROWS, "name VARCHAR, source VARCHAR, description VARCHAR, url VARCHAR"))
+def catalog_listing(spark, d):
+    rows = spark.createDataFrame(code.LISTINGS, "source string, listing string, source_rank int")
+    return catalog.catalog(rows).drop("ordinal")
+
+
+@query("""WITH f AS (SELECT source AS name, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_size, list(CAST(doc_id AS VARCHAR) || '.md' ORDER BY CAST(doc_id AS VARCHAR) || '.md') AS files FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT name, file_count + 1 AS file_count, total_size + 5 AS total_size, 'About ' || name AS description, list_concat(['SKILL.md'], files) AS files FROM f ORDER BY name""")
+def installed_inventory(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"), F.col("n_chars").alias("size"), F.lit("").alias("content"))
+    main = docs.select("source").distinct().select(F.concat("source", F.lit("/SKILL.md")).alias("relative_path"), F.lit(5).cast("long").alias("size"), F.concat(F.lit("description: About "), "source").alias("content"))
+    out = catalog.installed(files.unionByName(main))
+    return out.withColumn("files", F.concat(F.array(F.lit("SKILL.md")), F.array_remove("files", "SKILL.md")))
+
+
+@query("SELECT count(DISTINCT source) AS skills, count(*) + count(DISTINCT source) AS files, CAST(sum(n_chars) + 5 * count(DISTINCT source) AS BIGINT) AS bytes FROM documents WHERE source IS NOT NULL")
+def installed_totals(spark, d):
+    return catalog.totals(installed_inventory(spark, d))
+
+
+# validation
+
+
+def _issues(spark, d):
+    severity = F.when(F.col("value") > 90, "error").when(F.col("value") > 50, "warning")
+    return table(spark, d, "events").select(F.col("user_id").alias("file_path"), F.col("event_type").alias("check"), severity.alias("severity"))
+
+
+_CHECKS = """WITH i AS (SELECT user_id AS file_path, event_type AS "check", CASE WHEN value > 90 THEN 'error' WHEN value > 50 THEN 'warning' END AS severity FROM events),
+c AS (SELECT file_path, "check", CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'fail' WHEN count(severity) > 0 THEN 'warn' ELSE 'pass' END AS status, count(severity) AS n_issues FROM i GROUP BY ALL)"""
+
+
+@query(f"{_CHECKS} SELECT * FROM c")
+def check_status(spark, d):
+    return diagnostics.check_status(_issues(spark, d), ["file_path"])
+
+
+@query(f"""{_CHECKS}, r AS (SELECT file_path, count(*) FILTER (WHERE status = 'fail') AS f, count(*) FILTER (WHERE status = 'warn') AS w FROM c GROUP BY file_path)
+SELECT file_path, CASE WHEN f > 0 THEN 'fail' WHEN w > 0 THEN 'warn' ELSE 'pass' END AS status, f = 0 AS can_write, CASE WHEN f + w > 0 THEN f || ' error(s), ' || w || ' warning(s)' ELSE 'All checks passed' END AS summary FROM r""")
+def validation_report(spark, d):
+    return diagnostics.report(diagnostics.check_status(_issues(spark, d), ["file_path"]), ["file_path"])
+
+
+_ISSUE = "line INTEGER, column INTEGER, code VARCHAR, message VARCHAR, severity VARCHAR"
+
+
+def _tool(spark, check, tool, output):
+    rows = spark.createDataFrame([("f", output)], "file_path string, output string")
+    return validation.issue_rows(validation.from_tool(rows, check, tool)).drop("file_path", "check")
+
+
+@query(values(code.TSC_ISSUES, _ISSUE))
+def parse_tsc(spark, d):
+    return _tool(spark, "types", "tsc", code.TSC_OUTPUT)
+
+
+@query(values(code.MYPY_ISSUES, _ISSUE))
+def parse_mypy(spark, d):
+    return _tool(spark, "types", "mypy", code.MYPY_OUTPUT)
+
+
+@query(values(code.RUFF_ISSUES, _ISSUE))
+def parse_ruff(spark, d):
+    return _tool(spark, "lint", "ruff", code.RUFF_OUTPUT)
+
+
+@query(values(code.ESLINT_ISSUES, _ISSUE))
+def parse_eslint(spark, d):
+    return _tool(spark, "lint", "eslint", code.ESLINT_OUTPUT)
+
+
+@query(values(code.SYNTAX_ROWS, "file_path VARCHAR, line INTEGER, code VARCHAR, severity VARCHAR"))
+def py_syntax(spark, d):
+    found = validation.issue_rows(validation.syntax(source_files.inline(spark, code.CHECKED)))
+    return found.select("file_path", "line", "code", "severity")
+
+
+@query(values(code.IMPORT_ROWS, "file_path VARCHAR, line INTEGER, code VARCHAR, message VARCHAR, severity VARCHAR"))
+def py_imports(spark, d):
+    found = validation.issue_rows(validation.imports(source_files.inline(spark, code.CHECKED)))
+    return found.select("file_path", "line", "code", "message", "severity")
+
+
+@query(values(code.REPORT_ROWS, "file_path VARCHAR, status VARCHAR, can_write BOOLEAN, summary VARCHAR"))
+def code_reports(spark, d):
+    return validation.validate(source_files.inline(spark, code.CHECKED)).drop("results")
+
+
+# extraction
+
+_NODE = "file_path VARCHAR, symbol_name VARCHAR, symbol_type VARCHAR, line_number INTEGER, signature VARCHAR"
+_RAW = "file_path VARCHAR, source VARCHAR, target VARCHAR, edge_type VARCHAR, line_number INTEGER"
+_SYMBOL = "file_path VARCHAR, name VARCHAR, symbol_type VARCHAR, line_number INTEGER, signature VARCHAR, parent VARCHAR"
+
+
+@query(values(code.PY_NODES, _NODE))
+def py_graph(spark, d):
+    return source_files.nodes_of(source_files.extract(source_files.inline(spark, code.PY_PROJECT))).drop("ordinal")
+
+
+@query(values(code.PY_EDGES, _RAW))
+def py_graph_edges(spark, d):
+    return source_files.raw_edges_of(source_files.extract(source_files.inline(spark, code.PY_PROJECT)))
+
+
+@query(values(code.TS_NODES, _NODE))
+def ts_graph(spark, d):
+    return source_files.nodes_of(source_files.extract(source_files.inline(spark, code.TS_PROJECT))).drop("ordinal")
+
+
+@query(values(code.TS_EDGES, _RAW))
+def ts_graph_edges(spark, d):
+    return source_files.raw_edges_of(source_files.extract(source_files.inline(spark, code.TS_PROJECT)))
+
+
+@query(values(code.PY_SYMBOLS, _SYMBOL))
+def py_symbols(spark, d):
+    return source_files.symbols(source_files.inline(spark, code.SYMBOL_FILE)).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
+
+
+@query(values(code.DTS_SYMBOLS, _SYMBOL))
+def dts_symbols(spark, d):
+    return source_files.symbols(source_files.inline(spark, code.DTS_FILE)).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
+
+
+# replays
+
+
+@query("""WITH s AS (SELECT event_id, user_id % 7 AS cache, event_type || '/' || user_id % 50 AS key, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY cache, key ORDER BY i) AS p, lead(i) OVER (PARTITION BY cache, key ORDER BY i) AS nx FROM s)
+SELECT a.event_id, a.p IS NOT NULL AND (SELECT count(*) FROM p b WHERE b.cache = a.cache AND b.i > a.p AND b.i < a.i AND (b.nx IS NULL OR b.nx >= a.i)) < 16 AS hit FROM p a""")
+def lru_replay(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 7).alias("cache"), F.concat("event_type", F.lit("/"), (F.col("user_id") % 50).cast("string")).alias("key"))
+    return replay.lru_hits(e, "key", ["ts", "event_id"], 16, "cache").select("event_id", "hit")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id % 20 ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS density FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
+def request_density(spark, d):
+    e = table(spark, d, "events").withColumn("client", F.col("user_id") % 20)
+    return replay.request_density(e, "client", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000), 3600).select("event_id", "density")
+
+
+@query("SELECT CAST(i + 1 AS INTEGER) AS attempt, 0.5::DOUBLE * pow(2.0, i) AS delay FROM range(3) t(i)")
+def backoff_delays(spark, d):
+    return replay.backoff_delays(spark)
