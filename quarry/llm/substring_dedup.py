@@ -7,6 +7,9 @@ the cuts near it and no others. Chunks are compared by digest: the document of l
 id that has a chunk keeps it, and a chunk in any other document is a repeat. Runs of
 adjacent repeats with enough words are repeated passages.
 
+Repeated digests grow with the corpus, so they meet the chunks in a shuffled join, whose
+large partitions (a passage that many documents share) adaptive execution splits.
+
 Digests have 64 bits; a reported passage is a run of many chunks, so chance equality
 of single digests doesn't make one.
 """
@@ -28,8 +31,6 @@ from quarry.plans.staging import stage
 REACH = 16
 #: A chunk without a cut for so many bytes is cut there.
 LONGEST = 256
-#: Most repeated digests that are broadcast (48 MB); beyond it the same join shuffles.
-BROADCAST_DIGESTS = 2_000_000
 _GEAR = np.random.default_rng(97).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -123,7 +124,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     held = chunks.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("digest", "first")
     held = stage(held, "repeats")
-    again = chunks.join(F.broadcast(held) if held.count() <= BROADCAST_DIGESTS else held, "digest").where("first <> k").drop("digest")
+    again = chunks.join(held, "digest").where("first <> k").drop("digest")
     order = Window.partitionBy("row").orderBy("number")
     runs = again.withColumn("run", F.col("number") - F.row_number().over(order))
     spans = runs.groupBy("row", "run").agg(F.first("k").alias(id_col), F.min("first").alias("first_id"), F.min("start").cast("long").alias("start_byte"), F.max("end").cast("long").alias("end_byte"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"))
