@@ -93,7 +93,7 @@ def description(content: Column) -> Column:
     """Of a skill's main file: its ``description:`` line among the first 20, else its
     first heading that a line end follows, else empty; 120 characters at most."""
     lines = F.slice(F.split(content, "\n"), 1, 20)
-    line = F.element_at(F.filter(lines, lambda x: x.startswith("description:")), 1)
+    line = F.get(F.filter(lines, lambda x: x.startswith("description:")), 0)
     value = F.trim(F.substr(line, F.lit(13)))
     unquoted = F.regexp_replace(F.regexp_replace(value, '^"+|"+$', ""), "^'+|'+$", "")
     at = F.instr(content, "# ")

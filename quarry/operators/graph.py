@@ -64,8 +64,8 @@ def hotspots(edges: DataFrame, top: int = 10, file_path: str | None = None) -> D
     found = calls(edges)
     if file_path is not None:
         found = found.where(F.col("dst_file") == file_path)
-    counted = found.groupBy(F.col("dst_name").alias("symbol"), F.col("dst_file").alias("file")).agg(F.min("dst_type").alias("type"), F.count("*").alias("call_count"))
-    return counted.orderBy(F.desc("call_count"), "symbol", "file").limit(top)
+    counted = found.groupBy(F.col("dst_name").alias("symbol"), F.col("dst_file").alias("file")).agg(F.min("dst_type").alias("type"), F.count("*").alias("caller_count"))
+    return counted.orderBy(F.desc("caller_count"), "symbol", "file").limit(top)
 
 
 def module_dependencies(edges: DataFrame, file_path: str | None = None, top: int | None = None) -> DataFrame:
@@ -73,8 +73,8 @@ def module_dependencies(edges: DataFrame, file_path: str | None = None, top: int
     found = calls(edges).where(F.col("src_file") != F.col("dst_file"))
     if file_path is not None:
         found = found.where(F.col("src_file") == file_path)
-    counted = found.groupBy(F.col("src_file").alias("source_module"), F.col("dst_file").alias("target_module")).agg(F.count("*").alias("call_count"))
-    return counted if top is None else counted.orderBy(F.desc("call_count"), "source_module", "target_module").limit(top)
+    counted = found.groupBy(F.col("src_file").alias("source_file"), F.col("dst_file").alias("target_file")).agg(F.count("*").alias("call_count"))
+    return counted if top is None else counted.orderBy(F.desc("call_count"), "source_file", "target_file").limit(top)
 
 
 def totals(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) -> DataFrame:
@@ -88,8 +88,8 @@ def totals(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) ->
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) -> DataFrame:
     """One row: totals, the top 5 hotspots and 10 module dependencies as arrays."""
-    tops = hotspots(edges, 5, file_path).select(F.lit("hotspots").alias("what"), F.struct((-F.col("call_count")).alias("o"), F.col("symbol").alias("a"), F.col("file").alias("b"), "call_count").alias("x"))
-    deps = module_dependencies(edges, file_path, 10).select(F.lit("module_dependencies").alias("what"), F.struct((-F.col("call_count")).alias("o"), F.col("source_module").alias("a"), F.col("target_module").alias("b"), "call_count").alias("x"))
+    tops = hotspots(edges, 5, file_path).select(F.lit("hotspots").alias("what"), F.struct((-F.col("caller_count")).alias("o"), F.col("symbol").alias("a"), F.col("file").alias("b"), F.col("caller_count").alias("call_count")).alias("x"))
+    deps = module_dependencies(edges, file_path, 10).select(F.lit("module_dependencies").alias("what"), F.struct((-F.col("call_count")).alias("o"), F.col("source_file").alias("a"), F.col("target_file").alias("b"), "call_count").alias("x"))
     rows = tops.unionByName(deps)
     pick = lambda w: F.transform(F.sort_array(F.collect_list(F.when(F.col("what") == w, F.col("x")))), lambda x: F.concat_ws("|", x["a"], x["b"], x["call_count"].cast("string"))).alias(w)
     return totals(nodes, edges, file_path).join(rows.agg(pick("hotspots"), pick("module_dependencies")))

@@ -50,12 +50,12 @@ def values(rows: list[tuple], columns: str) -> str:
 # graph: counts, neighbours, dependencies
 
 
-@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS call_count FROM e GROUP BY ALL ORDER BY call_count DESC, symbol, file LIMIT 10")
+@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS caller_count FROM e GROUP BY ALL ORDER BY caller_count DESC, symbol, file LIMIT 10")
 def hotspots(spark, d):
     return graph.hotspots(fk_edges(spark, d), 10)
 
 
-@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS call_count FROM e WHERE dst_file = 'part' GROUP BY ALL ORDER BY call_count DESC, symbol, file LIMIT 5")
+@query(f"{WITH} SELECT dst_name AS symbol, dst_file AS file, min(dst_type) AS type, count(*) AS caller_count FROM e WHERE dst_file = 'part' GROUP BY ALL ORDER BY caller_count DESC, symbol, file LIMIT 5")
 def hotspots_for_file(spark, d):
     return graph.hotspots(fk_edges(spark, d), 5, "part")
 
@@ -83,12 +83,12 @@ def callees(spark, d):
     return graph.callees(fk_edges(spark, d), "orders:1")
 
 
-@query(f"{WITH} SELECT src_file AS source_module, dst_file AS target_module, count(*) AS call_count FROM e WHERE src_file <> dst_file GROUP BY ALL")
+@query(f"{WITH} SELECT src_file AS source_file, dst_file AS target_file, count(*) AS call_count FROM e WHERE src_file <> dst_file GROUP BY ALL")
 def module_dependencies(spark, d):
     return graph.module_dependencies(fk_edges(spark, d))
 
 
-@query(f"{WITH} SELECT src_file AS source_module, dst_file AS target_module, count(*) AS call_count FROM e WHERE src_file <> dst_file AND src_file = 'orders' GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10")
+@query(f"{WITH} SELECT src_file AS source_file, dst_file AS target_file, count(*) AS call_count FROM e WHERE src_file <> dst_file AND src_file = 'orders' GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10")
 def module_dependencies_for_file(spark, d):
     return graph.module_dependencies(fk_edges(spark, d), "orders", 10)
 
