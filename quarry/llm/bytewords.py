@@ -99,29 +99,35 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         a = b
 
 
-def shingle_sets(part: Slice, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per row of the slice: its sorted distinct hashed shingles of ``width`` lowered
-    words (a shorter text gives one shingle, an empty one none), and its word count."""
+def shingle_sets(part: Slice, width: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per row of the slice: its sorted distinct shingles of ``width`` lowered words (a
+    shorter text gives one shingle, an empty one none), and its word count.
+
+    A shingle is 58 bits of hash below 6 bits of commonness, the sum of its words'
+    levels in ``common`` (sorted word hashes, levels), so rare shingles sort first.
+    """
     starts, ends, rows = part.words()
     h = part.word_hashes(starts, ends, lower=True)
+    level = np.zeros(len(h), _U)
+    if common is not None and len(common[0]) and len(h):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        level = np.where(common[0][at] == h, common[1][at], _U(0))
     counts = np.bincount(rows, minlength=part.last - part.first)
     first = np.concatenate(([0], np.cumsum(counts)))
-    m = len(h) - width + 1
-    grams = np.zeros(0, _U)
-    if m > 0:
-        grams = np.full(m, _U(width))
-        for k in range(width):
-            grams = mix(grams * _R + h[k : k + m])
+
+    def chain(at: int, m: int, k: int) -> np.ndarray:
+        grams, levels = np.full(m, _U(k)), np.zeros(m, _U)
+        for i in range(at, at + k):
+            grams = mix(grams * _R + h[i : i + m])
+            levels += level[i : i + m]
+        return np.minimum(levels, _U(63)) << _U(58) | grams >> _U(6)
+
+    grams = chain(0, max(0, len(h) - width + 1), width)
     out = []
     for r, n in enumerate(counts):
         a = first[r]
         if n >= width:
             out.append(np.unique(grams[a : a + n - width + 1]))
-        elif n:
-            x = np.full(1, _U(n))
-            for k in range(n):
-                x = mix(x * _R + h[a + k : a + k + 1])
-            out.append(x)
         else:
-            out.append(np.zeros(0, _U))
+            out.append(chain(a, 1, n) if n else np.zeros(0, _U))
     return out, counts

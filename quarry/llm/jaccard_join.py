@@ -5,10 +5,11 @@ Plan, for word shingles and a threshold P:
 1. One pass turns each text into its sorted set of hashed shingles (staged). Equal
    sets are one node from here on, so copies cost nothing more.
 2. Prefix filter: two sets that link share a shingle among the first
-   ``n - ceil(P n) + 1`` of each under any one total order. The order puts shingles
-   that occur in many documents last (a mergeable heavy-hitter summary over all
-   documents); any order is exact, this one keeps the tiles small. Shingles that only
-   one distinct set has in its prefix are dropped by a map-side-combined aggregate.
+   ``n - ceil(P n) + 1`` of each under any one total order. The order puts shingles of
+   common words late and those that many documents hold last (by mergeable summaries
+   of the most frequent words and shingles of all documents); any order is exact, this
+   one keeps the tiles small. One shuffle sorts
+   the prefixes by shingle and size; entries without a neighbour of fitting size go.
 3. Tiles: the sets that share a prefix shingle, banded by size (sizes must be within
    P percent). Hashed bitmaps bound the overlap from above by bit counts:
    ``|A and B| <= |A| - popcount(a & ~b)``. A tile keeps a spanning forest of the pairs
@@ -18,7 +19,7 @@ Plan, for word shingles and a threshold P:
    Clusters above ``BLOCK`` sets are cut into blocks, then compared by
    representatives, and what is still apart by block pairs: exact at any size.
 
-Shingles are compared by 64-bit hashes, sets by 128-bit digests.
+Shingles are compared by hashes of 58 bits, sets by digests of 128.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,24 +43,62 @@ BLOCK = 4096
 #: Most ids that are broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Entries of the heavy-hitter summary that orders shingles.
-HEAVY = 65_536
-_CHUNK = 4_000_000
+HEAVY = 262_144
+#: Words of the summary that orders shingles.
+WORDS = 4096
+_CHUNK = 2_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _top(found: DataFrame, capacity: int) -> list[tuple[int, int]]:
+    """The ``capacity`` greatest sums of partial counts (h, c)."""
+    top = found.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(capacity)
+    return [(r.h, r.c) for r in top.collect()]
+
+
+def _counted(held: list[np.ndarray], least: int) -> pa.RecordBatch:
+    h, c = np.unique(np.concatenate(held), return_counts=True)
+    keep = c >= least
+    return pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
+
+
+def common_words(texts: DataFrame, capacity: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent words of all texts, and a level of 1 to 15 for
+    each: half as frequent is one level less."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                starts, ends, _ = part.words()
+                held.append(part.word_hashes(starts, ends, lower=True))
+                size += len(starts)
+                if size >= _CHUNK:
+                    yield _counted(held, size // 100_000)
+                    held, size = [], 0
+        if held:
+            yield _counted(held, max(2, size // 100_000))
+
+    top = _top(texts.mapInArrow(work, "h long, c long"), capacity)
+    h, c = np.array([x for x, _ in top], np.int64).view(np.uint64), np.array([y for _, y in top], float)
+    order = np.argsort(h)
+    return h[order], np.clip(15 - np.floor(np.log2(c.max(initial=1) / c[order])), 1, 15).astype(np.uint64)
+
+
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, label: str) -> DataFrame:
     """Staged (k, n, d1, d2, row, shingles): a row for each document."""
     source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     fields = [source.schema["k"], T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("shingles", T.BinaryType())]
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(source.select("t")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):
-                sets, _ = shingle_sets(part, width)
+                sets, _ = shingle_sets(part, width, shared.value)
                 raw = [s.tobytes() for s in sets]
                 digests = np.array([divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in raw], np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -91,33 +130,26 @@ def heavy_shingles(sets: DataFrame, capacity: int = HEAVY) -> list[tuple[int, in
     """(shingle, count) of the most frequent shingles over all documents.
 
     Every chunk of the data reports the shingles in a thousandth of its documents (and
-    4 at least); the counts are summed and the ``capacity`` greatest are kept.
+    2 at least); the counts are summed and the ``capacity`` greatest are kept.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def report(held: list[np.ndarray]) -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(4, len(held) // 1000)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
-
         held, size = [], 0
         for batch in batches:
             for x in _arrays(batch.column(0)):
                 held.append(x)
                 size += len(x)
                 if size >= _CHUNK:
-                    yield report(held)
+                    yield _counted(held, max(2, len(held) // 1000))
                     held, size = [], 0
         if held:
-            yield report(held)
+            yield _counted(held, max(2, len(held) // 1000))
 
-    found = sets.where("n > 0").select("shingles").mapInArrow(work, "h long, c long")
-    top = found.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(capacity)
-    return [(r.h, r.c) for r in top.collect()]
+    return _top(sets.select("shingles").mapInArrow(work, "h long, c long"), capacity)
 
 
 def _prefixes(sets: DataFrame, heavy: list[tuple[int, int]], percent: int) -> DataFrame:
-    """(token, sid) of each set's prefix."""
+    """(token, sid, n) of each set's prefix."""
     ranks = {np.uint64(h & (1 << 64) - 1): i for i, (h, _) in enumerate(sorted(heavy, key=lambda x: (x[1], x[0])))}
     hot = np.sort(np.array(list(ranks), np.uint64))
     rank = np.array([ranks[h] for h in hot], np.int64)
@@ -141,9 +173,10 @@ def _prefixes(sets: DataFrame, heavy: list[tuple[int, int]], percent: int) -> Da
                 lengths.append(min(k, len(x)))
             if tokens:
                 sid = np.repeat(batch.column(0).to_numpy(), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(sid)], names=["token", "sid"])
+                n = np.repeat(batch.column(2).to_numpy(), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(sid), pa.array(n.astype(np.int32))], names=["token", "sid", "n"])
 
-    return sets.where("n > 0").select("sid", "shingles").mapInArrow(work, "token long, sid long")
+    return sets.select("sid", "shingles", "n").mapInArrow(work, "token long, sid long, n int")
 
 
 def bitmap(shingles: np.ndarray, per_shingle: int) -> np.ndarray:
@@ -212,19 +245,22 @@ def _pair_can_link(n1: int, b1: bytes, n2: int, b2: bytes, percent: int) -> bool
     return most * (100 + percent) >= percent * (n1 + n2)
 
 
-def _candidates(sets: DataFrame, reps: DataFrame, percent: int, label: str) -> DataFrame:
-    """Edges (a, b) of set ids whose components hold every link."""
-    posted = _prefixes(sets, heavy_shingles(sets), percent)
-    shared = posted.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    tiles = posted.join(shared, "token").distinct()
+def _candidates(distinct: DataFrame, percent: int, label: str) -> DataFrame:
+    """Edges (a, b) of set ids whose components hold every link; each set once in."""
+    posted = _prefixes(distinct, heavy_shingles(distinct), percent)
+    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
+    tiles = stage(posted.withColumn("fits", fits).where("fits").select("token", "sid"), f"{label}-tiles")
+    # two near copies share many shingles: of tiles with the same members one is enough
+    members = tiles.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+    tiles = tiles.join(members.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = [bitmap(x, 2).tobytes() for x in _arrays(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(signed, pa.binary())], names=["row", "sid", "n", "bits"])
+            signed = [bitmap(x, 2).tobytes() for x in _arrays(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed, pa.binary())], names=["sid", "n", "bits"])
 
-    signed = sets.where("n > 0").select("row", "sid", "n", "shingles").mapInArrow(sign, "row long, sid long, n long, bits binary")
-    signed = signed.join(reps.select("row"), "row", "left_semi").drop("row")
+    signed = distinct.select("sid", "n", "shingles").mapInArrow(sign, "sid long, n long, bits binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ["token"]):
@@ -271,14 +307,17 @@ def _exact(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def _links(sets: DataFrame, reps: DataFrame, percent: int, label: str, block: int) -> DataFrame:
+def _small(ids: DataFrame) -> DataFrame:
+    """For the narrow side of a join: broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _links(distinct: DataFrame, percent: int, label: str, block: int) -> DataFrame:
     """(node, component) of the sets that link with another set."""
-    clusters = connected_components(_candidates(sets, reps, percent, label), f"{label}-clusters")
-    of = stage(clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")).join(reps, "sid"), f"{label}-members")
+    clusters = connected_components(_candidates(distinct, percent, label), f"{label}-clusters")
+    of = stage(clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")), f"{label}-members")
     sizes = of.groupBy("cluster").agg(F.count("*").alias("m"))
-    total = of.count()
-    narrow = of.select("row", "cluster")
-    members = sets.select("row", "sid", "n", "shingles").join(F.broadcast(narrow) if total <= BROADCAST_IDS else narrow, "row")
+    members = distinct.select("sid", "n", "shingles").join(_small(of), "sid")
     large = stage(sizes.where(F.col("m") > block), f"{label}-large")
     if large.isEmpty():
         edges = _exact(members.withColumn("mark", F.col("sid")), ["cluster"], percent)
@@ -317,8 +356,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names. An empty table gives an empty result.
     """
     sets = _with_set_id(shingle_table(docs, id_col, text_col, width, label))
-    reps = stage(sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row")), f"{label}-reps")
-    links = _links(sets, reps, percent, label, block)
+    firsts = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"))
+    copies = stage(sets.where("n > 0").select("row").join(firsts, "row", "left_anti"), f"{label}-copies")
+    distinct = sets.where("n > 0").join(_small(copies), "row", "left_anti")
+    links = _links(distinct, percent, label, block)
     classes = sets.select("k", "n", "sid").join(links.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid")).select("k", "n", "class")
     classes = stage(classes, f"{label}-classes")
     least = stage(classes.where("class is not null").groupBy("class").agg(F.min("k").alias("least")), f"{label}-least")
