@@ -99,7 +99,7 @@ def test_planted_passages_are_found_and_others_left(docs):
     assert {(r.doc_id, r.first_id) for r in got} == {(8, 3), (21, 3), (40, 5)}
     assert all(r.n_words >= 25 for r in got)
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs([r for r in rows if r[0] is not None])).collect()}
-    assert cut[3] == rows[3][1] and cut[40] == "" and cut[41] is None and len(cut[8].split()) < 165
+    assert cut[3] == rows[3][1] and cut[40] == "" and cut[41] is None and len(cut[8].split()) < 215
     assert words(8, 90) in cut[8]
 
 
@@ -246,7 +246,7 @@ def test_secret_base_equals_plain_patterns(docs):
         want = plain_secrets(t or "")
         assert rows[i].base_sha256 == hashlib.sha256(secret_scan.listed(want).encode()).hexdigest(), t
         assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
-        assert set(secret_scan.listed(want).split(",")) <= set(rows[i].spans.split(","))
+        assert set(filter(None, secret_scan.listed(want).split(","))) <= set(rows[i].spans.split(","))
 
 
 def test_markov_models_on_unseen_samples(docs):
