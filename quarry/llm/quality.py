@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST = 200
 REACH = 3
 #: Per measure: buckets per unit, and slack beyond the fences in buckets.
-MEASURES = {"symbol_share": (1000, 50), "dup_line_share": (1000, 200), "repeat_share": (1000, 150), "word_length": (10, 20)}
+MEASURES = {"symbol_share": (1000, 50), "dup_line_share": (1000, 500), "repeat_share": (1000, 350), "word_length": (10, 20)}
 #: Most language and source groups whose thresholds are broadcast (about 60 MB).
 BROADCAST_GROUPS = 500_000
 
@@ -144,8 +144,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_lines END AS dup_line_share,
     CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS repeat_share,
     CASE WHEN n_words > 0 THEN word_chars * 10 // n_words END AS word_length FROM m),
-x AS (SELECT lang, source, unnest([{'m': 'symbol_share', 'b': symbol_share, 's': 50}, {'m': 'dup_line_share', 'b': dup_line_share, 's': 200},
-    {'m': 'repeat_share', 'b': repeat_share, 's': 150}, {'m': 'word_length', 'b': word_length, 's': 20}], recursive := true) FROM b WHERE n_words > 0),
+x AS (SELECT lang, source, unnest([{'m': 'symbol_share', 'b': symbol_share, 's': 50}, {'m': 'dup_line_share', 'b': dup_line_share, 's': 500},
+    {'m': 'repeat_share', 'b': repeat_share, 's': 350}, {'m': 'word_length', 'b': word_length, 's': 20}], recursive := true) FROM b WHERE n_words > 0),
 qs AS (SELECT lang, source, m, any_value(s) AS s, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY lang, source, m),
 ql AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY lang, m),
 qa AS (SELECT m, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY m),
