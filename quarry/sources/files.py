@@ -28,9 +28,12 @@ def scan(spark: SparkSession, root: str, language: str = "python", exclude: tupl
     return found.where(~excluded(path, exclude)).select(path.alias("file_path"), language_of_path(path).alias("language"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
-def scan_symbols(spark: SparkSession, root: str, language: str = "python") -> DataFrame:
-    """Files that symbol search reads: its own extensions and exclusions."""
-    return scan(spark, root, language, SEARCH_EXCLUDED, SYMBOL_GLOBS[language])
+def scan_symbols(spark: SparkSession, root: str, language: str = "python", compat: bool = False) -> DataFrame:
+    """Files that symbol search reads: its own extensions and exclusions. In ``compat``
+    a TypeScript search finds no file at all, as in the tool that this follows, which
+    holds a name's last suffix against ``.d.ts``."""
+    found = scan(spark, root, language, SEARCH_EXCLUDED, SYMBOL_GLOBS[language])
+    return found.limit(0) if compat and language != "python" else found
 
 
 def inline(spark: SparkSession, files: dict[str, str]) -> DataFrame:

@@ -117,3 +117,14 @@ def test_tools(spark, tmp_path):
     assert "Can write: False" in tools.sandbox_validate("def f(:", "a.py")
     assert "Status: PASS" in tools.sandbox_validate("import os\n")
     assert "Can write: False" in tools.sandbox_validate("let x", "a.ts", tool_outputs={"types:tsc": code.TSC_OUTPUT})
+
+
+def test_declaration_search_and_its_compat_mode(spark, tmp_path):
+    from quarry.sources import files
+
+    (tmp_path / "types").mkdir()
+    (tmp_path / "types/api.d.ts").write_text(code.DTS_FILE["types/api.d.ts"])
+    assert files.symbols(files.scan_symbols(spark, str(tmp_path), "typescript")).count() == 7
+    assert files.scan_symbols(spark, str(tmp_path), "typescript", compat=True).count() == 0
+    with pytest.raises(ValueError):
+        files.scan(spark, str(tmp_path), "cobol")
