@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET = 10_000
 #: Most sources whose table is broadcast (about 64 MB); beyond it the joins shuffle.
 BROADCAST_SOURCES = 500_000
+#: Most documents whose verdicts are broadcast (about 100 MB) to what is carried along.
+BROADCAST_ROWS = 1_000_000
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -89,7 +91,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
     """
     base = docs.select(F.col(id_col).alias("k"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     kept = [f"carry_{i}" for i in range(len(carry))]
-    base = stage(base, f"{label}-sizes")
+    whole_rows = stage(base.withColumn("row", F.monotonically_increasing_id()), f"{label}-sizes")
+    base = whole_rows.drop(*kept)
     sources = stage(source_targets(base, weights, max_copies), f"{label}-targets")
     facts = sources.agg(F.count("*"), F.sum("n")).first()
     few = facts[0] <= BROADCAST_SOURCES
@@ -113,6 +116,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
     copies = F.col("whole") + F.when(F.col("chosen") & (F.col("bucket") < buckets), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(max_copies)).cast("long"))
     named = [F.col(a).alias(b) for a, b in zip(kept, carry, strict=True)]
+    if carry:  # what is carried meets the verdicts once, and isn't part of the ranking
+        out = whole_rows.select("row", *kept).join(F.broadcast(out) if (facts[1] or 0) <= BROADCAST_ROWS else out, "row")
     return out.select(F.col("k").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *named)
 
 
