@@ -40,6 +40,11 @@ class GraphStore:
             return tuple(self.spark.createDataFrame([], ddl) for ddl in TABLES.values())
         return tuple(self.spark.read.schema(ddl).parquet(f"{self.root}/{at}/{name}") for name, ddl in TABLES.items())
 
+    def register_views(self, prefix: str = "") -> None:
+        """The stored tables as SQL views: nodes, edges, manifest."""
+        for name, df in zip(TABLES, self.read(), strict=True):
+            df.createOrReplaceTempView(prefix + name)
+
     def write(self, nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> None:
         old, new = self.version(), f"v-{uuid.uuid4().hex}"
         for name, df in zip(TABLES, (nodes, edges, manifest), strict=True):

@@ -91,6 +91,8 @@ def test_project_scope_finds_other_files(spark, tmp_path):
     root, store = project(spark, tmp_path, code.PY_PROJECT)
     build_graph(spark, store, root, resolve_scope="project")
     _, edges, _ = store.read()
+    store.register_views("g_")
+    assert spark.sql("SELECT count(*) FROM g_edges JOIN g_nodes ON dst_name = symbol_name").first()[0] > 0
     across = edges.where("src_file <> dst_file").collect()
     assert [(r.src_name, r.dst_name) for r in across] == [("Cart.total", "net")]
 
