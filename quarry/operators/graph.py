@@ -6,6 +6,8 @@ so callers, callees and dependencies are filters, not joins. Orders are total.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,22 +79,35 @@ def module_dependencies(edges: DataFrame, file_path: str | None = None, top: int
     return counted if top is None else counted.orderBy(F.desc("call_count"), "source_file", "target_file").limit(top)
 
 
+def one_row(**parts: DataFrame) -> DataFrame:
+    """One row of the single values of tables with one row and one column each."""
+    kinds = {name: df.schema[0].dataType for name, df in parts.items()}
+    rows = [df.select(*((F.col(f"`{df.columns[0]}`") if name == own else F.lit(None)).cast(kinds[name]).alias(name) for name in parts)) for own, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*(F.first(name, ignorenulls=True).alias(name) for name in parts))
+
+
 def totals(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) -> DataFrame:
     """(total_nodes, total_edges), of a file (edges by source) if given; all edge types."""
     if file_path is not None:
         nodes, edges = nodes.where(F.col("file_path") == file_path), edges.where(F.col("src_file") == file_path)
-    parts = nodes.agg(F.count("*").alias("n")).select("n", F.lit("total_nodes").alias("what")).unionByName(edges.agg(F.count("*").alias("n")).select("n", F.lit("total_edges").alias("what")))
-    pick = lambda w: F.max(F.when(F.col("what") == w, F.col("n"))).alias(w)
-    return parts.agg(pick("total_nodes"), pick("total_edges"))
+    return one_row(total_nodes=nodes.agg(F.count("*")), total_edges=edges.agg(F.count("*")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) -> DataFrame:
     """One row: totals, the top 5 hotspots and 10 module dependencies as arrays."""
-    tops = hotspots(edges, 5, file_path).select(F.lit("hotspots").alias("what"), F.struct((-F.col("caller_count")).alias("o"), F.col("symbol").alias("a"), F.col("file").alias("b"), F.col("caller_count").alias("call_count")).alias("x"))
-    deps = module_dependencies(edges, file_path, 10).select(F.lit("module_dependencies").alias("what"), F.struct((-F.col("call_count")).alias("o"), F.col("source_file").alias("a"), F.col("target_file").alias("b"), "call_count").alias("x"))
-    rows = tops.unionByName(deps)
-    pick = lambda w: F.transform(F.sort_array(F.collect_list(F.when(F.col("what") == w, F.col("x")))), lambda x: F.concat_ws("|", x["a"], x["b"], x["call_count"].cast("string"))).alias(w)
-    return totals(nodes, edges, file_path).join(rows.agg(pick("hotspots"), pick("module_dependencies")))
+    def listed(top: DataFrame, count: str, *names: str) -> DataFrame:
+        best = F.sort_array(F.collect_list(F.struct((-F.col(count)).alias("o"), *(F.col(n).alias(f"c{i}") for i, n in enumerate(names)))))
+        return top.agg(F.transform(best, lambda x: F.concat_ws("|", *(x[f"c{i}"] for i in range(len(names))), (-x["o"]).cast("string"))))
+
+    if file_path is not None:
+        own_nodes, own_edges = nodes.where(F.col("file_path") == file_path), edges.where(F.col("src_file") == file_path)
+    else:
+        own_nodes, own_edges = nodes, edges
+    return one_row(
+        total_nodes=own_nodes.agg(F.count("*")), total_edges=own_edges.agg(F.count("*")),
+        hotspots=listed(hotspots(edges, 5, file_path), "caller_count", "symbol", "file"),
+        module_dependencies=listed(module_dependencies(edges, file_path, 10), "call_count", "source_file", "target_file"),
+    )
 
 
 def is_empty(nodes: DataFrame) -> bool:

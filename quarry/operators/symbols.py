@@ -70,7 +70,8 @@ def verify(requests: DataFrame, symbols: DataFrame, known: DataFrame, similar_th
     asked = requests.dropDuplicates(["library", "symbol", "language"])
     keys = ["symbol"] + (["library"] if "library" in symbols.columns else [])
     at = symbols.withColumnRenamed("name", "symbol")
-    best = first_by_priority(at, keys, ["dir_rank", "file_path", "ordinal"]).select(*keys, F.struct("symbol_type", "file_path", "line_number", "signature", F.col("relative_path") if "relative_path" in at.columns else F.lit(None).cast("string").alias("relative_path")).alias("local"))
+    wanted = at.join(asked.select("symbol").distinct(), "symbol", "left_semi")
+    best = first_by_priority(wanted, keys, ["dir_rank", "file_path", "ordinal"]).select(*keys, F.struct("symbol_type", "file_path", "line_number", "signature", F.col("relative_path") if "relative_path" in at.columns else F.lit(None).cast("string").alias("relative_path")).alias("local"))
     out = asked.join(best, keys, "left").join(F.broadcast(known.withColumn("is_known", F.lit(True))), ["library", "symbol"], "left")
     lost = out.where("local is null and is_known is null").select("library", "symbol", "language")
     near = nearest(at.withColumnRenamed("symbol", "name"), lost.select("symbol").distinct(), similar_threshold)

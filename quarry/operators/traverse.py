@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import calls
+from quarry.operators.graph import calls, one_row
 from quarry.plans.staging import stage
 
 #: Most frontier names that are broadcast; beyond it the level's join shuffles.
@@ -47,13 +47,10 @@ def transitive_dependents(edges: DataFrame, symbol: str, max_depth: int = 3) ->
 def impact(nodes: DataFrame, edges: DataFrame, symbol: str, change_type: str = "modify", high: tuple[float, int] = (0.5, 10), medium: tuple[float, int] = (0.2, 5), count_depth: int = 3) -> DataFrame:
     """One row: callers, dependents to ``count_depth``, their share of all nodes and the
     risk. Both the share and the count must be above a level's limits."""
-    direct = calls(edges).where(F.col("dst_name") == symbol).agg(F.count("*").alias("direct_callers"))
-    reach = transitive_dependents(edges, symbol, count_depth).agg(F.count("*").alias("transitive_dependents"))
-    whole = nodes.agg(F.count("*").alias("total_nodes"))
     ratio = F.when(F.col("total_nodes") > 0, F.col("transitive_dependents") / F.col("total_nodes")).otherwise(F.lit(0.0))
     level = lambda x: (ratio > x[0]) & (F.col("transitive_dependents") > x[1])
     risk = F.when(level(high), "high").when(level(medium), "medium").otherwise("low")
-    one = direct.join(reach).join(whole)
+    one = one_row(direct_callers=calls(edges).where(F.col("dst_name") == symbol).agg(F.count("*")), transitive_dependents=transitive_dependents(edges, symbol, count_depth).agg(F.count("*")), total_nodes=nodes.agg(F.count("*")))
     return one.select(F.lit(symbol).alias("symbol"), F.lit(change_type).alias("change_type"), "direct_callers", "transitive_dependents", "total_nodes", F.round(ratio, 3).alias("impact_ratio"), risk.alias("risk_level"))
 
 
@@ -74,9 +71,11 @@ def impact_report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbo
     dependents = transitive_dependents(edges, symbol, max_depth)
     names = dependents.select("caller").unionByName(spark.range(1).select(F.lit(symbol).alias("caller")))
     listed = dependents.agg(F.sort_array(F.collect_list(F.concat_ws("@", F.format_string("%d", "depth"), "caller"))).alias("dependents"))
-    out = impact(nodes, edges, symbol, change_type).join(listed)
     if test_files is None:
-        return out.withColumn("test_files", F.array().cast("array<string>"))
-    targets = names.select(F.substring_index("caller", ".", -1).alias("name")).distinct()
-    hit = test_files.join(targets, "name", "left_semi").agg(F.sort_array(F.collect_set("path")).alias("test_files"))
-    return out.join(hit)
+        hit = spark.range(1).select(F.array().cast("array<string>"))
+    else:
+        targets = names.select(F.substring_index("caller", ".", -1).alias("name")).distinct()
+        hit = test_files.join(targets, "name", "left_semi").agg(F.sort_array(F.collect_set("path")))
+    counted = impact(nodes, edges, symbol, change_type)
+    row = one_row(counted=counted.select(F.struct("*")), dependents=listed, test_files=hit)
+    return row.select("counted.*", "dependents", "test_files")
