@@ -7,13 +7,14 @@ UTF-8 buffer of a slice of rows at a time, so memory is bounded by ``SLICE_BYTES
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -42,6 +43,16 @@ def _powers(which: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, for worker processes that go on to other
+    tasks; without effect where the C library can't."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 @dataclass
 class Slice:
     """Rows ``first``..``last`` (exclusive) of a column, as bytes with row offsets."""

@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.bytewords import release_memory
+
 DIMS = 1024
 #: Most languages that can be learned: their prototypes are collected (8 KB each).
 LANGUAGES = 5000
 UNKNOWN = "und"
-_KNOWN_TRIGRAMS = 100_000
+#: Most trigrams whose vectors a process keeps (1 KB each).
+_KNOWN_TRIGRAMS = 50_000
 _TABLE: list[np.ndarray] = []
 
 
@@ -59,11 +62,13 @@ class Hypervectors:
         self._reset()
 
     def _reset(self) -> None:
-        self.codes, self.rows = np.zeros(0, np.int64), np.zeros((0, self.dims), np.float32)
+        """codes is sorted; slots has the row of each, in the order of arrival."""
+        self.codes, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rows, self.used = np.zeros((1024, self.dims), np.int8), 0
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
-            self.letters[point] = np.random.default_rng([20240901, point]).choice(np.array([-1, 1], np.float32), self.dims)
+            self.letters[point] = np.random.default_rng([20240901, point]).choice(np.array([-1, 1], np.int8), self.dims)
         return self.letters[point]
 
     def _bind(self, code: int) -> np.ndarray:
@@ -72,18 +77,34 @@ class Hypervectors:
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors, each as often as counted."""
-        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        missing = codes if not len(self.codes) else codes[self.codes[at] != codes]
-        if len(missing):
-            if len(self.codes) > _KNOWN_TRIGRAMS:
+        at = np.searchsorted(self.codes, codes)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == codes[known]
+        if not known.all():
+            if len(self.codes) + len(codes) > _KNOWN_TRIGRAMS:
                 self._reset()
-                missing = codes
-            fresh = np.array([self._bind(int(c)) for c in missing], np.float32).reshape(-1, self.dims)
-            both = np.concatenate((self.codes, missing))
-            order = np.argsort(both, kind="stable")
-            self.codes, self.rows = both[order], np.concatenate((self.rows, fresh))[order]
+                known = np.zeros(len(codes), bool)
+            missing = codes[~known]
+            while self.used + len(missing) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            for i, code in enumerate(missing.tolist()):
+                self.rows[self.used + i] = self._bind(code)
+            place = np.searchsorted(self.codes, missing)
+            self.codes = np.insert(self.codes, place, missing)
+            self.slots = np.insert(self.slots, place, np.arange(self.used, self.used + len(missing)))
+            self.used += len(missing)
             at = np.searchsorted(self.codes, codes)
-        return counts.astype(np.float32) @ self.rows[at]
+        return counts.astype(np.float32) @ self.rows[self.slots[at]].astype(np.float32)
+
+
+_KEPT: list[Hypervectors] = []
+
+
+def kept_vectors() -> Hypervectors:
+    """The vectors of this process: a worker that runs many tasks keeps its table."""
+    if not _KEPT:
+        _KEPT.append(Hypervectors())
+    return _KEPT[0]
 
 
 def held_out(id_col: str) -> Column:
@@ -95,7 +116,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str],
     """Languages and their normalised prototypes, from every row of ``labelled``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Hypervectors()
+        space = kept_vectors()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             met: dict[str, list] = {}
@@ -137,7 +158,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = shared.value
-        space = Hypervectors()
+        space = kept_vectors()
         for batch in batches:
             names, scores = [], []
             for text in batch.column(batch.num_columns - 1):
@@ -152,6 +173,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
                 names.append(name)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        release_memory()
 
     return source.mapInArrow(work, schema)
 
