@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import mix, shingle_sets, slices
+from quarry.llm.bytewords import mix, release_memory, shingle_sets, slices
 from quarry.llm.components import connected_components
 from quarry.llm.runs import runs
 from quarry.plans.staging import stage
@@ -105,6 +105,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, label
                     [ids.slice(part.first, part.last - part.first), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(digests[:, 0].copy())), pa.array(_signed(digests[:, 1].copy())), pa.array(raw, pa.binary())],
                     names=["k", "n", "d1", "d2", "shingles"],
                 )
+        release_memory()
 
     return stage(source.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()), f"{label}-sets")
 
@@ -175,6 +176,7 @@ def _prefixes(sets: DataFrame, heavy: list[tuple[int, int]], percent: int) -> Da
                 sid = np.repeat(batch.column(0).to_numpy(), lengths)
                 n = np.repeat(batch.column(2).to_numpy(), lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(sid), pa.array(n.astype(np.int32))], names=["token", "sid", "n"])
+        release_memory()
 
     return sets.select("sid", "shingles", "n").mapInArrow(work, "token long, sid long, n int")
 
@@ -259,6 +261,7 @@ def _candidates(distinct: DataFrame, percent: int, label: str) -> DataFrame:
         for batch in batches:
             signed = [bitmap(x, 2).tobytes() for x in _arrays(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed, pa.binary())], names=["sid", "n", "bits"])
+        release_memory()
 
     signed = distinct.select("sid", "n", "shingles").mapInArrow(sign, "sid long, n long, bits binary")
 
@@ -302,6 +305,7 @@ def _exact(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
                     edges += [(sid[a + i], sid[a + j]) for i, j in tile.link(holds)]
             pairs = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        release_memory()
 
     dealt = members.select(*keys, "sid", "n", "mark", "shingles").repartition(*keys).sortWithinPartitions(*keys, "n", "sid")
     return dealt.mapInArrow(work, "a long, b long")
