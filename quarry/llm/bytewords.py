@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,18 @@ def _powers(which: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+@contextmanager
+def arrow_rows(spark, rows: int):
+    """Jobs inside exchange batches of so many rows with Python, for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system, for worker processes that go on to other
     tasks; without effect where the C library can't."""
