@@ -3,13 +3,16 @@
 Two first-order character models are trained, one from labelled random strings and one
 from labelled ordinary identifiers. A long run of key characters is a secret if its
 log-likelihood ratio per character is above a threshold that no training identifier
-reaches. Candidate runs are found on the bytes of many texts at once; only texts with a
+reaches, and so is any stretch of a run, or of what base forms leave of it, whose ratio
+is above what no stretch of joined identifiers reaches. Candidate runs are found on the bytes of many texts at once; only texts with a
 candidate are looked at one by one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -33,6 +36,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _WORDS = re.compile(rb"password|passwd|secret|token|api_?key", re.I)
 _CLASS = np.zeros(256, bool)
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
+#: Key characters that join words.
+MARKS = "+/_=-"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 # Ordinary words of identifiers and prose.
 ORDINARY = """account action active address amount array author background balance batch border bottom buffer button cache
@@ -82,6 +87,17 @@ class Markov:
         self.logs = np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def best_stretch(ratios: np.ndarray, above: float) -> tuple[int, int] | None:
+    """The stretch of ``LEAST_RUN`` characters or more whose ratios exceed ``above`` by
+    the greatest sum; None if no stretch's mean exceeds it."""
+    if len(ratios) < LEAST_RUN:
+        return None
+    upto = np.append(0.0, np.cumsum(ratios - above))
+    gain = upto[LEAST_RUN:] - np.minimum.accumulate(upto[:-LEAST_RUN])
+    last = int(np.argmax(gain))
+    return (int(np.argmin(upto[: last + 1])), last + LEAST_RUN) if gain[last] > 0 else None
+
+
 class SecretModel:
     """The ratio of the two models, and the threshold above all ordinary samples."""
 
@@ -92,15 +108,51 @@ class SecretModel:
         self.ratio, self.index = first.logs - Markov(plain).logs, first.index
         scores = sorted(self.score(s) for s in plain if len(s) >= LEAST_RUN)
         self.threshold = max(0.0, scores[-1]) + margin
+        self.stretch_threshold = self._ordinary_stretch(plain, self.threshold - margin) + margin
+
+    def _ordinary_stretch(self, plain: list[str], most: float) -> float:
+        """The ratio of the best stretch of ordinary samples, alone and joined."""
+        rng = random.Random(5)
+        joined = [rng.choice("/_-=").join(rng.choice(plain) for _ in range(rng.randint(2, 5))) for _ in plain[::3]]
+        for s in [*plain, *joined]:
+            if len(s) >= LEAST_RUN:
+                ratios = self.ratios(s)
+                while (found := best_stretch(ratios, most)) is not None:
+                    most = max(np.nextafter(most, np.inf), float(ratios[slice(*found)].mean()))
+        return most
+
+    def ratios(self, run: str) -> np.ndarray:
+        at = np.fromiter((self.index[c] for c in run), np.int64, len(run))
+        return self.ratio[np.append(len(ALPHABET), at[:-1]), at]
 
     def score(self, run: str) -> float:
         """Log-likelihood ratio per character: positive if random is likelier."""
-        at = np.fromiter((self.index[c] for c in run), np.int64, len(run))
-        return float(self.ratio[np.append(len(ALPHABET), at[:-1]), at].mean())
+        return float(self.ratios(run).mean())
 
     def is_secret(self, run: str) -> bool:
         return self.score(run) > self.threshold
 
+    def secrets(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of a run as a whole, or else of its random stretches, each
+        widened to the next mark on either side, by ``LEAST_RUN`` characters at most."""
+        if self.is_secret(run):
+            return [(0, len(run))]
+        ratios, out, todo = self.ratios(run), [], [(0, len(run))]
+        while todo:
+            a, b = todo.pop()
+            found = best_stretch(ratios[a:b], self.stretch_threshold)
+            if found is None:
+                continue
+            start, end = a + found[0], a + found[1]
+            low, high = max(a, start - LEAST_RUN), min(b, end + LEAST_RUN)
+            while start > low and run[start - 1] not in MARKS:
+                start -= 1
+            while end < high and run[end] not in MARKS:
+                end += 1
+            out.append((start, end))
+            todo += [(a, start), (end, b)]
+        return sorted(out)
+
 
 _KEPT: list[SecretModel] = []
 
@@ -121,10 +173,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], model: SecretModel) -> list[tuple[int, int, int]]:
-    """Runs that the models call random and that no base span touches."""
-    runs = [(m.start(), 3, m.end()) for m in _RUN.finditer(text)]
-    free = [r for r in runs if all(r[2] <= s or e <= r[0] for s, _, e in base)]
-    return [(a, k, b) for a, k, b in free if model.is_secret(text[a:b])]
+    """What the models call random in runs and in the parts that base spans leave of them."""
+    out, taken = [], merged(base)
+    for m in _RUN.finditer(text):
+        at = m.start()
+        first = bisect.bisect_right(taken, at, key=lambda x: x[1])
+        for s, e in [*itertools.takewhile(lambda x: x[0] < m.end(), itertools.islice(taken, first, None)), (m.end(), m.end())]:
+            if s - at >= LEAST_RUN:
+                out += [(at + a, 3, at + b) for a, b in model.secrets(text[at:s])]
+            at = max(at, e)
+    return out
+
+
+def merged(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover together, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in base:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -152,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     with these, for each row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, by start and then kind; the digest is of
-    the base ones. Base forms always stay; ``random`` spans are runs of 20 or more key
+    the base ones. Base forms always stay; ``random`` spans are stretches of 20 or more key
     characters apart from them. Null and empty texts have none. Texts are read whole,
     repeated rows get equal answers, other columns are ignored, whatever their names,
     and an empty table gives an empty result.

@@ -268,6 +268,28 @@ def test_redaction(docs):
     assert secret_scan.redact(docs([(1, token)])).first().text == 'token = "[secret]" x'
 
 
+def test_keys_inside_longer_runs(docs):
+    """Joined to ordinary words, and beside a base form in one run."""
+    model = secret_scan.kept_model()
+    samples, rng = secret_scan.labelled_samples(seed=78, n=600), random.Random(8)
+    keys, plain = [s for s, y in samples if y], [s for s, y in samples if not y]
+    found = clean = 0
+    for key in keys:
+        before = "".join(rng.choice(plain) + rng.choice("/_-") for _ in range(rng.randint(1, 3)))
+        text = f"https://host.org/{before}{key}{rng.choice(['', '/' + rng.choice(plain)])} end"
+        at = text.index(key)
+        covered = {p for a, _, b in secret_scan.base_spans(text) for p in range(a, b)}
+        covered |= {p for a, _, b in secret_scan.random_spans(text, secret_scan.base_spans(text), model) for p in range(a, b)}
+        found += sum(p in covered for p in range(at, at + len(key))) >= 0.9 * len(key)
+        clean += not secret_scan.random_spans(before + rng.choice(plain), [], model)
+    assert found > 0.97 * len(keys) and clean > 0.98 * len(keys)
+    access, key = "AKIA" + "Q2W3E4R5T6Y7U8I9", "wJalrXUtnFEMI7K9MDENGbPxRfiCYzE4kT0qLm2s"
+    t = f"see {access}/{key} and first_account_value_total/customer-document-description/{key}/list x"
+    assert key not in secret_scan.redact(docs([(1, t)])).first().text
+    assert secret_scan.listed(secret_scan.base_spans(t)) == f"access:4:{4 + len(access)}"
+    assert secret_scan.redact(docs([(1, t)])).first().text.endswith("/list x")
+
+
 def test_secret_odd_rows(odd):
     assert [r.spans for r in secret_scan.scan(odd).collect()] == [""] * 8
     assert secret_scan.scan(odd.limit(0)).count() == 0
