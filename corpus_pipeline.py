@@ -11,21 +11,28 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_decode
 from quarry.llm.jaccard_join import jaccard_components
-from quarry.llm.language_id import UNKNOWN, held_out, learn, predict
+from quarry.llm.language_id import UNKNOWN, floors, held_out, learn, length_class, predict
 from quarry.llm.mixing import mix
 from quarry.llm.secret_scan import redact
 from quarry.plans.staging import stage
 
-#: Documents whose best cosine is below this are in no learned language.
+#: Documents whose best cosine is below this are in no learned language, whatever the
+#: floor of their length.
 LEAST_SCORE = 0.02
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: rejects texts without letters, and those like no language."""
+    """Language ID: rejects texts without letters, and those like no language: below the
+    floor that the held-out texts of their length give."""
     model = learn(docs.where(~held_out("doc_id")), "text", "lang")
+    by_class = floors(docs.where(held_out("doc_id")), model, "text", "lang", LEAST_SCORE)
+    floor = F.lit(LEAST_SCORE)
+    if by_class:
+        listed = F.create_map(*(F.lit(x) for pair in sorted(by_class.items()) for x in pair))
+        floor = F.coalesce(F.try_element_at(listed, length_class("text")), floor)
     judged = predict(docs, model, "text")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ taken as differences from their mean, so what all languages share doesn't count.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ DIMS = 1024
 #: Most languages that can be learned: their prototypes are collected (8 KB each).
 LANGUAGES = 5000
 UNKNOWN = "und"
+#: Fewest texts of a length class for a floor of its own, and buckets of scores.
+LEAST_LABELLED = 100
+SCORE_BUCKETS = 1000
 #: Most trigrams whose vectors a process keeps (1 KB each).
 _KNOWN_TRIGRAMS = 50_000
 _TABLE: list[np.ndarray] = []
@@ -149,8 +153,17 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str],
     return langs, rows.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with lang_pred and score from the text alone."""
+def shuffled(text: str) -> str:
+    """``text`` with its letters in another order, the same one every time."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    letters = _lower_table()[points] != 32
+    points[letters] = np.random.default_rng(zlib.crc32(points.tobytes())).permutation(points[letters])
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, keep: list[str] | None = None, shuffle: bool = False) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with lang_pred and score from the text alone,
+    or from the text with its letters shuffled."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text_col).cast("string").alias("_text_"))
@@ -158,11 +171,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = shared.value
-        space = kept_vectors()
+        space = Hypervectors() if shuffle else kept_vectors()  # trigrams of no language aren't kept
         for batch in batches:
             names, scores = [], []
             for text in batch.column(batch.num_columns - 1):
                 text = text.as_py()
+                text = shuffled(text) if shuffle and text else text
                 codes, counts, letters = trigrams(text) if text else (None, None, False)
                 name, score = UNKNOWN, 0.0
                 if letters and langs:
@@ -178,6 +192,41 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
     return source.mapInArrow(work, schema)
 
 
+def length_class(text_col: str) -> Column:
+    """The binary logarithm of a text's number of letters, rounded down."""
+    return F.floor(F.log2(F.greatest(F.length(F.regexp_replace(F.col(text_col).cast("string"), r"[^\p{L}]+", "")), F.lit(1)))).cast("int")
+
+
+def floors(labelled: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, lang_col: str, least: float) -> dict[int, float]:
+    """Length class to the score below which a text is in no learned language, from
+    every row of ``labelled`` that ``model`` wasn't learned from.
+
+    A floor is what 99 % of the texts don't reach once their letters are shuffled, but at
+    most a quarter of what 95 % of the texts given their own language do reach, so short
+    texts, which score low, stay, and texts with a wrong label hardly count. A class of
+    fewer than ``LEAST_LABELLED`` such texts goes by those of its own and all smaller
+    ones, and by ``least`` if these are too few as well; no floor is below ``least``.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), length_class(text_col).alias("class"))
+    sketches = []
+    for shuffle in (False, True):
+        judged = predict(rows, model, "t", ["lang", "class"], shuffle).where(F.col("lang_pred") != UNKNOWN)
+        judged = judged if shuffle else judged.where("lang_pred = lang")
+        counts = judged.groupBy("class", F.floor(F.col("score") * SCORE_BUCKETS).cast("int").alias("bucket")).count().collect()
+        sketch: dict[int, np.ndarray] = {}
+        for c, b, n in counts:
+            sketch.setdefault(c, np.zeros(SCORE_BUCKETS + 1, np.int64))[b] += n
+        sketches.append(sketch)
+    own, apart = sketches
+    quantile = lambda x, q: float(np.searchsorted(np.cumsum(x), q * x.sum())) / SCORE_BUCKETS
+    out = {}
+    for c in own:
+        classes = [c] if own[c].sum() >= LEAST_LABELLED else [k for k in own if k <= c]
+        texts, noise = sum(own[k] for k in classes), sum(apart[k] for k in classes if k in apart)
+        out[c] = max(least, min(quantile(noise, 0.99), quantile(texts, 0.05) / 4)) if texts.sum() >= LEAST_LABELLED else least
+    return out
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row of ``docs``.
 

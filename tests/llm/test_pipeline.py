@@ -41,6 +41,21 @@ def test_stages_on_a_small_corpus(spark, docs, tmp_path):
     assert frames[5].select(F.countDistinct("doc_id")).first()[0] > 50
 
 
+def test_language_stage_rejects_unlearned_texts(spark, docs):
+    """Long unlabelled texts of other words go; clean ones stay, short or long."""
+    rng = random.Random(4)
+    syllables = {"en": "the of and er ing to in".split(), "de": "der und die ung sch ein".split(), "fr": "le la et eau oi que ment".split()}
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    other, fi = [chr(c) for c in range(0x430, 0x44F)], "suo mi kal ja lii kyy hta pää".split()
+    rows = [(i, text(syllables[lang], rng.randint(60, 120)), lang, "a") for i in range(1500) for lang in [rng.choice(list(syllables))]]
+    short = [(2000 + i, text(syllables[lang], 3), lang, "a") for i in range(60) for lang in [rng.choice(list(syllables))]]
+    unlearned = [(3000 + i, text([other, fi][i % 2], [200, 100][i % 2]), None, "a") for i in range(30)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs([*rows, *short, *unlearned]), "").collect()}
+    assert {r[0] for r in rows} <= kept
+    assert sum(r[0] in kept for r in short) >= 58
+    assert not {r[0] for r in unlearned} & kept
+
+
 def test_every_operator_has_a_query():
     import __spark_entry__
 
