@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions.text import is_test_file, last_segment
 from quarry.sources.files import identifiers
 
+#: Most names that are broadcast.
+BROADCAST_NAMES = 1_000_000
+
 
 def targets(names: DataFrame, column: str = "caller") -> DataFrame:
     """(name): the last dotted segments, each once."""
@@ -22,13 +25,15 @@ def by_reference(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def by_substring(files: DataFrame, wanted: DataFrame, max_names: int = 10_000) -> DataFrame:
     """(path): TypeScript and JavaScript test files whose text holds a wanted name
-    anywhere. The names become one array on every row; their number is checked, and
-    beyond ``max_names`` the words of the texts are joined instead of all substrings
-    being tried, so a name inside a longer word isn't found there."""
+    anywhere. Up to ``max_names`` names become one array on every row; more are
+    joined by the same test, each text with each name."""
     tests = files.where(is_test_file(F.col("file_path"), "typescript"))
-    listed = [r[0] for r in wanted.select("name").distinct().take(max_names + 1)]
+    names = wanted.select("name").distinct()
+    listed = [r[0] for r in names.take(max_names + 1)]
     if len(listed) > max_names:
-        words = tests.select(F.col("file_path").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w$]+"), F.lit(0)))).alias("name"))
-        return words.join(wanted, "name", "left_semi").select("path").distinct()
-    names = F.array(*(F.lit(n) for n in sorted(listed))) if listed else F.array().cast("array<string>")
-    return tests.where(F.exists(names, lambda n: F.col("content").contains(n))).select(F.col("file_path").alias("path")).distinct()
+        held = F.col("content").contains(F.col("name"))
+        few = names.count() <= BROADCAST_NAMES
+        met = tests.join(F.broadcast(names), held, "left_semi") if few else tests.join(names, held)
+        return met.select(F.col("file_path").alias("path")).distinct()
+    array = F.array(*(F.lit(n) for n in sorted(listed))) if listed else F.array().cast("array<string>")
+    return tests.where(F.exists(array, lambda n: F.col("content").contains(n))).select(F.col("file_path").alias("path")).distinct()

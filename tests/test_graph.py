@@ -148,6 +148,20 @@ def test_similarity_equals_plain_scorer(spark):
         assert r.s == pytest.approx(score(r.a, r.b)), (r.a, r.b)
 
 
+def test_many_wanted_names_are_found_like_few(spark, monkeypatch):
+    from quarry.operators import affected_tests
+    from quarry.sources import files
+
+    texts = {"tests/a.test.ts": "call(myHelperFn)", "tests/b.test.js": "x['odd-name']", "tests/c.test.ts": "nothing", "tests/d.test.ts": "use total$ now", "tests/e.ts": "myHelperFn"}
+    found = files.inline(spark, texts)
+    wanted = spark.createDataFrame([(n,) for n in ["Helper", "odd-name", "total$", *(f"absent{i}" for i in range(30))]], "name string")
+    few = {r.path for r in affected_tests.by_substring(found, wanted).collect()}
+    assert few == {"tests/a.test.ts", "tests/b.test.js", "tests/d.test.ts"}
+    assert {r.path for r in affected_tests.by_substring(found, wanted, max_names=4).collect()} == few
+    monkeypatch.setattr(affected_tests, "BROADCAST_NAMES", 0)
+    assert {r.path for r in affected_tests.by_substring(found, wanted, max_names=4).collect()} == few
+
+
 def test_paths_and_urls(spark):
     df = spark.createDataFrame([("a/b.d.ts",), ("x/.ts",), ("noext",), ("q.PY",), (None,)], "p string")
     assert [r[0] for r in df.select(text.suffix(F.col("p"))).collect()] == [".ts", "", "", ".PY", None]
