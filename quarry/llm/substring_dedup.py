@@ -5,7 +5,7 @@ ends where the hash is the least within ``REACH`` bytes on either side. Whether
 is a cut depends on the ``2 * REACH + 16`` bytes around it only, so an insertion moves
 the cuts near it and no others. Chunks are compared by digest: the document of least
 id that has a chunk keeps it, and a chunk in any other document is a repeat. Runs of
-adjacent repeats with enough words are repeated passages.
+adjacent repeats with enough words or bytes, or of a whole text, are repeated passages.
 
 Repeated digests grow with the corpus, so they meet the chunks in a shuffled join, whose
 large partitions (a passage that many documents share) adaptive execution splits.
@@ -31,6 +31,8 @@ from quarry.plans.staging import stage
 REACH = 16
 #: A chunk without a cut for so many bytes is cut there.
 LONGEST = 256
+#: Least bytes of a chunk inside a stretch of short period.
+PERIODIC = 64
 _GEAR = np.random.default_rng(97).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -56,14 +58,34 @@ def _least_before(h: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
+def _periodic_cuts(ends: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Cuts in long gaps between ``ends`` where the hash is as low as ``REACH`` bytes
+    before: text of a short period, whose ties are all at one place of the period. The
+    first tie and each one ``PERIODIC`` bytes or more after the last make equal chunks,
+    wherever the stretch lies."""
+    gap = np.searchsorted(ends, ties)
+    long = np.diff(ends, prepend=0)[gap] > PERIODIC
+    gap, ties = gap[long], ties[long]
+    out: list[int] = []
+    for own in np.split(ties, np.flatnonzero(np.diff(gap)) + 1):
+        i = 0
+        while i < len(own):
+            out.append(own[i])
+            i = int(np.searchsorted(own, own[i] + PERIODIC))
+    return np.array(out, np.int64)
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Where chunks of one text end, the end of the text included."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     h = gear(data)
-    ends = np.flatnonzero((h < _least_before(h, REACH)) & (h <= _least_before(h[::-1], REACH)[::-1])) + 1
-    ends = np.unique(np.append(ends, n))
+    before, least_after = _least_before(h, REACH), h <= _least_before(h[::-1], REACH)[::-1]
+    ends = np.unique(np.append(np.flatnonzero((h < before) & least_after) + 1, n))
+    ties = np.flatnonzero((h == before) & least_after) + 1
+    if len(ties):
+        ends = np.unique(np.append(ends, _periodic_cuts(ends, ties)))
     gaps = np.diff(ends, prepend=0)
     if gaps.max() > LONGEST:
         more = [np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST], strict=True)]
@@ -72,7 +94,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _chunks_of(part: Slice) -> tuple[np.ndarray, ...]:
-    """For a slice: row, number in its text, start, end, words and digest of each chunk."""
+    """For a slice: row, number in its text, start, end, words and digest of each chunk,
+    and whether it is the text's last."""
     rows, numbers, starts, ends = [], [], [], []
     for r in range(part.last - part.first):
         a, b = part.offsets[r], part.offsets[r + 1]
@@ -83,36 +106,37 @@ def _chunks_of(part: Slice) -> tuple[np.ndarray, ...]:
             starts.append(np.append(0, e[:-1]) + a)
             ends.append(e + a)
     if not rows:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 7
     row, number, start, end = (np.concatenate(x).astype(np.int64) for x in (rows, numbers, starts, ends))
     began = part.words()[0]
     words = np.searchsorted(began, end) - np.searchsorted(began, start)
     digest = part.word_hashes(start, end, lower=False).view(np.int64)
     first = part.offsets[row]
-    return row, number, start - first, end - first, words, digest
+    return row, number, start - first, end - first, words, digest, end == part.offsets[row + 1]
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, k, number, start, end, words, digest): every chunk of every text."""
+    """(row, k, number, start, end, words, digest, last): every chunk of every text."""
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    fields = [T.StructField("row", T.LongType()), source.schema["k"], *(T.StructField(c, T.IntegerType()) for c in ("number", "start", "end", "words")), T.StructField("digest", T.LongType())]
+    fields = [T.StructField("row", T.LongType()), source.schema["k"], *(T.StructField(c, T.IntegerType()) for c in ("number", "start", "end", "words")), T.StructField("digest", T.LongType()), T.StructField("last", T.BooleanType())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(2)):
-                row, number, start, end, words, digest = _chunks_of(part)
+                row, number, start, end, words, digest, last = _chunks_of(part)
                 at = pa.array(row + part.first)
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (number, start, end, words)), pa.array(digest)]
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (number, start, end, words)), pa.array(digest), pa.array(last.astype(bool))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return source.mapInArrow(work, T.StructType(fields))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, min_bytes: int = 256) -> DataFrame:
     """(id, first_id, start_byte, end_byte, n_chunks, n_words): passages to drop.
 
     A row is a run of adjacent chunks of a document that documents of a smaller id
-    hold too, ``min_words`` words or more together; ``first_id`` is the least id that
+    hold too, ``min_words`` words or ``min_bytes`` bytes or more together, or all of a
+    text of any length; ``first_id`` is the least id that
     holds a chunk of it. A repeated passage of ``w`` words shows as a run some ten
     words shorter, as the chunks across its edges differ.
 
@@ -127,8 +151,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     again = chunks.join(held, "digest").where("first <> k").drop("digest")
     order = Window.partitionBy("row").orderBy("number")
     runs = again.withColumn("run", F.col("number") - F.row_number().over(order))
-    spans = runs.groupBy("row", "run").agg(F.first("k").alias(id_col), F.min("first").alias("first_id"), F.min("start").cast("long").alias("start_byte"), F.max("end").cast("long").alias("end_byte"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"))
-    return spans.where(F.col("n_words") >= min_words).drop("row", "run")
+    spans = runs.groupBy("row", "run").agg(F.first("k").alias(id_col), F.min("first").alias("first_id"), F.min("start").cast("long").alias("start_byte"), F.max("end").cast("long").alias("end_byte"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), ((F.min("number") == 0) & F.bool_or("last")).alias("whole"))
+    long = (F.col("n_words") >= min_words) | (F.col("end_byte") - F.col("start_byte") >= min_bytes)
+    return spans.where(long | F.col("whole")).drop("row", "run", "whole")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:

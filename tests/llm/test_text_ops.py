@@ -103,6 +103,30 @@ def test_planted_passages_are_found_and_others_left(docs):
     assert words(8, 90) in cut[8]
 
 
+def test_ties_in_short_gaps_only():
+    for n in range(1, 80):
+        data = b"It " * n + words(n, 5).encode()
+        assert substring_dedup.cuts(np.frombuffer(data, np.uint8))[-1] == len(data)
+
+
+def test_short_copies_and_texts_without_spaces(docs):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    passage = han(200)
+    rows = [(1, words(1, 9)), (2, words(2, 9)), (3, words(1, 9)), (4, words(1, 9) + " more"), (10, han(300) + passage), (11, han(250) + passage + han(80)), (12, han(300))]
+    got = {(r.doc_id, r.first_id) for r in substring_dedup.repeated_passages(docs(rows)).collect()}
+    assert got == {(3, 1), (11, 10)}
+
+
+@pytest.mark.parametrize("phrase", ["word ", "a b ", "lorem ipsum dol "])
+def test_periodic_passages_at_other_offsets(docs, phrase):
+    stretch = phrase * (90 // len(phrase.split()))
+    rows = [(1, words(1, 60) + " " + stretch + words(2, 60)), (2, words(3, 71) + " " + stretch + words(4, 50)), (3, words(5, 120))]
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    assert [(r.doc_id, r.first_id) for r in got] == [(2, 1)]
+    assert got[0].n_words > 45
+
+
 def test_substring_odd_rows(odd):
     assert substring_dedup.repeated_passages(odd).count() == 0
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
