@@ -232,6 +232,16 @@ def impact_report(spark, d):
     return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT, max_depth=1)
 
 
+_TESTS_HIT = "SELECT DISTINCT 'tests/' || s_suppkey AS path FROM supplier WHERE 'nation:' || s_nationkey IN (SELECT caller FROM rep WHERE rn = 1)"
+
+
+@query(_impact_sql(f", coalesce((SELECT list(depth || '@' || caller ORDER BY depth || '@' || caller) FROM rep WHERE rn = 1), CAST([] AS VARCHAR[])) AS dependents, coalesce((SELECT list(path ORDER BY path) FROM ({_TESTS_HIT})), CAST([] AS VARCHAR[])) AS test_files"))
+def impact_report_whole(spark, d):
+    """At the default depth, with suppliers as test files that mention their nation."""
+    tests = table(spark, d, "supplier").select(F.concat(F.lit("tests/"), F.col("s_suppkey").cast("string")).alias("path"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("name"))
+    return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT, test_files=tests)
+
+
 @query("SELECT DISTINCT url AS path FROM pages WHERE contains(html, 'thing') OR contains(html, 'cht')")
 def test_files_substring(spark, d):
     wanted = spark.createDataFrame([("a.thing",), ("b.c.cht",)], "caller string")
