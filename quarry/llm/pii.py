@@ -38,7 +38,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Most tokens of a segment.
 LONGEST = 18
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", re.A)
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|AT|dot|DOT)\s?[)\]}]|\bat\s+[A-Za-z0-9-]+\s+dot\b")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]|\bat\s+[A-Za-z0-9-]+\s+dot\b", re.I)
 _CONTEXT = 40
 
 

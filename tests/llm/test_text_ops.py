@@ -231,6 +231,13 @@ def test_pii_field_adds_what_forms_miss_and_keeps_base(docs):
     assert row.base_sha256 == hashlib.sha256(pii.listed(pii.base_spans(t)).encode()).hexdigest()
 
 
+def test_spelled_out_addresses_in_any_case(docs):
+    texts = ["write to Joan AT example DOT com today", "write to joan (At) example (Dot) com today"]
+    rows = {r.doc_id: r for r in pii.find_pii(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].n_added == 1 and f"email:9:{t.index(' today')}" in rows[i].spans
+
+
 def test_pii_decode_is_the_best_labelling():
     """The dynamic program equals trying every set of segments."""
     text = "x 12.34.56.78 y (017) 555-7713"
