@@ -1,16 +1,31 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each text is measured inside its row by array functions. The measures of all documents
-go into mergeable quantile sketches per language and source: counts by bucket of fixed
-width, so merging is addition, exact in any order, and a quantile is off by a bucket at
-most. A threshold is the upper fence ``q75 + reach * (q75 - q25) + slack`` of a
-document's own language and source (and the lower fence, for word length). Groups of
-fewer than ``LEAST`` documents use the merged sketch of their language, and languages of
-fewer than that the merged sketch of all. The thresholds are joined back to filter.
+that pass the base rule go into mergeable quantile sketches per language and source:
+counts by bucket, where a bucket keeps the ``BITS`` highest bits of a value, so merging
+is addition, exact in any order, and a quantile is off by ``2 ** -(BITS - 1)`` of itself
+at most. No measure has a constant of its own. The fence of a measure carries the tail of
+the document's own group on: through the quantiles ``q75`` and ``q90`` an exponential tail
+is laid, and the fence is where it expects one document among ``RARE`` times the group,
+
+    fence = q90 + (q90 - q75) / ln(2.5) * ln(0.1 * RARE * n)
+
+(word length has a lower fence as well, from ``q25`` and ``q10``). A text beyond the fence
+fails if chance can't explain it: the fence is widened to the score interval of ``Z``
+standard errors of a rate that is counted on as many units (words, lines, characters) as
+the text has, or as the group's median text has, if that is fewer. So short texts have
+more room, and a group whose texts all agree (``q75 = q90``) allows what its median text
+couldn't tell from that value.
+
+Groups of fewer than ``LEAST`` documents use the merged sketch of their language, and
+languages of fewer than that the merged sketch of all. Thresholds are joined back to
+filter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +35,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Fewest documents for a sketch to stand on its own.
 LEAST = 200
-REACH = 3
-#: Per measure: buckets per unit, and slack beyond the fences in buckets.
-MEASURES = {"symbol_share": (1000, 50), "dup_line_share": (1000, 500), "repeat_share": (1000, 350), "word_length": (10, 20)}
+#: A fence expects one document in so many times the group beyond it.
+RARE = 10
+#: Standard errors that chance is given.
+Z = 3
+#: Highest bits of a value that its bucket keeps, and units of a measure's values.
+BITS, UNIT = 7, 1 << 16
+#: Per measure: what is counted, on how many units, and whether it is a share of them.
+MEASURES = {"symbol_share": ("n_symbols", "word_chars", True), "dup_line_share": ("n_dup_lines", "n_lines", True), "repeat_share": ("n_repeat_words", "n_words", True), "word_length": ("word_chars", "n_words", False)}
+UNITS = ("word_chars", "n_lines", "n_words")
 #: Most language and source groups whose thresholds are broadcast (about 60 MB).
 BROADCAST_GROUPS = 500_000
 
@@ -64,41 +85,56 @@ def base_measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, so
     return out.withColumn("base_failed", failed)
 
 
-def _buckets() -> dict[str, Column]:
-    """Measures as bucket numbers; null where a text has no words."""
-    some = F.col("n_words") > 0
-    share = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
-    return {m: F.when(some, F.floor(F.col(a) * MEASURES[m][0] / F.col(b))).cast("int") for m, (a, b) in share.items()}
+def _bucket(value: Column) -> Column:
+    """A whole number with all but its ``BITS`` highest bits cleared."""
+    low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
+def _sketched() -> dict[str, Column]:
+    """Measures in units, and the bases they are counted on, as bucket numbers."""
+    rates = {m: F.floor(F.col(a) * UNIT / F.col(b)).cast("long") for m, (a, b, _) in MEASURES.items()}
+    return {name: _bucket(c) for name, c in (rates | {b: F.col(b) for b in UNITS}).items()}
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, n, q25, q75) of sketches (keys, measure, bucket, count)."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, n, q10, q25, q50, q75, q90) of sketches (keys, measure, bucket, count)."""
     upto = F.sum("count").over(Window.partitionBy(*keys, "measure").orderBy("bucket"))
     total = F.sum("count").over(Window.partitionBy(*keys, "measure"))
     ranked = sketch.withColumn("upto", upto).withColumn("n", total)
-    quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("n").alias("n"), quart(1).alias("q25"), quart(3).alias("q75"))
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("n") * q, F.col("bucket"))).alias(f"q{q}") for q in (10, 25, 50, 75, 90)]
+    return ranked.groupBy(*keys, "measure").agg(F.max("n").alias("n"), *at)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high in buckets) for each group."""
-    by_name = _buckets()
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), c.alias("bucket")) for m, c in by_name.items())))
-    rows = measured.select("lang", "source", pairs.alias("x")).select("lang", "source", "x.measure", "x.bucket").where("bucket is not null")
+    """(lang, source, <measure>_low, <measure>_high, <base>_median) for each group: fences
+    as rates, before chance is allowed for."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), c.alias("bucket")) for m, c in _sketched().items())))
+    rows = measured.where("not base_failed").select("lang", "source", pairs.alias("x")).select("lang", "source", "x.measure", "x.bucket")
     own = stage(rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("count")), "quality-sketches")
     of_lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("count").alias("count"))
     of_all = own.groupBy("measure", "bucket").agg(F.sum("count").alias("count"))
-    a = _quartiles(own, ["lang", "source"])
-    b = _quartiles(of_lang, ["lang"]).select(F.col("lang").alias("b_lang"), F.col("measure").alias("b_measure"), F.struct("n", "q25", "q75").alias("b"))
-    c = _quartiles(of_all, []).select(F.col("measure").alias("c_measure"), F.struct("n", "q25", "q75").alias("c"))
-    both = a.join(F.broadcast(c), F.col("measure") == F.col("c_measure")).join(b, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")))
-    pick = lambda q: F.when(F.col("n") >= LEAST, F.col(q)).when(F.col("b.n") >= LEAST, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
-    both = both.withColumn("x", pick("q25")).withColumn("y", pick("q75"))
-    slack = F.element_at(F.create_map(*(F.lit(v) for m, (_, s) in MEASURES.items() for v in (m, s))), F.col("measure"))
-    reach = REACH * (F.col("y") - F.col("x")) + slack
-    both = both.select("lang", "source", "measure", (F.col("x") - reach).alias("low"), (F.col("y") + reach).alias("high"))
-    ends = [f(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e, f in (("low", F.min), ("high", F.max))]
-    return both.groupBy("lang", "source").agg(*ends)
+    a = _quantiles(own, ["lang", "source"])
+    whole = F.struct("n", "q10", "q25", "q50", "q75", "q90")
+    b = _quantiles(of_lang, ["lang"]).select(F.col("lang").alias("b_lang"), F.col("measure").alias("b_measure"), whole.alias("b"))
+    c = _quantiles(of_all, []).select(F.col("measure").alias("c_measure"), whole.alias("c"))
+    both = a.withColumn("a", whole).join(F.broadcast(c), F.col("measure") == F.col("c_measure")).join(b, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")))
+    both = both.select("lang", "source", "measure", F.when(F.col("a.n") >= LEAST, F.col("a")).when(F.col("b.n") >= LEAST, F.col("b")).otherwise(F.col("c")).alias("q"))
+    far = F.log(F.col("q.n") * (0.1 * RARE)) / math.log(2.5)
+    low = (F.col("q.q10") - (F.col("q.q25") - F.col("q.q10")) * far) / UNIT
+    high = (F.col("q.q90") + (F.col("q.q90") - F.col("q.q75")) * far) / UNIT
+    ends = [f(F.when(F.col("measure") == m, e)).alias(f"{m}_{x}") for m in MEASURES for x, e, f in (("low", low, F.min), ("high", high, F.max))]
+    return both.groupBy("lang", "source").agg(*ends, *(F.max(F.when(F.col("measure") == u, F.col("q.q50"))).alias(f"{u}_median") for u in UNITS))
+
+
+def _allowed(fence: Column, units: Column, share: bool, sign: int) -> Column:
+    """The end of the score interval of ``Z`` standard errors around a rate."""
+    z2 = float(Z * Z)
+    if share:
+        p = F.least(F.greatest(fence, F.lit(0.0)), F.lit(1.0))
+        return (p + z2 / (2 * units) + sign * Z * F.sqrt(p * (1 - p) / units + z2 / (4 * units * units))) / (1 + z2 / units)
+    p = F.greatest(fence, F.lit(0.0))
+    return p + z2 / (2 * units) + sign * Z * F.sqrt(p / units + z2 / (4 * units * units))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label: str = "quality") -> DataFrame:
@@ -107,10 +143,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     ``kept`` is false if the base rule fails (fewer than 50 words, or over half of the
     words in windows of three that the text repeats), or if a measure lies beyond the
-    fences of the document's language and source; ``failed_rule`` names the first such
-    measure. Null and empty texts have no words: base_failed. A null language or source
-    is a group of its own. Rows are independent of repeats, apart from the sketches,
-    which count every row. A text is handled whole, in its row. Other columns are
+    fences of the document's language and source and what chance allows; ``failed_rule``
+    names the first such measure. Null and empty texts have no words: base_failed. A null
+    language or source is a group of its own. In a group of identical values the fence is
+    that value. Rows are independent of repeats, apart from the sketches, which count every
+    row that passes the base rule. A text is handled whole, in its row. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
     measured = stage(base_measures(docs, id_col, text_col, lang_col, source_col), f"{label}-measures")
@@ -118,10 +155,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     fences = F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences
     joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     rule = F.lit(None).cast("string")
-    for m, c in reversed(_buckets().items()):
-        beyond = c > F.col(f"{m}_high")
-        if m == "word_length":
-            beyond = beyond | (c < F.col(f"{m}_low"))
+    for m, (count, base, share) in reversed(MEASURES.items()):
+        units = F.least(F.col(base), F.col(f"{base}_median")).cast("double")
+        rate = F.col(count) / F.col(base)
+        beyond = rate > _allowed(F.col(f"{m}_high"), units, share, 1)
+        if not share:
+            beyond = beyond | (rate < _allowed(F.col(f"{m}_low"), units, share, -1))
         rule = F.when(beyond, F.lit(m)).otherwise(rule)
     out = joined.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(rule))
     return out.select(F.col("k").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")
@@ -139,25 +178,28 @@ m AS (SELECT d1.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(g2.n, 0) AS BIGINT) AS n_repeat_words
   FROM d1 LEFT JOIN g2 USING (r)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN n_words > 0 THEN n_symbols * 1000 // word_chars END AS symbol_share,
-    CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_lines END AS dup_line_share,
-    CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS repeat_share,
-    CASE WHEN n_words > 0 THEN word_chars * 10 // n_words END AS word_length FROM m),
-x AS (SELECT lang, source, unnest([{'m': 'symbol_share', 'b': symbol_share, 's': 50}, {'m': 'dup_line_share', 'b': dup_line_share, 's': 500},
-    {'m': 'repeat_share', 'b': repeat_share, 's': 350}, {'m': 'word_length', 'b': word_length, 's': 20}], recursive := true) FROM b WHERE n_words > 0),
-qs AS (SELECT lang, source, m, any_value(s) AS s, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY lang, source, m),
-ql AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY lang, m),
-qa AS (SELECT m, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM x GROUP BY m),
-f0 AS (SELECT qs.lang, qs.source, qs.m, qs.s,
-    CASE WHEN qs.n >= 200 THEN qs.q25 WHEN ql.n >= 200 THEN ql.q25 ELSE qa.q25 END AS lo,
-    CASE WHEN qs.n >= 200 THEN qs.q75 WHEN ql.n >= 200 THEN ql.q75 ELSE qa.q75 END AS hi
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (SELECT lang, source, unnest([{'m': 'symbol_share', 'v': n_symbols * 65536 // word_chars}, {'m': 'dup_line_share', 'v': n_dup_lines * 65536 // n_lines},
+    {'m': 'repeat_share', 'v': n_repeat_words * 65536 // n_words}, {'m': 'word_length', 'v': word_chars * 65536 // n_words},
+    {'m': 'word_chars', 'v': word_chars}, {'m': 'n_lines', 'v': n_lines}, {'m': 'n_words', 'v': n_words}], recursive := true) FROM b WHERE NOT base_failed),
+x AS (SELECT lang, source, m, (v >> CAST(greatest(length(bin(v)) - 7, 0) AS BIGINT)) << CAST(greatest(length(bin(v)) - 7, 0) AS BIGINT) AS b FROM v),
+qs AS (SELECT lang, source, m, {'n': count(*), 'q': quantile_disc(b, [0.1, 0.25, 0.5, 0.75, 0.9])} AS q FROM x GROUP BY lang, source, m),
+ql AS (SELECT lang, m, {'n': count(*), 'q': quantile_disc(b, [0.1, 0.25, 0.5, 0.75, 0.9])} AS q FROM x GROUP BY lang, m),
+qa AS (SELECT m, {'n': count(*), 'q': quantile_disc(b, [0.1, 0.25, 0.5, 0.75, 0.9])} AS q FROM x GROUP BY m),
+f0 AS (SELECT qs.lang, qs.source, qs.m, CASE WHEN qs.q.n >= 200 THEN qs.q WHEN ql.q.n >= 200 THEN ql.q ELSE qa.q END AS q
   FROM qs JOIN ql ON qs.m = ql.m AND qs.lang IS NOT DISTINCT FROM ql.lang JOIN qa ON qs.m = qa.m),
-f AS (SELECT lang, source, m, lo - (3 * (hi - lo) + s) AS low, hi + 3 * (hi - lo) + s AS high FROM f0),
-p AS (SELECT lang, source, max(high) FILTER (WHERE m = 'symbol_share') AS a, max(high) FILTER (WHERE m = 'dup_line_share') AS c,
-    max(high) FILTER (WHERE m = 'repeat_share') AS d, max(high) FILTER (WHERE m = 'word_length') AS e, min(low) FILTER (WHERE m = 'word_length') AS e0 FROM f GROUP BY lang, source),
-j AS (SELECT b.*, CASE WHEN base_failed THEN 'base' WHEN symbol_share > a THEN 'symbol_share' WHEN dup_line_share > c THEN 'dup_line_share'
-    WHEN repeat_share > d THEN 'repeat_share' WHEN word_length > e OR word_length < e0 THEN 'word_length' END AS failed_rule
-  FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source)
+f AS (SELECT lang, source, m, q.q[3] AS median, (q.q[1] - (q.q[2] - q.q[1]) * (ln(q.n::DOUBLE) / ln(2.5::DOUBLE))) / 65536 AS low,
+    (q.q[5] + (q.q[5] - q.q[4]) * (ln(q.n::DOUBLE) / ln(2.5::DOUBLE))) / 65536 AS high FROM f0),
+p AS (SELECT lang, source, max(high) FILTER (WHERE m = 'symbol_share') AS a, max(high) FILTER (WHERE m = 'dup_line_share') AS c, max(high) FILTER (WHERE m = 'repeat_share') AS d,
+    max(high) FILTER (WHERE m = 'word_length') AS e, min(low) FILTER (WHERE m = 'word_length') AS e0,
+    max(median) FILTER (WHERE m = 'word_chars') AS ua, max(median) FILTER (WHERE m = 'n_lines') AS uc, max(median) FILTER (WHERE m = 'n_words') AS ud FROM f GROUP BY lang, source),
+j0 AS (SELECT b.*, least(greatest(a, 0.0), 1.0) AS a, least(greatest(c, 0.0), 1.0) AS c, least(greatest(d, 0.0), 1.0) AS d, greatest(e, 0.0) AS e, greatest(e0, 0.0) AS e0,
+    least(word_chars, ua)::DOUBLE AS ua, least(n_lines, uc)::DOUBLE AS uc, least(n_words, ud)::DOUBLE AS ud
+  FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source),
+j AS (SELECT *, CASE WHEN base_failed THEN 'base'
+    WHEN n_symbols / word_chars > (a + 9 / (2 * ua) + 3 * sqrt(a * (1 - a) / ua + 9 / (4 * ua * ua))) / (1 + 9 / ua) THEN 'symbol_share'
+    WHEN n_dup_lines / n_lines > (c + 9 / (2 * uc) + 3 * sqrt(c * (1 - c) / uc + 9 / (4 * uc * uc))) / (1 + 9 / uc) THEN 'dup_line_share'
+    WHEN n_repeat_words / n_words > (d + 9 / (2 * ud) + 3 * sqrt(d * (1 - d) / ud + 9 / (4 * ud * ud))) / (1 + 9 / ud) THEN 'repeat_share'
+    WHEN word_chars / n_words > e + 9 / (2 * ud) + 3 * sqrt(e / ud + 9 / (4 * ud * ud)) OR word_chars / n_words < e0 + 9 / (2 * ud) - 3 * sqrt(e0 / ud + 9 / (4 * ud * ud)) THEN 'word_length' END AS failed_rule FROM j0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM j
 """

@@ -46,6 +46,62 @@ def test_mix_small_buckets_give_the_same(docs, monkeypatch):
     assert sorted(mixing.mix(docs(rows)).collect()) == plain
 
 
+def test_inclusion_follows_size(docs):
+    """Sources alike but for their ids are repeated draws: documents are included as often
+    as their chances say, long ones for certain, and every draw meets its target."""
+    sizes = [5, 10, 20, 40, 80, 160, 320, 640] * 40
+    rows = [(g * 1000 + i, "w " * s, "en", f"s{g:03d}") for g in range(30) for i, s in enumerate(sizes)]
+    got = mixing.mix(docs(rows), weights=(1, 3)).collect()
+    seen = defaultdict(list)
+    for r in got:
+        half = r.target < r.source_size
+        seen[half, r.size, round(r.chance, 9)].append(r.copies - (0 if half else 1))
+    total = sum(sizes)
+    for half, budget in ((True, total / 2), (False, total / 2)):
+        chances = {s: c for h, s, c in seen if h == half}
+        assert sum(s * chances[s] for s in sizes) == pytest.approx(budget)
+        assert chances[320] == pytest.approx(64 * chances[5]) and chances[5] < 0.01 < 0.5 < chances[640]
+    for (_, _, chance), drawn in seen.items():
+        assert abs(np.mean(drawn) - chance) < 4 * np.sqrt(chance * (1 - chance) / len(drawn)) + 0.03
+    by = defaultdict(int)
+    for r in got:
+        by[r.source] += r.taken
+    assert all(abs(by[r.source] - r.target) <= 5 for r in got)
+
+
+def test_certain_documents(docs):
+    rows = [(i, "w " * 10, "en", "a") for i in range(100)] + [(500, "w " * 600, "en", "a"), (600, "w " * 1600, "en", "b")]
+    tight = {r.doc_id: r for r in mixing.mix(docs(rows), weights=(1, 3)).collect()}
+    assert tight[500].chance == 1.0 and {round(tight[i].chance, 9) for i in range(100)} == {0.2}
+    assert sum(tight[i].copies for i in range(100)) == 20
+
+
+@pytest.mark.parametrize("odds_of", [0.001, 0.5, 0.999])
+def test_buckets_are_even_at_any_chance(spark, odds_of, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    n = 20_000
+    u = mixing.uniform(F.col("id").cast("string"), "even")
+    rank = (F.col("u") / (1 - F.col("u"))) / F.lit(odds_of / (1 - odds_of))
+    counts = spark.range(n).withColumn("u", u).select(mixing.bucket_of(rank, F.lit(n)).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in counts) < 1.5 * 100
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    names = [None, "", "a", "B", "é", "😀", *(f"s{i}" for i in range(300))]
+    df = spark.createDataFrame([(x, 1) for x in names], "source string, n int").repartition(7)
+    got = sorted((r.g, r.source) for r in mixing.numbered(df, "t").collect())
+    assert [s for _, s in got] == [*sorted(names[1:]), None] and [g for g, _ in got] == list(range(1, len(names) + 1))
+    assert mixing.numbered(df.limit(0), "t").count() == 0
+
+
+def test_carried_columns_by_either_join(odd, docs, monkeypatch):
+    rows = docs([(i, "w " * (i % 7), "en", "ab"[i % 2]) for i in range(60)])
+    few = sorted(map(str, mixing.mix(rows, carry=("lang", "text")).collect())), sorted(map(str, mixing.mix(odd, carry=("n",)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert few == (sorted(map(str, mixing.mix(rows, carry=("lang", "text")).collect())), sorted(map(str, mixing.mix(odd, carry=("n",)).collect())))
+
+
 def brute_top(rows, k):
     ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
