@@ -125,19 +125,51 @@ def test_search_equals_brute_force(spark, kind, monkeypatch):
     assert va_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0, label="t").count() == 0
 
 
-def test_cells_bound_and_save_reads():
+def test_cells_bound_every_product():
     rng = np.random.default_rng(1)
-    x = np.floor(64 * rng.normal(size=(1024, 32)))
-    edges = np.quantile(x, np.arange(1, 16) / 16, axis=0)
-    block, q = va_search.Approximation(x, edges), np.floor(64 * rng.normal(size=(20, 32)))
-    least, most = block.bounds(q)
-    exact = q @ x.T
-    assert (least <= exact).all() and (exact <= most).all()
-    best = [va_search.Best(5) for _ in range(20)]
-    read = va_search.search_block(q, np.full(20, -1), block, np.arange(1024), best, 5)
-    assert read < 20 * 1024 / 4
-    for i in range(20):
-        assert list(best[i].ids) == sorted(range(1024), key=lambda j: (-exact[i, j], j))[:5]
+    x, q = np.floor(64 * rng.normal(size=(1024, 32))), np.floor(64 * rng.normal(size=(20, 32)))
+    edges = np.quantile(x, np.arange(1, 64) / 64, axis=0)
+    for e in (edges, edges * 3, None):
+        least, most = va_search.Approximation.of(x, e).bounds(q, np.abs(q))
+        assert (least <= q @ x.T).all() and (q @ x.T <= most).all()
+    assert (va_search.Approximation.of(x, edges).bounds(q, np.abs(q))[1] - q @ x.T).mean() < 0.2 * (np.abs(q) @ np.abs(x).T).mean()
+
+
+def test_bounds_hold_under_cancellation():
+    """Large components whose products cancel: the rounding of a bound isn't of its size."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        big = np.floor(rng.normal(size=(200, 16)) * 2.0**33)
+        x = np.hstack([big, big + rng.integers(-9, 9, big.shape)])
+        half = np.floor(rng.normal(size=(5, 16)) * 2.0**20)
+        q = np.hstack([half, -half])
+        exact = np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], dtype=object)
+        least, most = va_search.Approximation.of(x, np.quantile(x, np.arange(1, 64) / 64, axis=0)).bounds(q, np.abs(q))
+        assert all(least[i, j] <= exact[i, j] <= most[i, j] for i in range(5) for j in range(200))
+
+
+def test_exact_vectors_are_read_for_few(spark, monkeypatch):
+    """Reads are counted: exact vectors of candidates only, first k and then the rest."""
+    read = []
+    whole = va_search._read
+    monkeypatch.setattr(va_search, "_read", lambda near, *rest: (read.append(near.count()), whole(near, *rest))[1])
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(np.float32(v)) for v in centres[i % 40] + 0.1 * rng.normal(size=16)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = va_search.top_k(df, F.col("vec_id") % 20 == 0, k=5, label="t")
+    assert sorted(map(tuple, got.collect())) == brute_fast(rows, 5)
+    assert read[0] == 200 * 5 and sum(read) < 200 * 4000 / 20
+
+
+def brute_fast(rows, k):
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    out = []
+    for q in range(0, len(rows), 20):
+        s = x @ x[q]
+        near = [j for j in np.lexsort((np.arange(len(rows)), -s)) if j != q][:k]
+        out += [(q, r + 1, int(j), int(s[j])) for r, j in enumerate(near)]
+    return sorted(out)
 
 
 def test_chat_reads_back(spark):
