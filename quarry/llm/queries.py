@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_table(spark, sf_dir, "documents"))
+    return repeated_passages(_table(spark, sf_dir, "documents"), label="op1")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

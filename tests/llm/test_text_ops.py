@@ -127,6 +127,36 @@ def test_periodic_passages_at_other_offsets(docs, phrase):
     assert got[0].n_words > 45
 
 
+def test_passages_stand_whole_in_their_first_document(docs):
+    """Against brute force on small corpora of shared, nested and overlapping passages: a
+    reported stretch is in its first document, and long common stretches are reported."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        shared = [words(500 + i, rng.randint(30, 90)) for i in range(6)] + [("tick tock " * 60).strip()]
+        shared.append(" ".join([shared[0], shared[1]]))
+        texts = [" ".join(x for _ in range(rng.randint(1, 4)) for x in (words(rng.random(), rng.randint(5, 60)), rng.choice(shared))) for _ in range(25)]
+        got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
+        raw = [t.encode() for t in texts]
+        covered = [bytearray(len(t)) for t in raw]
+        for r in got:
+            assert r.first_id < r.doc_id and r.n_words >= 25
+            stretch = raw[r.doc_id][r.start_byte : r.end_byte]
+            assert raw[r.first_id][r.first_start : r.first_start + len(stretch)] == stretch
+            assert abs(len(stretch.split()) - r.n_words) <= 1
+            covered[r.doc_id][r.start_byte : r.end_byte] = b"\x01" * len(stretch)
+        found = total = 0
+        for i, t in enumerate(texts):
+            for p in {p for p in shared if len(p.split()) > 50 and any(p in texts[j] for j in range(i))}:
+                at = t.find(p)
+                while at >= 0:
+                    inside = covered[i][at : at + len(p)]
+                    found, total = found + (sum(inside) >= len(p) - 160), total + 1
+                    at = t.find(p, at + 1)
+        assert total > 15 and found == total
+        novel = [p for i, t in enumerate(texts) for p in [t.split()[:5]] if any(covered[i][: len(" ".join(p))])]
+        assert not novel
+
+
 def test_substring_odd_rows(odd):
     assert substring_dedup.repeated_passages(odd).count() == 0
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
