@@ -72,12 +72,15 @@ def cell_edges(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 class Approximation:
-    """Cell numbers of a block of vectors (n x d), and the ends of its dimensions (2 x d)."""
+    """Cell numbers of a block of vectors of whole components (n x d), and the ends of its
+    dimensions (2 x d)."""
 
     def __init__(self, cells: np.ndarray, ends: np.ndarray, edges: np.ndarray | None):
         self.cells, d = cells, cells.shape[1]
-        inner = np.zeros((0, d)) if edges is None else np.clip(edges, ends[0], ends[1])
-        low, high = np.vstack([ends[:1], inner]), np.vstack([inner, ends[1:]])
+        inner = np.zeros((0, d)) if edges is None else np.ceil(edges)
+        # components are whole numbers: a cell ends at the last one before its edge
+        low, high = np.maximum(np.vstack([ends[:1], inner]), ends[0]), np.minimum(np.vstack([inner - 1, ends[1:]]), ends[1])
+        high = np.maximum(low, high)
         self.middle, self.half = low / 2 + high / 2, high / 2 - low / 2
 
     @classmethod
