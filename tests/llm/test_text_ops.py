@@ -320,6 +320,46 @@ def test_markov_models_on_unseen_samples(docs):
     assert row.n_random == 1 and row.spans == f"random:4:{4 + len(key)}"
 
 
+# Strings that no generator of the models made.
+ORDINARY_STRINGS = """AAAAAAAAAAAAAAAAAAAAAAAAAAAA src/main/java/com/x/y/z/AbcDefFactory 550e8400-e29b-41d4-a716-446655440000
+F47AC10B-58CC-4372-A567-0E02B2C3D479 20231117T235959Z-0001-0002 qwertyuiopasdfghjklzxcvbnm ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789
+Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften internationalization_and_localization
+the_quick_brown_fox_jumps_over_the_lazy_dog /usr/local/share/applications/org.gnome anticonstitutionnellement-vraiment
+wp-content/uploads/2019/03/summer-sale-banner 00000000000000000000000000000001 9876543210-9876543210-9876543210
+org-apache-spark-sql-catalyst-expressions ArrayIndexOutOfBoundsExceptionHandlerFactoryBean xxxxxxxxxxxxxxxxxxxxxxxxxxx-xxxx
+MAX_CONCURRENT_CONNECTIONS_PER_HOST =====================-------------------- users/42/orders/1001/items/7/reviews/page/2
+pneumonoultramicroscopicsilicovolcanoconiosis Llanfairpwllgwyngyllgogerychwyrndrobwll 192-168-0-1-255-255-255-0-10-0-0-1
+2024-02-29_13-45-59-000_backup_final_v2 nosotros-estabamos-caminando-lentamente abababababababababababababab""".split()
+KEYS = """qX7Zk29LmPw4RtYv8BnC3jHd Zm9vYmFyMTIzNDU2Nzg5MHF3ZXJ0eXVpb3A4Kz ghp9Kd83hFzQ2mVx7Lr5TnB1cYw0PjS6uEa4iO
+sk4f8Hq2Wz9Xv6Nb3Mk7Lp1Rt5Yc0Jd xoxb7Kq9ZpL2mN4vB6cX8wQ1eR3tY5u 7GQK2M9XW4PZ8RTB6VNC3HYJ5FDL
+k3j9x7q2m5w8z1v6b4n0c7p2r9t5y8 EAACEdEose0cBAK7ZC2v9XqLmW4nRt8YpJhGf wJalrXUtnFEMI7K9MDENGbPxRfiCYzE4kT0qLm2s
+dR9pXw2LqZ7vKm4BtY8nHc3JgF6sQa1E T3BlbkFJx9QmZ2LkV7cRw8NpYt5DhGs4 pat7Nq4Zx9Kw2Vr8Ly5Tm3Bc6Hd1Jf""".split()
+
+
+def test_strings_of_no_generator(docs):
+    rows = [(i, f"see {s} here") for i, s in enumerate([*ORDINARY_STRINGS, *KEYS])]
+    got = {r.doc_id: r.n_random for r in secret_scan.scan(docs(rows)).collect()}
+    flagged = [s for i, s in enumerate(ORDINARY_STRINGS) if got[i]]
+    missed = [s for i, s in enumerate(KEYS) if not got[len(ORDINARY_STRINGS) + i]]
+    assert len(flagged) <= 1 and missed == []  # Welsh has letter pairs that no training word has
+
+
+def test_false_positives_on_unseen_words():
+    """Stated rate, on words that neither training nor the thresholds saw, four times over."""
+    rng = random.Random(91)
+    words = ["".join(rng.choice(["st", "r", "k", "l", "m", "pr", "t", "sch", "d", "v"]) + rng.choice(["a", "e", "i", "o", "u", "ei", "ou"]) for _ in range(rng.randint(2, 4))) for _ in range(200)]
+    plain = [s for s, y in secret_scan.labelled_samples(92, 4000, words) if not y and len(s) >= secret_scan.LEAST_RUN]
+    model = secret_scan.kept_model()
+    assert np.mean([bool(model.secrets(s)) for s in plain]) <= 4 * 2 * secret_scan.FALSE_POSITIVES
+
+
+def test_model_from_a_labelled_table(spark, docs):
+    rows = [*secret_scan.labelled_samples(93, 1500), (None, True), ("not a key string!", False), ("x", None)]
+    model = secret_scan.SecretModel.from_table(spark.createDataFrame(rows, "string string, is_random boolean"))
+    assert model.is_secret(KEYS[0]) and not model.is_secret(ORDINARY_STRINGS[0])
+    assert secret_scan.scan(docs([(1, KEYS[0])]), model=model).first().n_random == 1
+
+
 def test_redaction(docs):
     t = 'a password = "hunter22" b deadbeefdeadbeefdeadbeef00 c qX7Zk29LmPw4RtYv8BnC3jHd é'
     rows = {r.doc_id: r for r in secret_scan.redact(docs([(1, t, "en", "s"), (2, "clean text", "en", "s"), (3, None)])).collect()}
