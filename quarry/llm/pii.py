@@ -7,13 +7,16 @@ entity, that chooses boundaries and types together. Weights are trained here, by
 gradient ascent on the conditional likelihood of generated labelled sentences (forward
 and backward sums over the same segments).
 
-Only tokens near a digit, an ``@`` or a spelled-out ``at`` can be in a segment, so the
-lattice of a text is a set of short regions; all other tokens are outside in any
-labelling. Spans of the fixed forms always stay; the field adds spans apart from them.
+A segment holds a spelled address or ``LEAST_DIGITS`` to ``MOST_DIGITS`` digits, so only
+tokens within ``LONGEST`` tokens of a digit, an ``@`` or a spelled-out ``at`` can be in
+one, and the lattice of a text is a set of regions of that reach; all other tokens are
+outside in any labelling. Spans of the fixed forms always stay; the field adds spans
+apart from them.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -35,11 +38,14 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The same matches as IP, in one pass over any run of digits and dots.
+_IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 #: Most tokens of a segment.
-LONGEST = 18
+LONGEST = 24
+#: Digits of a segment that spells no address.
+LEAST_DIGITS, MOST_DIGITS = 4, 19
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", re.A)
 _TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]|\bat\s+[A-Za-z0-9-]+\s+dot\b", re.I)
-_CONTEXT = 40
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +73,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the fixed forms, by kind and start."""
     out = [(0, a, b) for a, b in _emails(text)]
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP_ONCE.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = re.sub(r"[^0-9]", "", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -82,19 +88,38 @@ def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int,
     return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
 
 
+def _reach(text: str, at: int, step: int) -> int:
+    """Where the ``LONGEST`` tokens before (step -1) or from ``at`` on (1) begin or end."""
+    width = 8 * LONGEST
+    while True:
+        if step > 0:
+            found = tokens(text, at, min(len(text), at + width))
+            if at + width >= len(text) or len(found) > LONGEST:  # the last one may be cut
+                return found[min(LONGEST, len(found)) - 1][1] if found else at
+        else:
+            found = tokens(text, max(0, at - width), at)
+            if at <= width or len(found) > LONGEST:
+                return found[-min(LONGEST, len(found))][0] if found else at
+        width *= 4
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers, widened to blanks and merged."""
+    """Stretches of text within ``LONGEST`` tokens of a trigger, merged."""
     first = last = None
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - _CONTEXT), min(len(text), m.end() + _CONTEXT)
-        if last is not None and a <= last:
-            last = max(last, b)
+        if last is not None and m.start() <= last + LONGEST:  # a token has a character at least
+            last = max(last, m.end())
             continue
+        a = _reach(text, m.start(), -1)
         if last is not None:
-            yield first, last
-        first, last = a, b
+            end = _reach(text, last, 1)
+            if a <= end:
+                last = m.end()
+                continue
+            yield first, end
+        first, last = a, m.end()
     if last is not None:
-        yield first, last
+        yield first, _reach(text, last, 1)
 
 
 def _bucket(n: int) -> str:
@@ -103,7 +128,7 @@ def _bucket(n: int) -> str:
 
 def _shape(span: str) -> str:
     out = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", re.sub(r"(?i)[(\[{]\s?at\s?[)\]}]|\bat\b", "@@", re.sub(r"(?i)[(\[{]\s?dot\s?[)\]}]|\bdot\b", "..", span))))
-    return re.sub(r"\s+", " ", out)[:24]
+    return re.sub(r"\s+", " ", out)
 
 
 def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
@@ -113,42 +138,69 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
     digits = re.sub(r"[^0-9]", "", span)
     before = text[max(0, toks[i][0] - 1) : toks[i][0]]
     after = text[toks[j - 1][1] : toks[j - 1][1] + 1]
-    out = ["bias", f"shape={shape}", f"digits={_bucket(len(digits))}", f"letters={_bucket(len(re.sub('[^A-Za-z]', '', span)))}", f"first={shape[:1]}", f"last={shape[-1:]}", f"seps={''.join(sorted(set(re.sub('[9a@]', '', shape))))}"]
+    out = ["bias", f"shape={shape[:24]}", f"digits={_bucket(len(digits))}", f"letters={_bucket(len(re.sub('[^A-Za-z]', '', span)))}", f"first={shape[:1]}", f"last={shape[-1:]}", f"seps={''.join(sorted(set(re.sub('[9a@]', '', shape))))}"]
+    around = text[max(0, toks[i][0] - 2) : toks[i][0]], text[toks[j - 1][1] : toks[j - 1][1] + 2]
+    out += [f"head={_shape(around[0])}", f"tail={_shape(around[1])}"]
     out.append(f"edges={'w' if before.isalnum() else 's' if not before or before.isspace() else 'p'}{'w' if after.isalnum() else 's' if not after or after.isspace() else 'p'}")
     groups = re.findall(r"[0-9]+", span)
     if groups:
         out.append(f"groups={','.join(str(len(g)) for g in groups[:6])}")
+    local, at, host = shape.partition("@")
+    if at:
+        host = re.sub(r"\s?\.\.\s?", ".", host.removeprefix("@").strip())
+        out.append(f"mail={' ' in local.strip()}{' ' in host}{'.' in host}{local.strip()[-1:]}")
     if 16 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     if len(groups) == 4:
         out.append(f"octets={all(len(g) < 4 and int(g) < 256 for g in groups)}")
     if i:
         word = text[toks[i - 1][0] : toks[i - 1][1]].lower()
-        out.append(f"cue={word if word.isalpha() and len(word) < 9 else _shape(word)}")
+        out.append(f"cue={word if word.isalpha() and len(word) < 9 else _shape(word)[:24]}")
     return out
 
 
-def _may_be(text: str, toks: list[tuple[int, int]], i: int, j: int) -> bool:
-    """Which segments the lattice holds: they begin and end in a letter, digit, ``+`` or
-    ``(``, span no line end or wide gap, and hold enough digits or a spelled address."""
-    a, b = toks[i][0], toks[j - 1][1]
-    span = text[a:b]
-    if not (span[0].isalnum() or span[0] in "+(") or not (span[-1].isascii() and span[-1].isalnum()) or "\n" in span or "  " in span:
-        return False
-    n = sum(c.isdigit() for c in span)
-    spelled = re.search(r"(?i)@|[(\[{]\s?at\s?[)\]}]|\bat\s+\S+\s+dot\b", span) is not None
-    return spelled or (n >= 4 and not re.search(r"[A-Za-z]", re.sub(r"(?i)\bdot\b", "", span)))
+_DOT = re.compile(r"(?i)\bdot\b")
+_ADDRESS = re.compile(r"(?i)(?=(@|[(\[{]\s?at\s?[)\]}]|\bat\s+\S+\s+dot\b))")
 
 
 class Lattice:
-    """The segments of a region: ends[j] lists (i, features)."""
+    """The segments of a region: ends[j] lists (i, features).
+
+    A segment begins and ends in a letter, digit, ``+`` or ``(``, spans no line end or wide
+    gap, and holds a spelled address, or digits enough and no letters but ``dot``."""
 
     def __init__(self, text: str, toks: list[tuple[int, int]]):
-        self.n = len(toks)
-        self.ends: list[list[tuple[int, list[str]]]] = [[] for _ in range(self.n + 1)]
-        for i in range(self.n):
-            for j in range(i + 1, min(self.n, i + LONGEST) + 1):
-                if _may_be(text, toks, i, j):
+        self.n = n = len(toks)
+        self.ends: list[list[tuple[int, list[str]]]] = [[] for _ in range(n + 1)]
+        if not n:
+            return
+        begin, stop = toks[0][0], toks[-1][1]
+        dots = {m.start() for m in _DOT.finditer(text, begin, stop)}
+        addresses = sorted((m.start(1), m.end(1)) for m in _ADDRESS.finditer(text, begin, stop))
+        # for each token: digits and letters before it, first wide gap after it, where the
+        # first address that begins at it or later ends
+        digits, letters, gap, spelled = [0] * (n + 1), [0] * (n + 1), [n] * (n + 1), [stop + 1] * (n + 1)
+        for t, (a, b) in enumerate(toks):
+            c = text[a]
+            digits[t + 1] = digits[t] + (b - a if c.isdigit() else 0)
+            letters[t + 1] = letters[t] + (c.isalpha() and a not in dots)
+        for t in range(n - 1, -1, -1):
+            between = text[toks[t][1] : toks[t + 1][0]] if t + 1 < n else "\n"
+            gap[t] = t + 1 if "\n" in between or "  " in between else gap[t + 1]
+            while addresses and addresses[-1][0] >= toks[t][0]:
+                spelled[t] = min(spelled[t], addresses.pop()[1])
+            spelled[t] = min(spelled[t], spelled[t + 1])
+        first = [text[a].isalnum() or text[a] in "+(" for a, _ in toks]
+        last = [text[b - 1].isascii() and text[b - 1].isalnum() for _, b in toks]
+        for i in range(n):
+            if not first[i]:
+                continue
+            for j in range(i + 1, min(gap[i], i + LONGEST) + 1):
+                held = digits[j] - digits[i]
+                address = toks[j - 1][1] >= spelled[i]
+                if held > MOST_DIGITS and spelled[i] > stop:
+                    break
+                if last[j - 1] and (address or (LEAST_DIGITS <= held <= MOST_DIGITS and letters[j] == letters[i])):
                     self.ends[j].append((i, features(text, toks, i, j)))
 
 
@@ -227,7 +279,7 @@ class SemiMarkov:
                     self.weights[key] = w + step * (g - decay * w)
 
 
-def labelled_sentences(n: int = 500, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def labelled_sentences(n: int = 1500, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Generated sentences with the spans of their entities: (start, end, kind).
 
     They hold entities in the base forms and in others (spelled-out addresses, numbers
@@ -247,13 +299,15 @@ def labelled_sentences(n: int = 500, seed: int = 3) -> list[tuple[str, list[tupl
         return sep.join(digits[a : a + 4] for a in range(0, len(digits), 4))
 
     def entity() -> tuple[str, int]:
-        at, dot = rng.choice([("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]")])
-        host = [f"{word()}{rng.choice(['', num(1)])}", *([word()] if rng.random() < 0.6 else []), rng.choice(["com", "org", "net", "de", "fr"])]
+        at, dot = rng.choice([("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "."), (" (at) ", "."), (" [at] ", "."), (" [at] ", " [dot] "), ("[at]", "[dot]")])
+        host = [f"{word()}{rng.choice(['', num(1)])}", *(word() for _ in range(rng.choice([0, 1, 1, 2]))), rng.choice(["com", "org", "net", "de", "fr"])]
+        local = rng.choice([".", "-", "_"]).join(word() for _ in range(rng.choice([1, 1, 2, 2, 3, 5]))) + rng.choice(["", "", num(2), "." + num(2)])
+        said = rng.choice([str, str, str.title, str.upper])
         octets = [str(rng.randint(0, 255)) for _ in range(4)]
         a, b, c = num(3), num(3), num(4)
         kind = rng.randrange(4)
         return [
-            f"{word()}{rng.choice(['', '.' + word(), '.' + num(2), num(2)])}{at}{dot.join(host)}",
+            said(f"{local}{at}{dot.join(host)}"),
             rng.choice([".", ".", "[.]", " dot "]).join(octets),
             spaced(card(True), rng.choice(["", " ", "-", ".", "/"])),
             rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{rng.randint(10, 99)} {a} {b}{c}", f"+{rng.randint(1, 99)}-{a}-{b}-{c}"]),
@@ -266,7 +320,7 @@ def labelled_sentences(n: int = 500, seed: int = 3) -> list[tuple[str, list[tupl
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.randint(1, 3)):
-            text += " ".join(word() for _ in range(rng.randint(1, 5))) + " "
+            text += " ".join([*(word() for _ in range(rng.randint(0 if not text else 1, 5))), ""])
             if rng.random() < 0.55:
                 cue = rng.choice(["", "", "", "call ", "mail ", "ip ", "card ", "tel: ", "host "])
                 body, kind = entity()
@@ -275,7 +329,7 @@ def labelled_sentences(n: int = 500, seed: int = 3) -> list[tuple[str, list[tupl
             else:
                 text += other()
             text += rng.choice([" ", ". ", ", ", "### ", "%%% ", "!! ", " | ", "\n"])
-        out.append((text + word(), spans))
+        out.append((text + word() if rng.random() < 0.7 else text.rstrip(" \n"), spans))
     return out
 
 
@@ -300,16 +354,16 @@ def trained_model() -> SemiMarkov:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov) -> list[tuple[int, int, int]]:
     """Entities of the field's best labelling that no base span touches."""
-    out = []
+    out, starts, reach = [], [], []
+    for _, x, y in sorted(base, key=lambda z: z[1]):
+        starts.append(x)
+        reach.append(max(y, reach[-1] if reach else 0))
     for a, b in regions(text):
-        while a > 0 and text[a - 1].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum():
-            b += 1
         toks = tokens(text, a, b)
         for i, j, kind in model.decode(Lattice(text, toks)):
             s, e = toks[i][0], toks[j - 1][1]
-            if all(e <= x or y <= s for _, x, y in base):
+            before = bisect.bisect_left(starts, e)  # base spans that begin before the end
+            if not before or reach[before - 1] <= s:
                 out.append((kind, s, e))
     return out
 
@@ -334,7 +388,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     Counts and digest are of the base spans, ``kind:start:end`` in code points by kind,
     then start; ``spans`` lists the base and the added ones alike. Null and empty texts
-    have none. Texts are read whole; equal scores go to the labelling met first;
+    have none. An added span has ``LONGEST`` tokens at most (runs of letters, runs of
+    digits, other characters), and ``LEAST_DIGITS`` to ``MOST_DIGITS`` digits if it spells
+    no address. Texts are read whole; equal scores go to the labelling met first;
     repeated rows get equal answers; other columns are ignored, whatever their names;
     an empty table gives an empty result.
     """

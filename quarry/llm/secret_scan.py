@@ -155,15 +155,21 @@ class SecretModel:
     def __init__(self, samples: list[tuple[str, bool]] | None = None, held_out: list[str] | None = None, false_positives: float = FALSE_POSITIVES):
         if samples is None:
             samples = labelled_samples(words=[w for i, w in enumerate(ORDINARY) if i % 3])
-        if held_out is None:
-            held_out = [s for s, y in labelled_samples(12, 2000, ORDINARY[::3]) if not y]
-        first = Markov([s for s, y in samples if y])
-        self.ratio, self.index = (first.logs - Markov([s for s, y in samples if not y]).logs).astype(np.float32), first.index
+            held_out = [s for s, y in labelled_samples(12, 2000, ORDINARY[::3]) if not y] if held_out is None else held_out
+            rest = [(s, y) for s, y in labelled_samples(13, 1000, ORDINARY[::3]) if not y]
+        else:
+            held_out, rest = held_out or [], [(s, False) for s in held_out or []]
+        self._fit(samples)
         held_out = [s for s in held_out if len(s) >= LEAST_RUN]
         rng = random.Random(5)
         joined = [rng.choice("/_-=").join(rng.choice(held_out) for _ in range(rng.randint(2, 5))) for _ in held_out[::2]]
-        self.threshold = max(0.0, float(np.quantile([self.score(s) for s in held_out], 1 - false_positives)))
-        self.stretch_threshold = max(self.threshold, float(np.quantile([self._best_ratio(s) for s in [*held_out, *joined]], 1 - false_positives)))
+        self.threshold = max(0.0, float(np.quantile([self.score(s) for s in held_out] or [0.0], 1 - false_positives)))
+        self.stretch_threshold = max(self.threshold, float(np.quantile([self._best_ratio(s) for s in [*held_out, *joined]] or [0.0], 1 - false_positives)))
+        self._fit([*samples, *rest])  # the thresholds stay those of words that weren't seen
+
+    def _fit(self, samples: list[tuple[str, bool]]) -> None:
+        first = Markov([s for s, y in samples if y])
+        self.ratio, self.index = (first.logs - Markov([s for s, y in samples if not y]).logs).astype(np.float32), first.index
 
     @classmethod
     def from_table(cls, labelled: DataFrame, string_col: str = "string", label_col: str = "is_random", limit: int = SAMPLE) -> SecretModel:
@@ -199,9 +205,23 @@ class SecretModel:
     def is_secret(self, run: str) -> bool:
         return self.score(run) > self.threshold
 
+    def _grown(self, run: str, ratios: np.ndarray, at: int) -> int:
+        """How far a stretch of the first ``at`` characters goes on: to the next mark, if that
+        is near or what lies between looks random as a run, and over the parts between marks
+        that look random as a stretch."""
+        marks = [i for i in range(at, len(run)) if run[i] in MARKS] + [len(run)]
+        if marks[0] > at and marks[0] - at > LEAST_RUN and ratios[at : marks[0]].mean() <= self.threshold:
+            return at + LEAST_RUN
+        at = marks[0]
+        for then in marks[1:]:
+            if ratios[at:then].mean() <= self.stretch_threshold:
+                break
+            at = then
+        return at
+
     def secrets(self, run: str) -> list[tuple[int, int]]:
-        """(start, end) of a run as a whole, or else of its random stretches, each
-        widened to the next mark on either side, by ``LEAST_RUN`` characters at most."""
+        """(start, end) of a run as a whole, or else of its random stretches, each widened on
+        either side."""
         if self.is_secret(run):
             return [(0, len(run))]
         ratios, out, todo = self.ratios(run), [], [(0, len(run))]
@@ -211,16 +231,8 @@ class SecretModel:
             if found is None:
                 continue
             start, end = a + found[0], a + found[1]
-            # on either side as far as the ratio stays above that of a whole run
-            more = ratios - self.threshold
-            ahead, behind = np.cumsum(more[a:start][::-1]), np.cumsum(more[end:b])
-            start -= int(np.argmax(ahead)) + 1 if len(ahead) and ahead.max() > 0 else 0
-            end += int(np.argmax(behind)) + 1 if len(behind) and behind.max() > 0 else 0
-            low, high = max(a, start - LEAST_RUN), min(b, end + LEAST_RUN)
-            while start > low and run[start - 1] not in MARKS:
-                start -= 1
-            while end < high and run[end] not in MARKS:
-                end += 1
+            start = end - self._grown(run[a:end][::-1], ratios[a:end][::-1], end - start)
+            end = start + self._grown(run[start:b], ratios[start:b], end - start)
             out.append((start, end))
             todo += [(a, start), (end, b)]
         return sorted(out)

@@ -268,6 +268,63 @@ def test_spelled_out_addresses_in_any_case(docs):
         assert rows[i].n_added == 1 and f"email:9:{t.index(' today')}" in rows[i].spans
 
 
+# Sentences that no generator made, with what they hold beside base forms.
+SENTENCES = [
+    ("mail anna-maria-christina-elisabeth-heide at example dot org today", ["email:anna-maria-christina-elisabeth-heide at example dot org"]),
+    ("maximilianalexander.hohenzollernburg.sigmaringen [at] example.org", ["email:maximilianalexander.hohenzollernburg.sigmaringen [at] example.org"]),
+    ("please write to x (at) example.org now", ["email:x (at) example.org"]),
+    ("Write: Jean-Luc_Picard(at)starfleet.example.com.", ["email:Jean-Luc_Picard(at)starfleet.example.com"]),
+    ("our desk answers on (212) 555-0187 until noon", ["phone:(212) 555-0187"]),
+    ("dial 0049 212 5550187 from abroad", ["phone:0049 212 5550187"]),
+    ("charged 4111/1111/1111/1111 on Monday", ["card:4111/1111/1111/1111"]),
+    ("the router 10[.]0[.]0[.]7 is down", ["ip:10[.]0[.]0[.]7"]),
+    ("version 4.0.1 of 2019-11-23 is out", []),
+    ("we meet at noon, dot the i and cross the t", []),
+    ("born 12/03/1984 in room 1234 of house 77", []),
+    ("isbn 978-3-16-148410-0 is out of print", []),
+    ("order 123456789 shipped in 3 boxes of 40 pieces each", []),
+    ("the price rose to 1,234,567.89 in 2021 and fell in 2022", []),
+    ("they stayed at home and looked at the river", []),
+]
+
+
+def test_pii_on_sentences_of_no_generator(docs):
+    rows = {r.doc_id: r for r in pii.find_pii(docs([(i, t) for i, (t, _) in enumerate(SENTENCES)])).collect()}
+    wrong = []
+    for i, (t, want) in enumerate(SENTENCES):
+        got = [f"{k}:{t[int(a) : int(b)]}" for k, a, b in (x.split(":") for x in rows[i].spans.split(",") if x)]
+        wrong += [(t, got)] if got != want else []
+    assert len(wrong) <= 1, wrong
+
+
+def test_pii_base_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1." * 500_000, "1 " * 500_000, "+1 " + "(" * 1_000_000, "a@" * 300_000, "1.1.1" * 200_000):
+        pii.base_spans(text)
+    assert time.perf_counter() - began < 6
+
+
+def test_pii_ip_in_one_pass_equals_the_form():
+    rng = random.Random(19)
+    for _ in range(3000):
+        t = "".join(rng.choice(["1", "22", "255", "256", ".", ".", "..", " ", "a", "0007", "1.2.3.4"]) for _ in range(rng.randint(0, 16)))
+        want = [m.span() for m in pii.IP.finditer(t)]
+        assert [m.span() for m in pii._IP_ONCE.finditer(t)] == want, t
+
+
+def test_pii_regions_hold_every_segment():
+    """Added spans of long texts are those of a lattice over the whole text."""
+    rng, model = random.Random(23), pii.trained_model()
+    for _ in range(25):
+        parts = [t for t, _ in pii.labelled_sentences(3, rng.randrange(10**6))]
+        t = (" lorem ipsum dolor sit amet" * rng.randint(0, 12)).join(parts)
+        toks = pii.tokens(t)
+        whole = [(k, toks[i][0], toks[j - 1][1]) for i, j, k in model.decode(pii.Lattice(t, toks))]
+        assert pii.added_spans(t, [], model) == whole
+
+
 def test_pii_decode_is_the_best_labelling():
     """The dynamic program equals trying every set of segments."""
     text = "x 12.34.56.78 y (017) 555-7713"
