@@ -5,7 +5,8 @@ roles and texts ``\\``, ``<`` and ``>`` are escaped by a backslash, so no text c
 hold a mark of the template, and reading back gives the texts exactly. A visitor
 flattens a turn's parts in order: text is escaped, an image, audio or document part
 becomes a placeholder ``<KIND N>`` with the number of its attachment, whose reference
-and expanded token count are recorded. The loss mask covers what the trained roles say.
+and expanded token count are recorded; a part of any other kind becomes ``<other N>`` and
+is recorded under its own kind with no tokens. The loss mask covers what the trained roles say.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quarry.llm.runs import runs
 
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = "struct<number:int,kind:string,uri:string,tokens:bigint>"
-_MARK = re.compile(r"\\(.)|<turn ((?:[^\\<>]|\\.)*)>|(</turn>)|<(image|audio|document) ([0-9]+)>|([^\\<>]+)", re.S)
+_MARK = re.compile(r"\\(.)|<turn ((?:[^\\<>]|\\.)*)>|(</turn>)|<(image|audio|document|other) ([0-9]+)>|([^\\<>]+)", re.S)
 
 
 def escape(text: str) -> str:
@@ -52,10 +53,8 @@ class Flattener:
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: dict) -> str:
-        visitor = getattr(self, f"visit_{part.get('kind') or 'text'}", None)
-        if visitor is None:
-            raise ValueError(f"unknown kind of part: {part['kind']!r}")
-        return visitor(part)
+        visitors = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        return visitors.get(part.get("kind") or "text", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -70,10 +69,13 @@ class Flattener:
     def visit_document(self, part: dict) -> str:
         return self._attach("document", part, (part.get("pages") or 0) * self.costs.per_page)
 
-    def _attach(self, kind: str, part: dict, tokens: int) -> str:
+    def visit_other(self, part: dict) -> str:
+        return self._attach(part["kind"], part, 0, "other")
+
+    def _attach(self, kind: str, part: dict, tokens: int, shown: str = "") -> str:
         number = len(self.attachments)
         self.attachments.append({"number": number, "kind": kind, "uri": part.get("uri"), "tokens": int(tokens)})
-        return f"<{kind} {number}>"
+        return f"<{shown or kind} {number}>"
 
 
 def render(turns: list[tuple[str | None, list[dict] | None]], trained: tuple[str, ...], costs: TokenCosts | None = None) -> tuple[str, list[tuple[int, int]], list[dict]]:
@@ -109,7 +111,7 @@ def format_conversations(messages: DataFrame, parts_col: str = "parts", trained:
     """(id, formatted, mask, attachments): a row for each conversation.
 
     ``parts_col`` is an array of typed parts; a null array or part text is empty, a
-    null kind is text, and an unknown kind raises. Turns are in the order of the turn
+    null kind is text, and any other kind is a placeholder with its reference. Turns are in the order of the turn
     column, null first; equal ones by role, then by parts, so repeated rows are
     repeated turns. A null role is empty. Rows with a null id form one conversation of
     null id. An empty table gives an empty result. A conversation is read in one piece,
@@ -123,9 +125,8 @@ def format_conversations(messages: DataFrame, parts_col: str = "parts", trained:
         for table, bounds in runs(batches, ["key"]):
             ids, roles, parts = table.column("k").to_pylist(), table.column("role").to_pylist(), table.column("parts").to_pylist()
             out: list[list] = [[], [], [], []]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if len(set(ids[a:b])) > 1:
-                    raise RuntimeError("two conversation ids share a key")
+            own = [i for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i in range(a, b) if i == a or ids[i] != ids[i - 1]]
+            for a, b in zip(own, [*own[1:], len(ids)], strict=True):
                 text, mask, attached = render(list(zip(roles[a:b], parts[a:b], strict=True)), trained)
                 for column, value in zip(out, (ids[a], text, [{"start": s, "end": e} for s, e in mask], attached), strict=True):
                     column.append(value)
@@ -133,7 +134,7 @@ def format_conversations(messages: DataFrame, parts_col: str = "parts", trained:
             refs = pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], table.schema.field("k").type), pa.array(out[1], pa.string()), pa.array(out[2], spans), pa.array(out[3], refs)], names=["k", "formatted", "mask", "attachments"])
 
-    dealt = kept.repartition("key").sortWithinPartitions("key", "turn", "role", "order").drop("order", "turn")
+    dealt = kept.repartition("key").sortWithinPartitions("key", "k", "turn", "role", "order").drop("order", "turn")
     return dealt.mapInArrow(work, schema).withColumnRenamed("k", id_col)
 
 

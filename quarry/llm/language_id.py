@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.bytewords import release_memory
+from quarry.plans.staging import stage
 
 DIMS = 1024
-#: Most languages that can be learned: their prototypes are collected (8 KB each).
+#: Languages whose prototypes (8 KB each) meet the documents at once; more come in turns.
 LANGUAGES = 5000
 UNKNOWN = "und"
 #: Fewest texts of a length class for a floor of its own, and buckets of scores.
@@ -116,12 +117,52 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+class Model:
+    """Languages and their prototypes: staged vectors, read in blocks of ``LANGUAGES``."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors, self.kept = vectors, None
+        total, self.n = np.zeros(DIMS), 0
+        for _, rows in self._read():
+            total, self.n = total + rows.sum(axis=0), self.n + len(rows)
+        self.mean = total / max(self.n, 1) if self.n > 1 else np.zeros(DIMS)
+        if self.n <= LANGUAGES:
+            self.kept = list(self._centred())
+
+    def _read(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Names in order, and their vectors at length 1."""
+        last = None
+        while True:
+            left = self.vectors if last is None else self.vectors.where(F.col("lang") > last)
+            found = left.orderBy("lang").limit(LANGUAGES).collect()
+            if found:
+                rows = np.array([r.x for r in found], float).reshape(-1, DIMS)
+                yield [r.lang for r in found], rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            if len(found) < LANGUAGES:
+                return
+            last = found[-1].lang
+
+    def _centred(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        for langs, rows in self._read():
+            rows = rows - self.mean
+            yield langs, (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        yield from self._centred() if self.kept is None else self.kept or [([], np.zeros((0, DIMS), np.float32))]
+
+
+def learn(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     """Languages and their normalised prototypes, from every row of ``labelled``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = kept_vectors()
         sums: dict[str, np.ndarray] = {}
+
+        def batch_of() -> pa.RecordBatch:
+            langs = list(sums)
+            dims = [np.arange(DIMS, dtype=np.int32)] * len(langs)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(langs, DIMS).tolist(), pa.string()), pa.array(np.concatenate(dims)), pa.array(np.concatenate([np.rint(sums[x]) for x in langs]))], names=["lang", "dim", "x"])
+
         for batch in batches:
             met: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -134,23 +175,15 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[list[str],
                 total = sums.setdefault(lang, np.zeros(DIMS))
                 for a in range(0, len(codes), 4096):
                     total += space.bundle(codes[a : a + 4096], counts[a : a + 4096])
+                if len(sums) == 1000:  # partial sums go on; a task holds 8 MB of them at most
+                    yield batch_of()
+                    sums.clear()
         if sums:
-            langs = list(sums)
-            dims = [np.arange(DIMS, dtype=np.int32)] * len(langs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(langs, DIMS).tolist(), pa.string()), pa.array(np.concatenate(dims)), pa.array(np.concatenate([np.rint(sums[x]) for x in langs]))], names=["lang", "dim", "x"])
+            yield batch_of()
 
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     sums = known.mapInArrow(work, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x"))
-    vectors = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("x")).orderBy("lang").take(LANGUAGES + 1)
-    if len(vectors) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = [v.lang for v in vectors]
-    rows = np.array([v.x for v in vectors], float).reshape(-1, DIMS)
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    if len(rows) > 1:
-        rows = rows - rows.mean(axis=0)
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    return langs, rows.astype(np.float32)
+    return Model(stage(sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("x")), "languages"))
 
 
 def shuffled(text: str) -> str:
@@ -161,35 +194,42 @@ def shuffled(text: str) -> str:
     return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, keep: list[str] | None = None, shuffle: bool = False) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with lang_pred and score from the text alone,
-    or from the text with its letters shuffled."""
+def predict(docs: DataFrame, model: Model, text_col: str, keep: list[str] | None = None, shuffle: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the language and score, called ``names``, from
+    the text alone, or from the text with its letters shuffled. Each block of languages is a
+    pass over the texts; a later language wins by a greater cosine only."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text_"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prototypes = shared.value
-        space = Hypervectors() if shuffle else kept_vectors()  # trigrams of no language aren't kept
-        for batch in batches:
-            names, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
-                text = text.as_py()
-                text = shuffled(text) if shuffle and text else text
-                codes, counts, letters = trigrams(text) if text else (None, None, False)
-                name, score = UNKNOWN, 0.0
-                if letters and langs:
-                    own = sum(space.bundle(codes[a : a + 4096], counts[a : a + 4096]) for a in range(0, len(codes), 4096))
-                    cosines = prototypes @ own / max(float(np.linalg.norm(own)), 1e-12)
-                    best = int(np.argmax(cosines))
-                    name, score = langs[best], min(1.0, max(0.0, float(cosines[best])))
-                names.append(name)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
-        release_memory()
-
-    return source.mapInArrow(work, schema)
+    sc = docs.sparkSession.sparkContext
+    now = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.lit(UNKNOWN).alias("name"), F.lit(-2.0).alias("cosine"), F.col(text_col).cast("string").alias("t"))
+
+    def judged(before: DataFrame, shared) -> DataFrame:
+        schema = before.schema
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs, prototypes = shared.value
+            space = Hypervectors() if shuffle else kept_vectors()  # trigrams of no language aren't kept
+            for batch in batches:
+                *rest, names, scores, texts = batch.columns
+                names, scores = names.to_pylist(), scores.to_pylist()
+                for i, text in enumerate(texts):
+                    text = text.as_py()
+                    text = shuffled(text) if shuffle and text else text
+                    codes, counts, letters = trigrams(text) if text else (None, None, False)
+                    if letters and langs:
+                        own = sum(space.bundle(codes[a : a + 4096], counts[a : a + 4096]) for a in range(0, len(codes), 4096))
+                        cosines = prototypes @ own / max(float(np.linalg.norm(own)), 1e-12)
+                        best = int(np.argmax(cosines))
+                        if cosines[best] > scores[i]:
+                            names[i], scores[i] = langs[best], float(cosines[best])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64()), texts], names=schema.names)
+            release_memory()
+
+        return before.mapInArrow(work, schema)
+
+    for i, block in enumerate(model.blocks()):
+        now = judged(now if not i else stage(now, "languages-met"), sc.broadcast(block))
+    score = F.least(F.greatest("cosine", F.lit(0.0)), F.lit(1.0))
+    return now.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("name").alias(names[0]), score.alias(names[1]))
 
 
 def length_class(text_col: str) -> Column:
@@ -197,7 +237,7 @@ def length_class(text_col: str) -> Column:
     return F.floor(F.log2(F.greatest(F.length(F.regexp_replace(F.col(text_col).cast("string"), r"[^\p{L}]+", "")), F.lit(1)))).cast("int")
 
 
-def floors(labelled: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, lang_col: str, least: float) -> dict[int, float]:
+def floors(labelled: DataFrame, model: Model, text_col: str, lang_col: str, least: float) -> dict[int, float]:
     """Length class to the score below which a text is in no learned language, from
     every row of ``labelled`` that ``model`` wasn't learned from.
 
@@ -234,7 +274,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     whose language isn't null (all of them, not a sample); predictions see the text
     only. A null text, or one without a letter, is ``und`` with score 0, as is any text
     if nothing could be learned. Scores are cosines, negative ones raised to 0. Of equal
-    cosines the language that sorts first wins. Texts are read whole; repeated rows get
+    cosines the language that sorts first wins. There is no limit to languages. Texts are read whole; repeated rows get
     equal answers; other columns are ignored, whatever their names; an empty table gives
     an empty result.
     """

@@ -194,8 +194,18 @@ def test_parts_become_placeholders():
     assert [(a["kind"], a["uri"], a["tokens"]) for a in attached] == [("image", "i.png", 3), ("audio", "a.wav", 38), ("document", "d.pdf", 3000)]
     assert chat.read_back(text)[0] == ("user", "see <1>end", [("image", 0), ("audio", 1), ("document", 2)])
     assert [text[a:b] for a, b in mask] == ["ok"]
-    with pytest.raises(ValueError):
-        chat.render([("user", [{"kind": "video"}])], ())
+    text, _, attached = chat.render([("user", [{"kind": "video", "uri": "v.mp4"}, {"kind": "visit", "uri": None}])], ())
+    assert text == "<turn user><other 0><other 1></turn>"
+    assert [(a["kind"], a["uri"], a["tokens"]) for a in attached] == [("video", "v.mp4", 0), ("visit", None, 0)]
+    assert chat.read_back(text) == [("user", "", [("other", 0), ("other", 1)])]
+
+
+def test_conversations_that_share_a_key_stay_apart(spark, monkeypatch):
+    rows = [(c, t, "user", f"{c}{t}") for c in ("x", "y", None) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("parts", chat.text_parts())
+    monkeypatch.setattr(chat.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    out = {r.conv_id: [t for _, t, _ in chat.read_back(r.formatted)] for r in chat.format_conversations(df).collect()}
+    assert out == {c: [f"{c}{t}" for t in range(3)] for c in ("x", "y", None)}
 
 
 def test_components_equal_plain_union(spark):

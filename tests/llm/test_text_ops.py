@@ -209,6 +209,51 @@ def test_language_is_told_apart_on_held_out_texts(docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_equals_plain_computation(docs):
+    """Prototypes and cosines from the definition, trigram by trigram, in plain Python."""
+    import zlib
+
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choice("abc dé'ß 1İ.") for _ in range(rng.randint(0, 60))) if rng.random() < 0.95 else None, rng.choice(["x", "y", "z", None])) for i in range(80)]
+    letter = {}
+
+    def vector(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        padded = " " + " ".join(low.split(" ")).strip() + " "
+        padded = re.sub(" +", " ", padded)
+        out = np.zeros(language_id.DIMS)
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            v = [letter.setdefault(x, np.random.default_rng([20240901, ord(x)]).choice(np.array([-1, 1], np.int8), language_id.DIMS).astype(int)) for x in (a, b, c)]
+            out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out
+
+    learned = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, 0) + vector(t)
+    names = sorted(learned)
+    p = np.array([learned[x] / np.linalg.norm(learned[x]) for x in names])
+    p = p - p.mean(axis=0)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in language_id.identify(docs(rows)).collect()}
+    for i, t, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        v = vector(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosines = p @ v / np.linalg.norm(v)
+        assert got[i].score == pytest.approx(max(0.0, cosines.max()), abs=1e-4)
+        assert cosines[names.index(got[i].lang_pred)] == pytest.approx(cosines.max(), abs=1e-4)
+
+
+def test_any_number_of_languages(docs, monkeypatch):
+    rows = [(i, words(i, 30), f"l{i % 7}") for i in range(60)]
+    whole = sorted(language_id.identify(docs(rows)).collect())
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    assert [(a.doc_id, a.lang_pred, pytest.approx(a.score)) for a in whole] == [(a.doc_id, a.lang_pred, a.score) for a in sorted(language_id.identify(docs(rows)).collect())]
+
+
 def test_labels_of_held_out_rows_are_not_seen(docs):
     rows = [(i, words(i, 40), "aa" if i % 2 else "bb") for i in range(40)]
     flipped = [(i, t, "zz") for i, t, _ in rows]
