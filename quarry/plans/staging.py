@@ -17,12 +17,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where the setting is absent (single-machine tests) a temporary folder is used,
-    one per application.
+    Where the setting is absent and the master is local (single-machine tests) a temporary
+    folder is used, one per application. On a cluster each machine would write to a disk of
+    its own, and later reads would miss rows, so there the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
