@@ -41,6 +41,39 @@ def test_stages_on_a_small_corpus(spark, docs, tmp_path):
     assert frames[5].select(F.countDistinct("doc_id")).first()[0] > 50
 
 
+def test_clashing_columns_and_odd_rows(spark, docs, tmp_path):
+    """Columns that stages use themselves, nulls in all of them, repeated rows, no rows."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("the of and er ing to in".split()) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(40), "en", "a") for i in range(30)] + [(7, None), (8, ""), (None, text(30), None, None), (30, "x", "en", None)]
+    base = docs([*rows, rows[5], rows[5]])
+    clash = base
+    for name in ("score", "lang_pred", "copies", "copy", "size", "target", "chance", "k0", "k", "t", "c0", "_text_", "cosine", "name", "row", "g", "component_id"):
+        clash = clash.withColumn(name, F.when(F.col("doc_id") > 3, F.concat(F.lit(name), F.col("doc_id").cast("string"))))
+    plain = {}
+    for frame in (base, clash, clash.limit(0)):
+        now, counts = frame, []
+        for i, (_, step) in enumerate(corpus_pipeline.STAGES):
+            out = step(spark, now, "")
+            out.write.mode("overwrite").parquet(f"file://{tmp_path}/odd{i}")
+            now = spark.read.parquet(f"file://{tmp_path}/odd{i}")
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert now.columns == frame.columns
+                assert i != 3 or "score" not in now.columns or now.where("doc_id > 3 and score <> concat('score', doc_id)").count() == 0
+            counts.append(sorted(str(r.doc_id) for r in now.select("doc_id").collect()))
+        if frame is base:
+            plain = counts
+        else:
+            assert counts == (plain if frame is clash else [[]] * 5)
+    assert plain[0].count("5") == 3 and "7" in plain[0] and plain[0].count("7") == 1
+
+
+def test_redaction_keeps_the_count_of_characters(spark, docs):
+    rows = docs([(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "en", "a"), (2, "clean", "en", "a"), (3, None)])
+    got = {r.doc_id: r for r in corpus_pipeline.secrets(spark, rows, "").collect()}
+    assert got[1].n_chars == len(got[1].text) < 40 and got[2].n_chars == 5 and got[3].n_chars == 0
+
+
 def test_language_stage_rejects_unlearned_texts(spark, docs):
     """Long unlabelled texts of other words go; clean ones stay, short or long."""
     rng = random.Random(4)
