@@ -13,11 +13,14 @@ Plan, for word shingles and a threshold P:
 3. Tiles: the sets that share a prefix shingle, banded by size (sizes must be within
    P percent). Hashed bitmaps bound the overlap from above by bit counts:
    ``|A and B| <= |A| - popcount(a & ~b)``. A tile keeps a spanning forest of the pairs
-   that the bound lets through, never all pairs.
+   that the bound lets through, never all pairs. Tiles above ``TILE`` sets are cut into
+   blocks by size band and hash: each block gives its forest, then one set of each
+   component found meets those of the other blocks, and only blocks that are still apart,
+   in bands near enough to link, meet in pairs.
 4. Components of these forests are clusters that hold every possible link. Each set
    goes to its one cluster, where exact intersections of the sorted arrays decide.
-   Clusters above ``BLOCK`` sets are cut into blocks, then compared by
-   representatives, and what is still apart by block pairs: exact at any size.
+   Clusters above ``BLOCK`` sets are cut into blocks and compared in the same three
+   steps: exact at any size.
 
 Shingles are compared by hashes of 58 bits, sets by digests of 128.
 """
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,8 +43,11 @@ from quarry.llm.components import connected_components
 from quarry.llm.runs import runs
 from quarry.plans.staging import stage
 
-#: Most sets that one task compares at once.
+#: Most sets that one task compares at once, exactly and by bitmaps.
 BLOCK = 4096
+TILE = 512
+#: Documents that hold a shingle from which its entries aren't sorted to find neighbours.
+HOT_SHINGLE = 65_536
 #: Most ids that are broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Entries of the heavy-hitter summary that orders shingles.
@@ -247,15 +255,68 @@ def _pair_can_link(n1: int, b1: bytes, n2: int, b2: bytes, percent: int) -> bool
     return most * (100 + percent) >= percent * (n1 + n2)
 
 
+def _bounded(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Edges (a, b): in each group of ``keys`` a forest of the pairs that can link.
+
+    dealt: keys, sid, n, bits and mark; sets of equal mark are joined already."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in runs(batches, keys):
+            sid, n, mark, bits = table.column("sid").to_numpy(), table.column("n").to_numpy(), table.column("mark").to_numpy(), table.column("bits")
+            edges = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a == 2:
+                    if mark[a] != mark[a + 1] and _pair_can_link(int(n[a]), bits[a].as_py(), int(n[a + 1]), bits[a + 1].as_py(), percent):
+                        edges.append((sid[a], sid[a + 1]))
+                elif b - a > 2:
+                    tile = Tile(n[a:b], bits[a:b].to_pylist(), percent, np.unique(mark[a:b], return_inverse=True)[1])
+                    edges += [(sid[a + i], sid[a + j]) for i, j in tile.link()]
+            pairs = np.array(edges, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        release_memory()
+
+    return dealt.select(*keys, "sid", "n", "mark", "bits").repartition(*keys).sortWithinPartitions(*keys, "n", "sid").mapInArrow(work, "a long, b long")
+
+
+def _paired(rows: DataFrame, key: str, near=None) -> DataFrame:
+    """rows (key, block, mark, ...) once for each pair (i, j) of blocks of its key that aren't
+    of one and the same mark (and for which ``near(i, j)`` holds)."""
+    spread = rows.groupBy(key, "block").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    left, right = spread.select(key, F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_")), spread.select(key, F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
+    apart = (F.col("i") < F.col("j")) & (F.least("li", "lj") < F.greatest("hi_", "hj"))
+    pairs = left.join(right, key).where(apart if near is None else apart & near(F.col("i"), F.col("j"))).select(key, "i", "j")
+    ends = pairs.withColumn("block", F.explode(F.array("i", "j")))
+    return rows.join(ends, [key, "block"])
+
+
+def _marked(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """rows with ``mark``: the component of each sid, or the sid itself."""
+    return rows.drop("mark").join(stars.withColumnsRenamed({"node": "sid", "component": "mark"}), "sid", "left").withColumn("mark", F.coalesce("mark", "sid"))
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, sid, ...) with ``hand``, which cuts each key into parts of about ``most``."""
+    hands = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("long").alias("hands"))
+    return rows.join(hands, key).withColumn("hand", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("hands"))).drop("hands")
+
+
 def _candidates(distinct: DataFrame, percent: int, label: str) -> DataFrame:
-    """Edges (a, b) of set ids whose components hold every link; each set once in."""
-    posted = _prefixes(distinct, heavy_shingles(distinct), percent)
+    """(node, component) of set ids: components that hold every link; each set once in."""
+    heavy = heavy_shingles(distinct)
+    hot = [h for h, c in heavy if c > HOT_SHINGLE]
+    posted = _prefixes(distinct, heavy, percent)
     by_size = Window.partitionBy("token").orderBy("n", "sid")
     fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
-    tiles = stage(posted.withColumn("fits", fits).where("fits").select("token", "sid"), f"{label}-tiles")
+    if hot:  # known ones, so a list of bounded length: their entries all stay
+        listed = distinct.sparkSession.createDataFrame([(h,) for h in hot], "token long")
+        cold, warm = posted.join(F.broadcast(listed), "token", "left_anti"), posted.join(F.broadcast(listed), "token", "left_semi")
+        posted = cold.withColumn("fits", fits).where("fits").select("token", "sid", "n").unionByName(warm)
+    else:
+        posted = posted.withColumn("fits", fits).where("fits").select("token", "sid", "n")
+    tiles = stage(posted, f"{label}-tiles")
     # two near copies share many shingles: of tiles with the same members one is enough
     members = tiles.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
-    tiles = tiles.join(members.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+    one = stage(members.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c"), f"{label}-tokens")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,22 +325,33 @@ def _candidates(distinct: DataFrame, percent: int, label: str) -> DataFrame:
         release_memory()
 
     signed = distinct.select("sid", "n", "shingles").mapInArrow(sign, "sid long, n long, bits binary")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in runs(batches, ["token"]):
-            sid, n, bits = table.column("sid").to_numpy(), table.column("n").to_numpy(), table.column("bits").to_pylist()
-            edges = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a == 2:
-                    if _pair_can_link(int(n[a]), bits[a], int(n[a + 1]), bits[a + 1], percent):
-                        edges.append((sid[a], sid[a + 1]))
-                elif b - a > 2:
-                    edges += [(sid[a + i], sid[a + j]) for i, j in Tile(n[a:b], bits[a:b], percent).link()]
-            pairs = np.array(edges, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    near = tiles.join(signed, "sid")
-    return near.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(work, "a long, b long")
+    small = tiles.select("token", "sid").join(one.where(F.col("c") <= TILE).select("token"), "token", "left_semi").join(signed, "sid")
+    edges = _bounded(small.withColumn("mark", F.col("sid")), ["token"], percent)
+    large = one.where(F.col("c") > TILE)
+    if large.isEmpty():
+        return connected_components(edges, f"{label}-clusters")
+    # a band holds the sizes up to one link's ratio, so links are in one band or the next
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("long") if percent < 100 else F.col("n").cast("long")
+    entries = stage(tiles.join(_small(large.select("token")), "token").withColumn("band", band), f"{label}-entries")
+    counts = entries.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("long").alias("salts"))
+    block = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("sid"), F.col("salts"))
+    entries = stage(entries.join(_small(counts), ["token", "band"]).select("token", "sid", block.alias("block")).join(signed, "sid").withColumn("mark", F.col("sid")), f"{label}-blocks")
+    found = edges.unionByName(_bounded(entries, ["token", "block"], percent))
+    near = lambda i, j: F.abs(F.shiftright(i, 32) - F.shiftright(j, 32)) <= 2  # noqa: E731  a band of slack for rounding
+    for step in ("leaders", "rest"):
+        stars = stage(connected_components(found, f"{label}-{step}"), f"{label}-{step}-stars")
+        marked = _marked(entries, stars)
+        apart = stage(marked.groupBy("token").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).where("x <> y").select("token"), f"{label}-{step}-apart")
+        if apart.isEmpty():
+            return stars
+        marked = marked.join(_small(apart), "token")
+        if step == "leaders":
+            first = marked.groupBy("token", "mark").agg(F.min(F.struct("sid", "n", "bits")).alias("s")).select("token", "mark", "s.*")
+            more = _bounded(_dealt(first, "token", TILE), ["token", "hand"], percent)
+        else:
+            more = _bounded(_paired(marked, "token", near), ["token", "i", "j"], percent)
+        found = stage(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), f"{label}-{step}-found")
+    return connected_components(found, f"{label}-clusters")
 
 
 def _exact(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -318,7 +390,7 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def _links(distinct: DataFrame, percent: int, label: str, block: int) -> DataFrame:
     """(node, component) of the sets that link with another set."""
-    clusters = connected_components(_candidates(distinct, percent, label), f"{label}-clusters")
+    clusters = _candidates(distinct, percent, label)
     of = stage(clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")), f"{label}-members")
     sizes = of.groupBy("cluster").agg(F.count("*").alias("m"))
     members = distinct.select("sid", "n", "shingles").join(_small(of), "sid")
@@ -332,15 +404,12 @@ def _links(distinct: DataFrame, percent: int, label: str, block: int) -> DataFra
     cut = members.where("blocks > 1").drop("mark")
     known = within
     for step in ("leaders", "rest"):
-        marks = connected_components(known, f"{label}-{step}").withColumnsRenamed({"node": "sid", "component": "mark"})
-        open_sets = cut.join(marks, "sid", "left").withColumn("mark", F.coalesce("mark", "sid"))
+        open_sets = _marked(cut, connected_components(known, f"{label}-{step}"))
         if step == "leaders":
-            found = _exact(open_sets.where("sid = mark"), ["cluster"], percent)
+            found = _exact(_dealt(open_sets.where("sid = mark"), "cluster", block), ["cluster", "hand"], percent)
         else:
             apart = open_sets.groupBy("cluster").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).where("x <> y").select("cluster")
-            others = open_sets.join(apart, "cluster").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-            paired = others.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-            found = _exact(paired, ["cluster", "i", "j"], percent)
+            found = _exact(_paired(open_sets.join(apart, "cluster"), "cluster"), ["cluster", "i", "j"], percent)
         known = stage(known.unionByName(found), f"{label}-known-{step}")
     return connected_components(known, f"{label}-links")
 

@@ -62,6 +62,22 @@ def test_large_group_in_small_blocks(docs):
     assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("tile,hot", [(2, 1), (5, 3), (8, 10**9)])
+def test_large_tiles_in_blocks(docs, monkeypatch, tile, hot):
+    """Tiles cut into blocks, and shingles whose entries aren't sorted, give the same."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "HOT_SHINGLE", hot)
+    rng = random.Random(tile)
+    base = ["b%d" % i for i in range(100)]
+    rows = []
+    for i in range(60):  # one hot passage, texts of several lengths, some near copies, some not
+        t = base[: rng.choice([30, 60, 90, 100])] + ["x%d" % rng.randrange(400) for _ in range(rng.choice([0, 2, 4, 30]))]
+        rows.append((i, " ".join(t)))
+    rows += [(100 + k, t) for k, t in corpus(7, 40)]
+    got = jaccard_components(docs(rows), label="t")
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85)
+
+
 def test_odd_rows(odd):
     got = [tuple(r) for r in jaccard_components(odd, label="t").collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 6, 3), (4, 1, 4), (4, 1, 4), (None, 1, None), (6, 1, 6), (7, 0, 7)], key=str)
