@@ -54,7 +54,7 @@ BROADCAST_IDS = 2_000_000
 HEAVY = 262_144
 #: Words of the summary that orders shingles.
 WORDS = 4096
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:

@@ -28,8 +28,10 @@ UNKNOWN = "und"
 #: Fewest texts of a length class for a floor of its own, and buckets of scores.
 LEAST_LABELLED = 100
 SCORE_BUCKETS = 1000
-#: Most trigrams whose vectors a process keeps (1 KB each).
-_KNOWN_TRIGRAMS = 50_000
+#: Most trigrams whose vectors a process keeps (1 KB each), and of texts of no language.
+_KNOWN_TRIGRAMS, _FEW_TRIGRAMS = 24_000, 8_000
+#: Trigrams that are bundled at once.
+_STEP = 1024
 _TABLE: list[np.ndarray] = []
 
 
@@ -62,8 +64,8 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
 class Hypervectors:
     """Vectors of trigrams, made when first met; the table is emptied when full."""
 
-    def __init__(self, dims: int = DIMS):
-        self.dims, self.letters = dims, {}
+    def __init__(self, dims: int = DIMS, most: int = _KNOWN_TRIGRAMS):
+        self.dims, self.most, self.letters = dims, most, {}
         self._reset()
 
     def _reset(self) -> None:
@@ -86,12 +88,14 @@ class Hypervectors:
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == codes[known]
         if not known.all():
-            if len(self.codes) + len(codes) > _KNOWN_TRIGRAMS:
+            if len(self.codes) + len(codes) > self.most:
                 self._reset()
                 known = np.zeros(len(codes), bool)
             missing = codes[~known]
-            while self.used + len(missing) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            if self.used + len(missing) > len(self.rows):
+                more = np.zeros((max(self.used + len(missing), min(2 * len(self.rows), self.most)), self.dims), np.int8)
+                more[: self.used] = self.rows[: self.used]
+                self.rows = more
             for i, code in enumerate(missing.tolist()):
                 self.rows[self.used + i] = self._bind(code)
             place = np.searchsorted(self.codes, missing)
@@ -173,13 +177,14 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
                 codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                 counts = np.bincount(inverse, np.concatenate([n for _, n in found]))
                 total = sums.setdefault(lang, np.zeros(DIMS))
-                for a in range(0, len(codes), 4096):
-                    total += space.bundle(codes[a : a + 4096], counts[a : a + 4096])
+                for a in range(0, len(codes), _STEP):
+                    total += space.bundle(codes[a : a + _STEP], counts[a : a + _STEP])
                 if len(sums) == 1000:  # partial sums go on; a task holds 8 MB of them at most
                     yield batch_of()
                     sums.clear()
         if sums:
             yield batch_of()
+        release_memory()
 
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     sums = known.mapInArrow(work, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x"))
@@ -202,12 +207,12 @@ def predict(docs: DataFrame, model: Model, text_col: str, keep: list[str] | None
     sc = docs.sparkSession.sparkContext
     now = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.lit(UNKNOWN).alias("name"), F.lit(-2.0).alias("cosine"), F.col(text_col).cast("string").alias("t"))
 
-    def judged(before: DataFrame, shared) -> DataFrame:
-        schema = before.schema
+    def judged(before: DataFrame, shared, last: bool) -> DataFrame:
+        schema = T.StructType(before.schema.fields[: -1 if last else None])  # texts go on to further blocks only
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, prototypes = shared.value
-            space = Hypervectors() if shuffle else kept_vectors()  # trigrams of no language aren't kept
+            space = Hypervectors(most=_FEW_TRIGRAMS) if shuffle else kept_vectors()  # trigrams of no language aren't kept
             for batch in batches:
                 *rest, names, scores, texts = batch.columns
                 names, scores = names.to_pylist(), scores.to_pylist()
@@ -216,18 +221,19 @@ def predict(docs: DataFrame, model: Model, text_col: str, keep: list[str] | None
                     text = shuffled(text) if shuffle and text else text
                     codes, counts, letters = trigrams(text) if text else (None, None, False)
                     if letters and langs:
-                        own = sum(space.bundle(codes[a : a + 4096], counts[a : a + 4096]) for a in range(0, len(codes), 4096))
+                        own = sum(space.bundle(codes[a : a + _STEP], counts[a : a + _STEP]) for a in range(0, len(codes), _STEP))
                         cosines = prototypes @ own / max(float(np.linalg.norm(own)), 1e-12)
                         best = int(np.argmax(cosines))
                         if cosines[best] > scores[i]:
                             names[i], scores[i] = langs[best], float(cosines[best])
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64()), texts], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([] if last else [texts])], names=schema.names)
             release_memory()
 
         return before.mapInArrow(work, schema)
 
+    count = max(1, -(-model.n // LANGUAGES))
     for i, block in enumerate(model.blocks()):
-        now = judged(now if not i else stage(now, "languages-met"), sc.broadcast(block))
+        now = judged(now if not i else stage(now, "languages-met"), sc.broadcast(block), i == count - 1)
     score = F.least(F.greatest("cosine", F.lit(0.0)), F.lit(1.0))
     return now.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("name").alias(names[0]), score.alias(names[1]))
 
