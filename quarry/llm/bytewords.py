@@ -8,7 +8,7 @@ UTF-8 buffer of a slice of rows at a time, so memory is bounded by ``SLICE_BYTES
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -56,6 +56,22 @@ def arrow_rows(spark, rows: int):
         spark.conf.set(key, before)
 
 
+#: Tables that operators keep in a worker process, by operator: how to drop them.
+_KEPT_TABLES: dict[str, Callable[[], None]] = {}
+
+
+def keeps_tables(operator: str, drop: Callable[[], None]) -> None:
+    """Says how to drop the tables that ``operator`` keeps between tasks of a process."""
+    _KEPT_TABLES[operator] = drop
+
+
+def begin_work(operator: str) -> None:
+    """A worker turns to ``operator``: the tables of all others are dropped."""
+    for name, drop in _KEPT_TABLES.items():
+        if name != operator:
+            drop()
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system, for worker processes that go on to other
     tasks; without effect where the C library can't."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import arrow_rows, mix, release_memory, shingle_sets, slices
+from quarry.llm.bytewords import arrow_rows, begin_work, mix, release_memory, shingle_sets, slices
 from quarry.llm.components import connected_components
 from quarry.llm.runs import runs
 from quarry.plans.staging import stage
@@ -103,6 +103,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, label
     shared = docs.sparkSession.sparkContext.broadcast(common_words(source.select("t")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("jaccard")
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import release_memory
+from quarry.llm.bytewords import begin_work, keeps_tables, release_memory
 from quarry.plans.staging import stage
 
 DIMS = 1024
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 LEAST_LABELLED = 100
 SCORE_BUCKETS = 1000
 #: Most trigrams whose vectors a process keeps (1 KB each), and of texts of no language.
-_KNOWN_TRIGRAMS, _FEW_TRIGRAMS = 24_000, 8_000
+_KNOWN_TRIGRAMS, _FEW_TRIGRAMS = 24_000, 40_000
 #: Trigrams that are bundled at once.
 _STEP = 1024
 _TABLE: list[np.ndarray] = []
@@ -65,22 +65,34 @@ class Hypervectors:
     """Vectors of trigrams, made when first met; the table is emptied when full."""
 
     def __init__(self, dims: int = DIMS, most: int = _KNOWN_TRIGRAMS):
-        self.dims, self.most, self.letters = dims, most, {}
+        self.dims, self.most = dims, most
         self._reset()
 
     def _reset(self) -> None:
-        """codes is sorted; slots has the row of each, in the order of arrival."""
+        """codes is sorted; slots has the row of each, in the order of arrival. letters has
+        the place of a letter in the tables of its vector, permuted 0, 1 and 2 times."""
         self.codes, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.rows, self.used = np.zeros((1024, self.dims), np.int8), 0
-
-    def letter(self, point: int) -> np.ndarray:
-        if point not in self.letters:
-            self.letters[point] = np.random.default_rng([20240901, point]).choice(np.array([-1, 1], np.int8), self.dims)
-        return self.letters[point]
-
-    def _bind(self, code: int) -> np.ndarray:
-        a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+        self.letters: dict[int, int] = {}
+        self.permuted = np.zeros((3, 64, self.dims), np.int8)
+
+    def _places(self, points: np.ndarray) -> np.ndarray:
+        """Of letters in the tables; new ones are put in."""
+        met, inverse = np.unique(points, return_inverse=True)
+        for point in met.tolist():
+            if point not in self.letters:
+                at = self.letters[point] = len(self.letters)
+                if at == self.permuted.shape[1]:
+                    self.permuted = np.concatenate((self.permuted, np.zeros_like(self.permuted)), axis=1)
+                vector = np.random.default_rng([20240901, point]).choice(np.array([-1, 1], np.int8), self.dims)
+                for times in range(3):
+                    self.permuted[times, at] = np.roll(vector, times)
+        return np.array([self.letters[p] for p in met.tolist()], np.int64)[inverse]
+
+    def _bind(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of trigrams: their letters', permuted by place, multiplied."""
+        a, b, c = (self._places(x) for x in (codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF))
+        return self.permuted[2, a] * self.permuted[1, b] * self.permuted[0, c]
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors, each as often as counted."""
@@ -96,8 +108,7 @@ class Hypervectors:
                 more = np.zeros((max(self.used + len(missing), min(2 * len(self.rows), self.most)), self.dims), np.int8)
                 more[: self.used] = self.rows[: self.used]
                 self.rows = more
-            for i, code in enumerate(missing.tolist()):
-                self.rows[self.used + i] = self._bind(code)
+            self.rows[self.used : self.used + len(missing)] = self._bind(missing)
             place = np.searchsorted(self.codes, missing)
             self.codes = np.insert(self.codes, place, missing)
             self.slots = np.insert(self.slots, place, np.arange(self.used, self.used + len(missing)))
@@ -109,6 +120,9 @@ class Hypervectors:
 _KEPT: list[Hypervectors] = []
 
 
+keeps_tables("language", _KEPT.clear)
+
+
 def kept_vectors() -> Hypervectors:
     """The vectors of this process: a worker that runs many tasks keeps its table."""
     if not _KEPT:
@@ -159,6 +173,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     """Languages and their normalised prototypes, from every row of ``labelled``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("language")
         space = kept_vectors()
         sums: dict[str, np.ndarray] = {}
 
@@ -167,19 +182,23 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
             dims = [np.arange(DIMS, dtype=np.int32)] * len(langs)
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(langs, DIMS).tolist(), pa.string()), pa.array(np.concatenate(dims)), pa.array(np.concatenate([np.rint(sums[x]) for x in langs]))], names=["lang", "dim", "x"])
 
-        for batch in batches:
-            met: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes, counts, letters = trigrams(text.as_py())
-                if letters:
-                    met.setdefault(lang, []).append((codes, counts))
+        def bundle(met: dict[str, list]) -> None:
             for lang, found in met.items():
                 codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                 counts = np.bincount(inverse, np.concatenate([n for _, n in found]))
                 total = sums.setdefault(lang, np.zeros(DIMS))
                 for a in range(0, len(codes), _STEP):
                     total += space.bundle(codes[a : a + _STEP], counts[a : a + _STEP])
-                if len(sums) == 1000:  # partial sums go on; a task holds 8 MB of them at most
+
+        for whole in batches:
+            for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+                met: dict[str, list] = {}
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    codes, counts, letters = trigrams(text.as_py())
+                    if letters:
+                        met.setdefault(lang, []).append((codes, counts))
+                bundle(met)
+                if len(sums) >= 1000:  # partial sums go on; a task holds 10 MB of them at most
                     yield batch_of()
                     sums.clear()
         if sums:
@@ -205,28 +224,31 @@ def predict(docs: DataFrame, model: Model, text_col: str, keep: list[str] | None
     pass over the texts; a later language wins by a greater cosine only."""
     keep = docs.columns if keep is None else keep
     sc = docs.sparkSession.sparkContext
-    now = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.lit(UNKNOWN).alias("name"), F.lit(-2.0).alias("cosine"), F.col(text_col).cast("string").alias("t"))
+    there = keep.index(text_col) if text_col in keep and dict(docs.dtypes)[text_col] == "string" else None  # or else beside the kept ones
+    own = [] if there is not None else [F.col(text_col).cast("string").alias("t")]
+    now = docs.select(F.lit(UNKNOWN).alias("name"), F.lit(-2.0).alias("cosine"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *own)
 
     def judged(before: DataFrame, shared, last: bool) -> DataFrame:
-        schema = T.StructType(before.schema.fields[: -1 if last else None])  # texts go on to further blocks only
+        schema = T.StructType(before.schema.fields[: -1 if last and own else None])  # what only further blocks need goes
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, prototypes = shared.value
+            begin_work("language")
             space = Hypervectors(most=_FEW_TRIGRAMS) if shuffle else kept_vectors()  # trigrams of no language aren't kept
             for batch in batches:
-                *rest, names, scores, texts = batch.columns
+                names, scores, *rest = batch.columns
                 names, scores = names.to_pylist(), scores.to_pylist()
-                for i, text in enumerate(texts):
+                for i, text in enumerate(rest[-1 if there is None else there]):
                     text = text.as_py()
                     text = shuffled(text) if shuffle and text else text
                     codes, counts, letters = trigrams(text) if text else (None, None, False)
                     if letters and langs:
-                        own = sum(space.bundle(codes[a : a + _STEP], counts[a : a + _STEP]) for a in range(0, len(codes), _STEP))
-                        cosines = prototypes @ own / max(float(np.linalg.norm(own)), 1e-12)
+                        vector = sum(space.bundle(codes[a : a + _STEP], counts[a : a + _STEP]) for a in range(0, len(codes), _STEP))
+                        cosines = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-12)
                         best = int(np.argmax(cosines))
                         if cosines[best] > scores[i]:
                             names[i], scores[i] = langs[best], float(cosines[best])
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([] if last else [texts])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), *rest][: len(schema)], names=schema.names)
             release_memory()
 
         return before.mapInArrow(work, schema)

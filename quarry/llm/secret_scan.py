@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import Slice, release_memory, slices
+from quarry.llm.bytewords import Slice, begin_work, release_memory, slices
 
 # The base forms of the contract, and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -353,6 +353,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", mode
         return "".join([*out, text[done:]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("secrets")
         at = columns.index(text_col)
         for batch in batches:
             for part in slices(batch.column(at)):
