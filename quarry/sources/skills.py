@@ -96,7 +96,7 @@ def with_retry(max_retries: int = 3, factor: float = 0.5, jitter: bool = True, e
                     return f(*args, **kwargs)
                 except errors as e:
                     if attempt == max_retries:
-                        raise RetryExhaustedError(f"failed after {max_retries + 1} attempts: {e}", last_exception=e) from e
+                        raise RetryExhaustedError.after(max_retries + 1, e) from e
                     sleep(backoff(attempt, factor, jitter))
 
         return call
@@ -176,7 +176,7 @@ def download(name: str, sources: list[SkillSource], skills_dir: str | Path, clie
         root.mkdir(parents=True, exist_ok=True)
         count = _copy(items, root, s, client, f"skills/{name}")
         return {"skill": name, "source": s.name, "path": str(root), "file_count": count}
-    raise SkillNotFoundError(name, source=", ".join(s.name for s in sources))
+    raise SkillNotFoundError(name, tuple(s.name for s in sources))
 
 
 def _copy(items: list[dict], to: Path, source: SkillSource, client: HttpClient, at: str) -> int:

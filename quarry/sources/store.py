@@ -1,7 +1,9 @@
 """The graph store: nodes, edges and file manifest as Parquet, replaced by version.
 
-Each write makes a new version folder and then swaps the pointer file, so a reader or a
-failed write never sees half a graph.
+Each write makes a new version folder and then an empty marker file that names it, with a
+growing number; the highest marker is the current version. No marker is ever replaced, so
+a reader or a failed write never sees half a graph or none, and the last ``KEPT`` versions
+stay for readers that are still at work.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from quarry.functions.schemas import EDGES, MANIFEST, NODES
 from quarry.operators import graph
 from quarry.sources import files as source_files
 
+KEPT = 3
 TABLES = {"nodes": NODES, "edges": EDGES, "manifest": MANIFEST}
 
 
 class GraphStore:
-    """``root`` is any path that Spark can write; the pointer is a one-row table."""
+    """``root`` is any path that Spark can write."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -30,9 +33,14 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
+    def _markers(self) -> list[str]:
+        """Names of the markers, oldest first: a number of 12 digits, and the version."""
         path, fs = self._path("current")
-        return self.spark.read.parquet(f"{self.root}/current").first()[0] if fs.exists(path) else None
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def version(self) -> str | None:
+        markers = self._markers()
+        return markers[-1][13:] if markers else None
 
     def read(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         at = self.version()
@@ -46,13 +54,16 @@ class GraphStore:
             df.createOrReplaceTempView(prefix + name)
 
     def write(self, nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> None:
-        old, new = self.version(), f"v-{uuid.uuid4().hex}"
+        markers, new = self._markers(), f"v-{uuid.uuid4().hex}"
         for name, df in zip(TABLES, (nodes, edges, manifest), strict=True):
             df.write.parquet(f"{self.root}/{new}/{name}")
-        self.spark.range(1).select(F.lit(new).alias("version")).write.mode("overwrite").parquet(f"{self.root}/current")
-        if old:
-            path, fs = self._path(old)
-            fs.delete(path, True)
+        number = int(markers[-1][:12]) + 1 if markers else 0
+        path, fs = self._path(f"current/{number:012d}-{new}")
+        fs.mkdirs(path.getParent())
+        fs.create(path, False).close()
+        for old in markers[: -(KEPT - 1)]:
+            fs.delete(self._path(f"current/{old}")[0], False)
+            fs.delete(self._path(old[13:])[0], True)
 
     def clear(self) -> None:
         self.write(*(self.spark.createDataFrame([], ddl) for ddl in TABLES.values()))
@@ -62,13 +73,13 @@ class GraphStore:
         nodes, edges, manifest = self.read()
         self.write(nodes, edges, manifest.where(~F.col("file_path").isin(*paths) if paths else F.lit(True)))
 
-    def put(self, files: DataFrame, remove_first: bool = True, resolve_scope: str = "file", now: float | None = None) -> None:
+    def put(self, files: DataFrame, remove_first: bool = True, resolve_scope: str = "file", now: float | None = None, heritage: bool = False) -> None:
         """Parses and stores files. Without ``remove_first`` old rows stay: nodes are
         deduplicated, edges are not."""
         from quarry.plans.staging import stage
 
         nodes, edges, manifest = self.read()
-        tagged = stage(source_files.extract(files), "extracted")
+        tagged = stage(source_files.extract(files, heritage), "extracted")
         fresh = graph.dedupe_nodes(source_files.nodes_of(tagged))
         hashes = files.select("file_path", F.col("sha256").alias("hash"), F.lit(time.time() if now is None else now).alias("updated_at"))
         if remove_first:
@@ -83,7 +94,7 @@ class GraphStore:
         self.write(everything.select("file_path", "symbol_name", "symbol_type", "line_number", "signature"), edges.unionByName(resolved), graph.upsert(manifest, hashes, "file_path"))
 
 
-def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str = "full", path: str | None = None, force: bool = False, language: str | None = None, resolve_scope: str = "file", purge_missing: bool = False) -> DataFrame:
+def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str = "full", path: str | None = None, force: bool = False, language: str | None = None, resolve_scope: str = "file", purge_missing: bool = False, heritage: bool = False) -> DataFrame:
     """Builds or refreshes the stored graph; returns its statistics (one row).
 
     ``full`` reads the root, ``module`` a directory, ``file`` one file. Files whose hash
@@ -113,7 +124,7 @@ def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str =
     if not force and scope != "file":
         stale = graph.changed_files(found, manifest).where("not cached").select("file_path")
         found = found.join(stale, "file_path", "left_semi")
-    store.put(found, remove_first=scope != "file", resolve_scope=resolve_scope)
+    store.put(found, remove_first=scope != "file", resolve_scope=resolve_scope, heritage=heritage)
     nodes, edges, _ = store.read()
     return graph.graph_stats(nodes, edges, path if scope == "file" else None)
 
@@ -129,6 +140,6 @@ def vote(spark: SparkSession, root: str) -> str:
     return language
 
 
-def rebuild(store: GraphStore, files: DataFrame, resolve_scope: str = "file") -> None:
+def rebuild(store: GraphStore, files: DataFrame, resolve_scope: str = "file", heritage: bool = False) -> None:
     """Incremental refresh of changed files: their old rows out, new ones in."""
-    store.put(files, remove_first=True, resolve_scope=resolve_scope)
+    store.put(files, remove_first=True, resolve_scope=resolve_scope, heritage=heritage)
