@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import QuarryError
+from quarry.functions.memo import Memo
 from quarry.operators import affected_tests, catalog, graph, symbols, traverse, validation
-from quarry.sources import files, skills
+from quarry.sources import files, search, skills
 from quarry.sources.store import GraphStore, build_graph, vote
 
 
@@ -32,11 +33,16 @@ class Tools:
     skills_dir: str = ""
     config: skills.Config | None = None
     client: skills.HttpClient | None = None
+    #: Whether verification searches the driver's own interpreter too (slow the first time).
+    interpreter: bool = False
+    #: Whether extends and implements are edges of the graph.
+    heritage: bool = False
 
     def __post_init__(self) -> None:
         self.store = GraphStore(self.spark, self.store_root)
         self.config = self.config or skills.Config()
-        self._symbols = lru_cache(maxsize=2)(self._read_symbols)
+        self._symbols = lru_cache(maxsize=8)(self._read_symbols)
+        self.answers = Memo(256)
 
     # graph
 
@@ -44,7 +50,7 @@ class Tools:
         _check("scope", scope, among=("full", "file", "module"))
         if path is not None:
             _check("path", path, 0, 500)
-        row = build_graph(self.spark, self.store, self.root, scope, path, force_rebuild, language, resolve_scope).first().asDict()
+        row = build_graph(self.spark, self.store, self.root, scope, path, force_rebuild, language, resolve_scope, heritage=self.heritage).first().asDict()
         if "error" in row:
             return f"Error: {row['error']}"
         lines = ["Code Graph Analysis:", f"  Total nodes (functions/classes): {row['total_nodes']}", f"  Total edges (call relationships): {row['total_edges']}"]
@@ -90,22 +96,30 @@ class Tools:
 
     # symbols
 
-    def _read_symbols(self, language: str):
+    def _read_symbols(self, library: str, language: str):
         from quarry.plans.staging import stage
 
-        found = files.scan_symbols(self.spark, self.root, language)
-        rows = files.symbols(found).withColumn("dir_rank", F.lit(0)).withColumn("relative_path", F.expr(f"substr(file_path, {len(str(Path(self.root).resolve())) + 2})"))
-        return stage(rows, "symbols")
+        return stage(search.symbols_of(self.spark, self.root, library, language, self.interpreter), "symbols")
+
+    def detect_language(self, library: str = "") -> str:
+        """By the files of the project, a tie by the library."""
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,ts,js}").load(self.root).select("path")
+        return graph.language_vote(listed, library).first()[0]
 
     def verify_api(self, library: str, symbol: str, symbol_type: str = "", import_path: str = "", doc_url: str = "", language: str | None = None) -> str:
         """``symbol_type`` and ``import_path`` are accepted and, as in the tool this
-        follows, don't narrow the local search."""
+        follows, don't narrow the local search. The last 256 answers are kept by library,
+        symbol, type and language."""
         _check("library", library, 1, 100)
         _check("symbol", symbol, 1, 200)
         _check("doc_url", doc_url, 0, 1000)
-        language = language or "python"
-        asked = self.spark.createDataFrame([(library, symbol, language, doc_url or None)], "library string, symbol string, language string, doc_url string")
-        row = symbols.verify(asked, self._symbols(language), symbols.known_symbols(self.spark)).first()
+        key = f"{library}:{symbol}:{symbol_type}:{language or ''}"
+        if key in self.answers:
+            return self.answers.get(key)
+        language = language or self.detect_language(library)
+        package = (Path(self.root) / "node_modules" / library).is_dir()
+        asked = self.spark.createDataFrame([(library, symbol, language, doc_url or None, package)], "library string, symbol string, language string, doc_url string, package boolean")
+        row = symbols.verify(asked, self._symbols(library, language), symbols.known_symbols(self.spark)).first()
         lines = [f"API Verification: {symbol} in {library}", f"Status: {row.status}", ""]
         if row.status == "FOUND":
             lines.append(f"Source: {row.source}")
@@ -114,7 +128,8 @@ class Tools:
             lines.append("Message: Symbol not found")
             if row.similar:
                 lines += ["\nSimilar symbols:", *(f"  - {s}" for s in row.similar)]
-        return "\n".join(lines)
+        self.answers.put(key, "\n".join(lines))
+        return self.answers.get(key)
 
     # skills
 

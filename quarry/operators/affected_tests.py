@@ -10,6 +10,8 @@ from quarry.sources.files import identifiers
 
 #: Most names that are broadcast.
 BROADCAST_NAMES = 1_000_000
+#: Lengths of the starts of names that texts are searched for, when names are many.
+STARTS = (1, 2, 3, 4, 8)
 
 
 def targets(names: DataFrame, column: str = "caller") -> DataFrame:
@@ -25,15 +27,24 @@ def by_reference(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def by_substring(files: DataFrame, wanted: DataFrame, max_names: int = 10_000) -> DataFrame:
     """(path): TypeScript and JavaScript test files whose text holds a wanted name
-    anywhere. Up to ``max_names`` names become one array on every row; more are
-    joined by the same test, each text with each name."""
+    anywhere. Up to ``max_names`` names become one array on every row. More meet the texts
+    by their starts, a few letters that both must have, in a join on these; then the same
+    test decides. No text meets all names, and the answer is the same."""
     tests = files.where(is_test_file(F.col("file_path"), "typescript"))
     names = wanted.select("name").distinct()
     listed = [r[0] for r in names.take(max_names + 1)]
     if len(listed) > max_names:
-        held = F.col("content").contains(F.col("name"))
+        longest = F.element_at(F.filter(F.array(*(F.lit(n) for n in STARTS)), lambda n: n <= F.length("name")), -1)
+        named = names.where("name <> ''").withColumn("start", F.col("name").substr(F.lit(1), longest))
+        inside = lambda n: F.when(F.length("content") >= n, F.transform(F.sequence(F.lit(1), F.length("content") - n + 1), lambda i: F.substring("content", i, F.lit(n))))
+        starts = F.array_distinct(F.flatten(F.array_compact(F.array(*(inside(n) for n in STARTS)))))
+        met = tests.select(F.col("file_path").alias("path"), F.explode(starts).alias("start"))
         few = names.count() <= BROADCAST_NAMES
-        met = tests.join(F.broadcast(names), held, "left_semi") if few else tests.join(names, held)
-        return met.select(F.col("file_path").alias("path")).distinct()
+        asked = met.join(F.broadcast(named) if few else named, "start").select("path", "name")
+        held = asked.join(tests.select(F.col("file_path").alias("path"), "content"), "path").where(F.col("content").contains(F.col("name")))
+        out = held.select("path").distinct()
+        if names.where("name = ''").isEmpty():
+            return out
+        return tests.where("content is not null").select(F.col("file_path").alias("path")).distinct()  # any text holds the empty name
     array = F.array(*(F.lit(n) for n in sorted(listed))) if listed else F.array().cast("array<string>")
     return tests.where(F.exists(array, lambda n: F.col("content").contains(n))).select(F.col("file_path").alias("path")).distinct()

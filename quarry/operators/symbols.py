@@ -49,11 +49,12 @@ def nearest(symbols: DataFrame, asked: DataFrame, threshold: float = 0.7, chunk:
     """(symbol, name, ..., score): for each asked symbol all similar names. The asked
     ones (requests without an answer) meet the table in chunks of about ``chunk``, as an
     array on each row, so only similar pairs are ever made."""
-    chunks = max(1, -(-asked.count() // chunk))
+    first = [r[0] for r in asked.select("symbol").take(chunk + 1)]
+    chunks = 1 if len(first) <= chunk else -(-asked.count() // chunk)
     columns = ["name", "symbol_type", "signature", "dir_rank", "file_path", "ordinal"]
     parts = []
     for c in range(chunks):
-        names = sorted(r[0] for r in asked.where(F.pmod(F.xxhash64("symbol"), F.lit(chunks)) == c).collect())
+        names = sorted(first if chunks == 1 else [r[0] for r in asked.where(F.pmod(F.xxhash64("symbol"), F.lit(chunks)) == c).collect()])
         listed = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
         close = F.filter(F.transform(listed, lambda q: F.struct(q.alias("symbol"), text.similarity(F.col("name"), q).alias("score"))), lambda x: x["score"] >= threshold)
         parts.append(symbols.select(*columns, F.inline(close)))
@@ -64,16 +65,17 @@ def verify(requests: DataFrame, symbols: DataFrame, known: DataFrame, similar_th
     """Answers (library, symbol, language, doc_url) requests, one wide row each.
 
     First the local symbols (all ranked directories, whatever the library), then the
-    known ones, else DOES_NOT_EXIST with up to 5 similar names. Requests are distinct;
+    known ones, else DOES_NOT_EXIST with up to 5 similar names. Equal requests are one;
     a doc_url is judged by its form alone. ``symbols`` with a ``library`` column match
-    only that library's requests."""
-    asked = requests.dropDuplicates(["library", "symbol", "language"])
+    only that library's requests. Requests may say whether the library's ``package`` is
+    there: found TypeScript symbols are then imported from it."""
+    asked = requests.dropDuplicates(["library", "symbol", "language", "doc_url"])
     keys = ["symbol"] + (["library"] if "library" in symbols.columns else [])
     at = symbols.withColumnRenamed("name", "symbol")
     wanted = at.join(asked.select("symbol").distinct(), "symbol", "left_semi")
     best = first_by_priority(wanted, keys, ["dir_rank", "file_path", "ordinal"]).select(*keys, F.struct("symbol_type", "file_path", "line_number", "signature", F.col("relative_path") if "relative_path" in at.columns else F.lit(None).cast("string").alias("relative_path")).alias("local"))
     out = asked.join(best, keys, "left").join(F.broadcast(known.withColumn("is_known", F.lit(True))), ["library", "symbol"], "left")
-    lost = out.where("local is null and is_known is null").select("library", "symbol", "language")
+    lost = out.where("local is null and is_known is null").select("library", "symbol", "language").distinct()
     near = nearest(at.withColumnRenamed("symbol", "name"), lost.select("symbol").distinct(), similar_threshold)
     scored = lost.join(near, "symbol")
     order = Window.partitionBy("library", "symbol", "language")
@@ -81,8 +83,10 @@ def verify(requests: DataFrame, symbols: DataFrame, known: DataFrame, similar_th
     named = top.groupBy("library", "symbol", "language").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", text.similar_entry(F.col("name"), F.col("symbol_type"), F.col("signature")).alias("e")))), lambda x: x["e"]).alias("similar"))
     out = out.join(named, ["library", "symbol", "language"], "left")
     source = F.when(F.col("local").isNotNull(), "local").when(F.col("is_known"), "known_library")
+    package = F.col("package") if "package" in requests.columns else F.lit(False)
+    from_package = F.when(F.col("language").isin("typescript", "javascript") & package & F.col("local").isNotNull(), text.ts_import(F.col("library"), F.lit(None).cast("string"), F.col("symbol")))
     import_path = F.when(F.col("local.relative_path").isNotNull() & (F.col("language") == "python"), text.python_import(F.col("local.relative_path"), F.col("symbol")))
     return out.select(
         "library", "symbol", "language", F.when(source.isNotNull(), "FOUND").otherwise("DOES_NOT_EXIST").alias("status"), source.alias("source"), "local.symbol_type", "local.file_path", "local.line_number", "local.signature",
-        import_path.alias("import_path"), F.when(text.url_valid(F.col("doc_url")), F.col("doc_url")).alias("doc_url"), F.coalesce("similar", F.array().cast("array<string>")).alias("similar"),
+        F.coalesce(import_path, from_package).alias("import_path"), F.when(text.url_valid(F.col("doc_url")), F.col("doc_url")).alias("doc_url"), F.coalesce("similar", F.array().cast("array<string>")).alias("similar"),
     )
