@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import begin_work, keeps_tables, release_memory
+from quarry.llm.bytewords import arrow_rows, begin_work, keeps_tables, release_memory
 from quarry.plans.staging import stage
 
 DIMS = 1024
@@ -30,8 +30,8 @@ LEAST_LABELLED = 100
 SCORE_BUCKETS = 1000
 #: Most trigrams whose vectors a process keeps (1 KB each), and of texts of no language.
 _KNOWN_TRIGRAMS, _FEW_TRIGRAMS = 24_000, 40_000
-#: Trigrams that are bundled at once.
-_STEP = 1024
+#: Trigrams that are bundled at once, and texts that are exchanged with a worker at once.
+_STEP, _ROWS = 1024, 1000
 _TABLE: list[np.ndarray] = []
 
 
@@ -207,7 +207,8 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
 
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     sums = known.mapInArrow(work, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x"))
-    return Model(stage(sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("x")), "languages"))
+    with arrow_rows(labelled.sparkSession, _ROWS):
+        return Model(stage(sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("x")), "languages"))
 
 
 def shuffled(text: str) -> str:
@@ -280,7 +281,8 @@ def floors(labelled: DataFrame, model: Model, text_col: str, lang_col: str, leas
     for shuffle in (False, True):
         judged = predict(rows, model, "t", ["lang", "class"], shuffle).where(F.col("lang_pred") != UNKNOWN)
         judged = judged if shuffle else judged.where("lang_pred = lang")
-        counts = judged.groupBy("class", F.floor(F.col("score") * SCORE_BUCKETS).cast("int").alias("bucket")).count().collect()
+        with arrow_rows(labelled.sparkSession, _ROWS):
+            counts = judged.groupBy("class", F.floor(F.col("score") * SCORE_BUCKETS).cast("int").alias("bucket")).count().collect()
         sketch: dict[int, np.ndarray] = {}
         for c, b, n in counts:
             sketch.setdefault(c, np.zeros(SCORE_BUCKETS + 1, np.int64))[b] += n
