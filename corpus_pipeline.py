@@ -24,6 +24,14 @@ LEAST_SCORE = 0.02
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python and back by a thousand rows: the setting holds from here on,
+    as a stage is run by whoever writes its result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def _unused(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with underscores until no column has it in any case."""
     taken = {c.lower() for c in columns}
@@ -43,6 +51,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text, and one that is empty or has no letter, goes. A null language teaches
     nothing and keeps nothing out, a null id isn't held out. Repeated rows are judged alike,
     equal cosines by the language that sorts first. If nothing can be learned, all go."""
+    _small_batches(spark)
     model = learn(docs.where(~held_out("doc_id")), "text", "lang")
     by_class = floors(docs.where(held_out("doc_id")), model, "text", "lang", LEAST_SCORE)
     floor = F.lit(LEAST_SCORE)
@@ -71,6 +80,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` is that of the text as it is now. Null texts stay null with their own
     ``n_chars``; empty texts hold nothing; repeated rows change alike."""
+    _small_batches(spark)
     n_chars = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return redact(docs).withColumn("n_chars", n_chars).select(*docs.columns)
 
@@ -94,6 +104,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row for each document, repeated ones too: doc_id, n_tokens, ids_sha256,
     decoded_sha256, round_trip and token_ids. A null text counts as empty: no tokens."""
+    _small_batches(spark)
     import public_tokenizers
 
     with open(public_tokenizers.path(VOCABULARY), "rb") as file:
