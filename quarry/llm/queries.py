@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_decode
-from quarry.llm import chat, mixing, quality, va_search
+from quarry.llm import chat, mixing, quality, token_alignment, url_rules, va_search
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.language_id import identify
 from quarry.llm.pii import find_pii
@@ -66,6 +66,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, byte_level: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(byte_level), "rb") as a, open(public_tokenizers.path(pieces), "rb") as b:
+        files = token_alignment.Vocabularies(a.read(), b.read())
+    return token_alignment.align(_table(spark, sf_dir, "documents"), files, label="op11")
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    words = spark.createDataFrame([(w,) for w in url_rules.WORDS], "word string")
+    return url_rules.judge(_table(spark, sf_dir, "pages"), rules, words)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -77,5 +91,7 @@ QUERIES = {
     "op8_exact_search": op8_exact_search,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_url_rules": op12_url_rules,
 }
-SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op5_chat_format": chat.SQL, "op6_source_mix": mixing.SQL, "op8_exact_search": va_search.SQL, "op12_url_rules": url_rules.SQL}
