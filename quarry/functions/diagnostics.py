@@ -68,6 +68,13 @@ def check_status(issues: DataFrame, keys: list[str], never_fails: tuple[str, ...
     return issues.groupBy(*keys, "check").agg(F.when(errors > 0, "fail").when(F.count("severity") > 0, "warn").otherwise("pass").alias("status"), F.count("severity").alias("n_issues"))
 
 
+def merge_checks(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, check, status, n_issues) of partial rows of the same kind, in any order."""
+    worst = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
+    status = F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass")
+    return checks.groupBy(*keys, "check").agg(status.alias("status"), F.sum("n_issues").alias("n_issues"))
+
+
 def report(checks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, status, can_write, summary) from (keys, check, status): counts are of
     checks, and fail goes before warn before pass."""

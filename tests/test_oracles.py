@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from quarry.plans import catalog_queries as q
 
 DATA = "/root/testdata/sf0.001"
@@ -26,19 +27,22 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL))
+QUERIES, SQL = q.QUERIES | jobs.QUERIES, q.SQL | jobs.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    df = q.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect())
-    cur = con.execute(q.SQL[name])
+    cur = con.execute(SQL[name])
     named = [d[0] for d in cur.description]
     assert sorted(named) == cols
     assert got == sorted(repr(tuple(plain(r[named.index(c)]) for c in cols)) for r in cur.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(q.QUERIES) == set(q.SQL)
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
