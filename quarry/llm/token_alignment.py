@@ -5,7 +5,9 @@ linked when their byte ranges overlap, and the offsets where tokens of both end
 into groups. Overlapping occurrences share exactly one stretch between neighbouring ends
 of either side, so a text's links are its distinct ends.
 
-Tasks encode slices of texts once and write three kinds of rows: a summary per document;
+Tokens never reach over a single space between visible characters to the text before it, so
+texts are cut there into chunks, and a worker encodes equal chunks once. Tasks encode slices of
+texts once and write three kinds of rows: a summary per document;
 links per slice and stripe of B ids (distinct pairs of the slice, and for each document
 which of them it holds how often); and pair counts that the task has summed already. The
 counts meet by stripe in dense blocks (B ids of the stripe by A ids), filled by
@@ -21,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from quarry.plans.staging import stage
 
 #: Bytes of text whose links are packed together.
 SLICE = 2 << 20
-#: Longer texts are encoded in parts of about so many characters.
-PART = 1 << 16
+#: Characters that the tokenizers get at once, if one chunk isn't longer.
+PART = 1 << 18
+#: Characters of chunks whose ids a worker keeps before it starts anew.
+KEPT_CHARS = 1 << 22
 #: Stripes of B ids that links are dealt by, and that count blocks are made for.
 STRIPES, FINE = 32, 256
 #: Distinct pairs that a task sums up before it passes them on.
@@ -44,8 +49,9 @@ MOST_PAIRS = 1 << 21
 PARTIALS, SCORED = 256, 4096
 #: Least parts of a stripe's links.
 LEAST_SALTS = 8
-#: Between two letters or digits a single space always begins a token, on both sides.
-_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+#: A single space between two visible characters begins a token on both sides.
+_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_VISIBLE = re.compile(r"[!-~\w]")
 
 
 @dataclass(frozen=True)
@@ -64,6 +70,24 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+@dataclass
+class Encoded:
+    """Tokens of some texts, text after text: ids, how many a text has, and whether a text's
+    chunks all give their own bytes back."""
+
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
+    exact: np.ndarray
+
+    def only(self, keep: np.ndarray) -> Encoded:
+        return Encoded(self.a[np.repeat(keep, self.n_a)], self.n_a[keep], self.b[np.repeat(keep, self.n_b)], self.n_b[keep], self.exact[keep])
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(ids[(end := int(n[: i + 1].sum())) - int(n[i]) : end] for ids, n in ((self.a, self.n_a), (self.b, self.n_b)))
+
+
 class Coders:
     """Both tokenizers with their tables: bytes and lengths of tokens, and ids as text."""
 
@@ -80,31 +104,79 @@ class Coders:
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        #: Whether no piece goes on over a space, so that texts can be cut before one.
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        self._forget()
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         #: An id with what follows it: "," or "|" on side A, "," or ";" on side B.
         self.shown = [b"%d%b" % (i, end) for table, ends in ((self.bytes_a, b",|"), (self.bytes_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(len(table))]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides for each text (not empty); long texts go part by part."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            for part in parts_of(text):
-                parts.append(part)
-                owner.append(i)
-        a: list[list] = [[] for _ in texts]
-        b: list[list] = [[] for _ in texts]
+    def encode(self, texts: list[str]) -> Encoded:
+        """Ids of both sides of all texts (none empty), put together from those of their chunks."""
+        if self._kept_chars > KEPT_CHARS:
+            self._forget()
+        split = [self.chunks_of(text) for text in texts]
+        self._learn(list({chunk for chunks in split for chunk in chunks} - self._index.keys()))
+        chunks = np.fromiter(map(self._index.__getitem__, chain.from_iterable(split)), np.int64)
+        last = np.cumsum(np.array([len(x) for x in split], np.int64)) - 1
+        sides = []
+        for ids, upto in zip(self._ids, self._upto, strict=True):
+            first, n = upto[chunks], upto[chunks + 1] - upto[chunks]
+            total = np.cumsum(n)
+            at = np.repeat(first - total + n, n) + np.arange(total[-1] if len(n) else 0)
+            sides.append((ids[at], np.diff(total[last], prepend=0) if len(last) else last))
+        exact = np.minimum.reduceat(self._exact[chunks], np.append(0, last[:-1] + 1)) if len(last) else last.astype(bool)
+        return Encoded(*sides[0], *sides[1], exact)
+
+    def _forget(self) -> None:
+        self._index: dict[str, int] = {}
+        self._ids, self._upto = [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
+        self._exact, self._kept_chars = np.zeros(0, bool), 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes new chunks: those that begin and end visibly together, the others one by one."""
+        together = [c for c in chunks if c and _VISIBLE.match(c[0]) and _VISIBLE.match(c[-1])] if self.apart else []
+        alone = list(set(chunks) - set(together))
         at = 0
-        while at < len(parts):
+        while at < len(together):
             end, size = at, 0
-            while end < len(parts) and (end == at or size + len(parts[end]) <= 4 * PART):
-                size += len(parts[end])
+            while end < len(together) and (end == at or size + len(together[end]) <= PART):
+                size += len(together[end])
                 end += 1
-            for i, x in zip(owner[at:end], self.a.encode_batch([" " + p for p in parts[at:end]], add_special_tokens=False), strict=True):
-                a[i].append(np.array(x.ids, np.int64))
-            for i, x in zip(owner[at:end], self.b.encode(parts[at:end], num_threads=1), strict=True):
-                b[i].append(np.array(x, np.int64))
+            if not self._learn_together(together[at:end]):
+                alone += together[at:end]
             at = end
-        return [(np.concatenate(x), np.concatenate(y)) for x, y in zip(a, b, strict=True)]
+        for chunk in alone:
+            a, b = (np.array(x, np.int64) for x in (self.a.encode(" " + chunk, add_special_tokens=False).ids, self.b.encode(chunk)))
+            self._keep([chunk], (a, b), ([len(a)], [len(b)]), self.covers(chunk, a, b))
+
+    def _learn_together(self, chunks: list[str]) -> bool:
+        """Encodes the chunks as one text; false if its tokens don't end where chunks do."""
+        text = " ".join(chunks)
+        a, b = (np.array(x, np.int64) for x in (self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)))
+        if not self.covers(text, a, b):
+            return False
+        stops, counts = np.cumsum([len(c.encode()) + 1 for c in chunks]), []
+        for ids, lengths in ((a, self.lengths_a), (b, self.lengths_b)):
+            ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ends, stops)
+            if (ends[at] != stops).any():
+                return False
+            counts.append(np.diff(at, prepend=-1))
+        self._keep(chunks, (a, b), counts, True)
+        return True
+
+    def _keep(self, chunks: list[str], ids: tuple[np.ndarray, np.ndarray], counts, exact: bool) -> None:
+        self._index.update(zip(chunks, range(len(self._index), len(self._index) + len(chunks)), strict=True))
+        self._ids = [np.concatenate([old, new]) for old, new in zip(self._ids, ids, strict=True)]
+        self._upto = [np.concatenate([old, old[-1] + np.cumsum(n)]) for old, n in zip(self._upto, counts, strict=True)]
+        self._exact = np.append(self._exact, np.full(len(chunks), exact))
+        self._kept_chars += sum(map(len, chunks))
+
+    def chunks_of(self, text: str) -> list[str]:
+        """The text cut at single spaces, which are dropped: what a space and each chunk give
+        is what a space and the whole text give."""
+        return _CUT.split(text) if self.apart else [text]
 
     def covers(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether both sides' bytes are a space and the text."""
@@ -112,16 +184,6 @@ class Coders:
         return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
 
 
-def parts_of(text: str) -> list[str]:
-    """The text cut at single spaces, which are dropped, into parts of ``PART`` characters or
-    a little more. Encoding a space and each part gives what encoding the whole gives."""
-    out, at = [], 0
-    while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
-
-
 def pack(x: np.ndarray) -> bytes:
     """Whole numbers from 0 on, by byte planes and compressed."""
     x = np.ascontiguousarray(x, "<u8" if len(x) and int(x.max()) >> 32 else "<u4")
@@ -140,10 +202,9 @@ def unpack(raw: bytes) -> np.ndarray:
 class Aligned:
     """Links and groups of some texts: ids and ends of all tokens, text after text."""
 
-    def __init__(self, coders: Coders, encoded: list[tuple[np.ndarray, np.ndarray]]):
-        n = len(encoded)
-        self.n_a, self.n_b = (np.array([len(x[side]) for x in encoded], np.int64) for side in (0, 1))
-        a, b = (np.concatenate([x[side] for x in encoded] or [np.zeros(0, np.int64)]) for side in (0, 1))
+    def __init__(self, coders: Coders, encoded: Encoded):
+        a, b, self.n_a, self.n_b = encoded.a, encoded.b, encoded.n_a, encoded.n_b
+        n = len(self.n_a)
         ends_a, ends_b = np.cumsum(coders.lengths_a[a]), np.cumsum(coders.lengths_b[b])
         size = int(ends_a[-1]) + 1 if len(a) else 1
         on_a, on_b = np.zeros(size, bool), np.zeros(size, bool)
@@ -269,9 +330,10 @@ def encoded(docs: DataFrame, files: Vocabularies, id_col: str, text_col: str) ->
                 arrow = {long: pa.int64(), whole: pa.int32(), binary: pa.binary(), T.StringType(): pa.string()}
                 target = pa.schema([pa.field(c, keys.type if c == "k" else arrow[t]) for c, t in kinds])
             there = [i for i, text in enumerate(texts) if text]
-            ids = [(i, x) for i, x in zip(there, coders.encode([texts[i] for i in there]), strict=True) if coders.covers(texts[i], *x)]
-            kept = np.array([i for i, _ in ids], np.int64)
-            found = Aligned(coders, [x for _, x in ids])
+            ids = coders.encode([texts[i] for i in there])
+            good = np.array([exact or coders.covers(texts[i], *ids.of(j)) for j, (i, exact) in enumerate(zip(there, ids.exact.tolist(), strict=True))], bool)
+            kept = np.array(there, np.int64)[good]
+            found = Aligned(coders, ids.only(good))
             numbers = {}
             for c in ("n_a", "n_b", "n_groups", "n_links"):
                 numbers[c] = np.zeros(len(texts), np.int64)

@@ -80,14 +80,21 @@ def test_small_bounds_give_the_same(docs, files, monkeypatch):
     assert sorted(al.align(table, files).collect()) == want
 
 
-def test_long_texts_go_in_parts(coders, monkeypatch):
+def test_chunks_give_what_whole_texts_give(coders, monkeypatch):
     rng = random.Random(7)
-    text = " ".join(rng.choice(["the", "aligned", "été", "a,b", "  ", "12", "it's", "日本"]) for _ in range(3000))
-    whole = coders.encode([text])[0]
-    monkeypatch.setattr(al, "PART", 50)
-    assert len(al.parts_of(text)) > 50
-    parts = coders.encode([text])[0]
-    assert all((x == y).all() for x, y in zip(whole, parts, strict=True)) and coders.covers(text, *parts)
+    words = ["the", "aligned", "été", "a,b", "", "12", "it's", "日本", "'s", "(x)", "\n", "\t1", "½", "_", "▁", "😀", "e\u0301", "\x1f", "\u00a0", "--", "don't", "<s>"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(60)] + [t for t in TEXTS if t]
+    for name, bound in (("PART", al.PART), ("PART", 40), ("KEPT_CHARS", 0)):
+        monkeypatch.setattr(al, name, bound)
+        got = coders.encode(texts)
+        for i, text in enumerate(texts):
+            a, b = got.of(i)
+            assert not got.exact[i] or coders.covers(text, a, b)
+            assert a.tolist() == coders.a.encode(" " + text, add_special_tokens=False).ids
+            assert b.tolist() == coders.b.encode(text)
+    assert sum(map(len, map(coders.chunks_of, texts))) > 3000
+    monkeypatch.setattr(coders, "apart", False)
+    assert coders.chunks_of("a b c") == ["a b c"]
 
 
 def test_packing():
