@@ -10,7 +10,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,7 @@ class Slice:
     last: int
     data: np.ndarray
     offsets: np.ndarray  # last - first + 1 positions in data
+    _made: dict[bool, np.ndarray] = field(default_factory=dict, repr=False)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and row (from 0) of every word, in order."""
@@ -110,12 +111,18 @@ class Slice:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
+    def _sums(self, lower: bool) -> np.ndarray:
+        """Running sums over the slice's bytes, made once per slice."""
+        if lower not in self._made:
+            n = len(self.data)
+            sums = self._made[lower] = np.zeros(n + 1, _U)
+            np.cumsum((_LOWER if lower else _BYTE)[self.data] * _powers("up", n), out=sums[1:])
+        return self._made[lower]
+
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word's bytes, A-Z lowered first if ``lower``."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((_LOWER if lower else _BYTE)[self.data] * _powers("up", n), out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * _powers("down", n + 1)[starts] + (ends - starts).astype(_U))
+        sums, down = self._sums(lower), _powers("down", len(self.data) + 1)
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:

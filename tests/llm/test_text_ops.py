@@ -497,3 +497,25 @@ def test_secret_odd_rows(odd):
     assert [r.spans for r in secret_scan.scan(odd).collect()] == [""] * 8
     assert secret_scan.scan(odd.limit(0)).count() == 0
     assert secret_scan.redact(odd).count() == 8
+
+
+def test_chunks_cost_the_same_in_large_slices():
+    """Time per byte doesn't grow with the rows of a slice: hashes are summed once per slice."""
+    import time
+
+    import pyarrow as pa
+
+    from quarry.llm.bytewords import slices
+    from quarry.llm.substring_dedup import _chunks_of
+
+    rng = random.Random(4)
+    texts = pa.array([" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(3000)])
+
+    def took(limit):
+        began = time.process_time()
+        for part in slices(texts, limit):
+            _chunks_of(part, 25, 256)
+        return time.process_time() - began
+
+    took(1 << 19)
+    assert min(took(1 << 19) for _ in range(2)) < 4 * min(took(1 << 13) for _ in range(2))
