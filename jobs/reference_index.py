@@ -24,7 +24,6 @@ import logging
 import sys
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +33,7 @@ if __name__ == "__main__":
 from jobs.config import read_config  # noqa: E402
 from quarry.operators.graph import changed_files  # noqa: E402
 from quarry.plans.staging import stage  # noqa: E402
+from quarry.sources.folders import read_or_empty  # noqa: E402
 
 LOG = logging.getLogger("jobs.reference_index")
 DEFAULTS = {"id_column": "doc_id", "text_column": "text", "folder_column": "source", "least_length": 3, "parts": 16}
@@ -60,26 +60,16 @@ def mentions(files: DataFrame, least_length: int = 3) -> DataFrame:
     return long.groupBy("file_path", "name").agg(F.count("*").alias("mentions"), F.min("at").alias("first_line"))
 
 
-def _there(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A table of the output; without rows where no run has written it yet."""
-    try:
-        return spark.read.schema(ddl).option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
-
-
 def latest(spark: SparkSession, output: str) -> DataFrame:
     """(file_path, hash, run) of every file as its last run left it, gone files included."""
-    last = _there(spark, f"{output}/manifest", MANIFEST).groupBy("file_path").agg(F.max(F.struct("run", "hash")).alias("m"))
+    last = read_or_empty(spark, f"{output}/manifest", MANIFEST).groupBy("file_path").agg(F.max(F.struct("run", "hash")).alias("m"))
     return last.select("file_path", "m.hash", "m.run")
 
 
 def current(spark: SparkSession, output: str) -> DataFrame:
     """(file_path, name, mentions, first_line): the index as it stands."""
     live = latest(spark, output).where("hash is not null").select("file_path", "run")
-    rows = _there(spark, f"{output}/index", f"{INDEX}, run int")
+    rows = read_or_empty(spark, f"{output}/index", f"{INDEX}, run int")
     return rows.join(live, ["file_path", "run"], "left_semi").select("file_path", "name", "mentions", "first_line")
 
 

@@ -29,6 +29,7 @@ if __name__ == "__main__":
 
 from jobs.config import read_config  # noqa: E402
 from quarry.functions import diagnostics  # noqa: E402
+from quarry.sources.folders import read_or_empty  # noqa: E402
 
 LOG = logging.getLogger("jobs.validation_reports")
 DEFAULTS = {"file_column": "user_id", "check_column": "event_type", "severity_column": "value", "time_column": "ts", "error_above": 90.0, "warning_above": 50.0, "files_per_batch": 1000}
@@ -96,14 +97,7 @@ def update(spark: SparkSession, results_path: str, output: str, checkpoint: str,
 
 def current(spark: SparkSession, output: str) -> DataFrame:
     """All reports as they stand; an output that no batch has written is empty."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(REPORTS).parquet(f"{output}/reports")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], REPORTS)
+    return read_or_empty(spark, f"{output}/reports", REPORTS)
 
 
 def main(argv: list[str] | None = None) -> None:

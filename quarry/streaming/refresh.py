@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.text import language_of_path
-from quarry.sources.store import GraphStore, rebuild
+from quarry.sources.store import GraphStore, rebuild, stale_only
 
 
 def watch_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
@@ -21,12 +21,11 @@ def watch_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame
 
 
 def refresh_graph(files: DataFrame, store: GraphStore, checkpoint: str, resolve_scope: str = "file"):
-    """Starts the stream: each micro-batch replaces its files' rows. A batch that is
-    repeated after a failure gives the same graph."""
+    """Starts the stream: each micro-batch replaces the rows of its files. A batch that is
+    repeated after a failure finds the hashes of its files stored and writes nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            rebuild(store, batch, resolve_scope)
+        rebuild(store, stale_only(store, batch), resolve_scope)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

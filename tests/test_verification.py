@@ -73,17 +73,104 @@ def test_heritage_reaches_the_graph(spark, tmp_path):
     assert [(r.src_name, r.dst_name, r.edge_type) for r in edges] == [("A", "B", "extends")]
 
 
-def test_old_versions_stay_for_readers(spark, tmp_path):
-    t = tools(spark, tmp_path, PYTHON)
+def sizes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet")), sum(1 for f in folder.rglob("*.parquet"))
+
+
+def rows(store, scope=None):
+    return [sorted(map(str, t.drop("updated_at").collect())) for t in store.read(scope)]
+
+
+def test_a_batch_writes_its_own_files_only(spark, tmp_path):
+    sources = {f"m{i}.py": f"def f{i}():\n    return g{i}()\n\ndef g{i}():\n    return f{(i + 1) % 60}()\n" for i in range(60)}
+    t = tools(spark, tmp_path, sources)
     store = GraphStore(spark, t.store_root)
-    build_graph(spark, store, t.root)
-    before = store.read()[0]
-    first = store.version()
-    store.invalidate([f"{t.root}/tool.py"])
-    assert store.version() != first and before.count() == store.read()[0].count() > 0
-    for _ in range(4):
-        store.clear()
-    assert len(store._markers()) == 3 and not (tmp_path / "store" / first).exists()
+    build_graph(spark, store, t.root, resolve_scope="project")
+    whole = {name: sizes(tmp_path / "store" / name) for name in ("nodes", "edges", "raw")}
+    first = rows(store)
+    for i in range(10):
+        (tmp_path / f"proj/m{i}.py").write_text(f"def f{i}():\n    return new{i}()\n\ndef new{i}(): pass\n")
+    build_graph(spark, store, t.root, resolve_scope="project")
+    last = store.version()
+    for name in whole:
+        touched = spark.read.parquet(f"{t.store_root}/{name}/run={last}")
+        key = "src_file" if name == "edges" else "file_path"
+        assert touched.select(key).distinct().count() == 10 and sizes(tmp_path / "store" / name / f"run={last}")[0] < whole[name][0]
+    fresh = GraphStore(spark, f"{t.store_root}2")
+    build_graph(spark, fresh, t.root, resolve_scope="project")
+    assert rows(store) == rows(fresh) != first and rows(store, "file") == rows(fresh, "file")
+
+
+def test_two_writers_at_once_both_count(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quarry.sources import files
+
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    sources = [files.inline(spark, {f"{w}.py": f"def of_{w}(): pass\n", "both.py": f"def both_{w}(): pass\n"}) for w in "abcd"]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(store.put, sources))
+    names = {r.symbol_name for r in store.read()[0].collect()}
+    assert {f"of_{w}" for w in "abcd"} < names and len(names) == 5 and len(store.runs()) == 4
+    assert store.read()[2].count() == 5
+
+
+def test_compaction_keeps_what_is_read(spark, tmp_path, monkeypatch):
+    from quarry.sources import files
+
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    for i in range(4):
+        store.put(files.inline(spark, {f"{i}.py": f"def f{i}(): pass\n", "same.py": f"def s{i}(): s{i}()\n"}))
+    store.put(files.inline(spark, {"same.py": "def s3(): s3()\ndef more(): pass\n"}), remove_first=False)
+    store.invalidate(["0.py"])
+    store.remove(spark.createDataFrame([("1.py",)], "file_path string"))
+    before = rows(store)
+    assert len(before[0]) == 5 and len(before[1]) == 2 and len(before[2]) == 3
+    reader = store.read()
+    late = files.inline(spark, {"2.py": "def newer(): pass\n"})
+    meant = store._live
+
+    def overtaken(marks):  # a file is put after the compaction has read
+        monkeypatch.setattr(store, "_live", meant)
+        found = meant(marks)
+        store.put(late)
+        return found
+
+    monkeypatch.setattr(store, "_live", overtaken)
+    store.compact()
+    assert [x for x in rows(store)[0] if "2.py" in x] == [x.replace("symbol_name='f2'", "symbol_name='newer'").replace("f2()", "newer()") for x in before[0] if "2.py" in x]
+    assert reader[0].count() == 5
+    assert store.vacuum() == [] and len(store.vacuum(0)) >= 4
+    assert len(store.runs("nodes")) == 2 and len(rows(store)[0]) == 5 and rows(store)[1] == before[1]
+    assert sorted(r.file_path for r in store.read()[2].collect()) == ["2.py", "3.py", "same.py"]
+    store.clear()
+    assert rows(store) == [[], [], []]
+    store.put(late)
+    assert len(rows(store)[0]) == 1
+
+
+def test_a_run_that_died_is_not_read(spark, tmp_path, monkeypatch):
+    from quarry.sources import files
+
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    store.put(files.inline(spark, {"a.py": "def a(): pass\n"}))
+    before = rows(store)
+    whole = GraphStore._write
+    monkeypatch.setattr(GraphStore, "_write", lambda self, run, **tables: whole(self, run, **{k: v for k, v in tables.items() if k != "manifest"}))
+    store.put(files.inline(spark, {"a.py": "def other(): pass\n", "b.py": "def b(): pass\n"}))
+    monkeypatch.undo()
+    assert rows(store) == before and len(store.runs("nodes")) == 2 and len(store.vacuum(0)) == 1
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    from quarry.sources import files
+    from quarry.sources.store import rebuild, stale_only
+
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    batch = files.inline(spark, {"a.py": "def a(): a()\n", "b.py": "def b(): pass\n"})
+    for _ in range(2):
+        rebuild(store, stale_only(store, batch))
+    assert len(store.runs()) == 1 and len(rows(store)[1]) == 1
 
 
 def test_memo_keeps_the_last():
