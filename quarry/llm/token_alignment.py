@@ -36,11 +36,11 @@ from quarry.llm.bytewords import begin_work, keeps_tables, release_memory
 from quarry.plans.staging import stage
 
 #: Bytes of text whose links are packed together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Characters that the tokenizers get at once, if one chunk isn't longer.
 PART = 1 << 18
 #: Characters of chunks whose ids a worker keeps before it starts anew.
-KEPT_CHARS = 1 << 22
+KEPT_CHARS = 1 << 21
 #: Stripes of B ids that links are dealt by, and that count blocks are made for.
 STRIPES, FINE = 32, 256
 #: Distinct pairs that a task sums up before it passes them on.
@@ -106,7 +106,7 @@ class Coders:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: Whether no piece goes on over a space, so that texts can be cut before one.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self._forget()
+        self.forget()
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         #: An id with what follows it: "," or "|" on side A, "," or ";" on side B.
         self.shown = [b"%d%b" % (i, end) for table, ends in ((self.bytes_a, b",|"), (self.bytes_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(len(table))]
@@ -114,7 +114,7 @@ class Coders:
     def encode(self, texts: list[str]) -> Encoded:
         """Ids of both sides of all texts (none empty), put together from those of their chunks."""
         if self._kept_chars > KEPT_CHARS:
-            self._forget()
+            self.forget()
         split = [self.chunks_of(text) for text in texts]
         self._learn(list({chunk for chunks in split for chunk in chunks} - self._index.keys()))
         chunks = np.fromiter(map(self._index.__getitem__, chain.from_iterable(split)), np.int64)
@@ -128,7 +128,8 @@ class Coders:
         exact = np.minimum.reduceat(self._exact[chunks], np.append(0, last[:-1] + 1)) if len(last) else last.astype(bool)
         return Encoded(*sides[0], *sides[1], exact)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the kept chunks."""
         self._index: dict[str, int] = {}
         self._ids, self._upto = [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
         self._exact, self._kept_chars = np.zeros(0, bool), 0
@@ -353,6 +354,7 @@ def encoded(docs: DataFrame, files: Vocabularies, id_col: str, text_col: str) ->
                 totals = PairTotals()
             block += 1
         yield from summed()
+        coders.forget()
         release_memory()
 
     return source.mapInArrow(work, schema)
@@ -365,6 +367,7 @@ def _added_up(parts: DataFrame, keys: list[str], n_ids: int, width: int, best: b
     schema = "stripe int, pairs binary, counts binary, is_best binary" if best else "fine int, codes binary, counts binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("token_alignment_counts")
         block, at = np.zeros(n_ids * width, np.int64), None
 
         def row() -> pa.RecordBatch:
@@ -387,6 +390,8 @@ def _added_up(parts: DataFrame, keys: list[str], n_ids: int, width: int, best: b
                 np.add.at(block, unpack(codes), unpack(counts))
         if at is not None:
             yield row()
+        del block
+        release_memory()
 
     ordered = parts.select(*keys, "codes", "counts").repartition(*keys).sortWithinPartitions(*keys)
     return ordered.mapInArrow(work, schema)
@@ -412,6 +417,7 @@ def _scores(table: DataFrame, counts: DataFrame) -> DataFrame:
     schema = "block long, doc int, n_best long, count_sum long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("token_alignment_counts")
         at, ready = None, False
         parts: list[tuple[np.ndarray, ...]] = []
         pairs = counts = best = np.zeros(0, np.int64)
