@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import QuarryError
 from quarry.functions.memo import Memo
+from quarry.functions.schemas import GRAPH_EXCLUDED
 from quarry.operators import affected_tests, catalog, graph, symbols, traverse, validation
 from quarry.sources import files, search, skills
 from quarry.sources.store import GraphStore, build_graph, vote
@@ -37,11 +37,17 @@ class Tools:
     interpreter: bool = False
     #: Whether extends and implements are edges of the graph.
     heritage: bool = False
+    #: Names of folders that graph builds leave out.
+    exclude: tuple[str, ...] = GRAPH_EXCLUDED
+    #: Known symbols by library, where they aren't the built-in ones.
+    known: dict[str, str] | None = None
+    #: Limits (share of all nodes, dependents) above which a change is of high or medium risk.
+    high_risk: tuple[float, int] = (0.5, 10)
+    medium_risk: tuple[float, int] = (0.2, 5)
 
     def __post_init__(self) -> None:
         self.store = GraphStore(self.spark, self.store_root)
         self.config = self.config or skills.Config()
-        self._symbols = lru_cache(maxsize=8)(self._read_symbols)
         self.answers = Memo(256)
 
     # graph
@@ -50,7 +56,8 @@ class Tools:
         _check("scope", scope, among=("full", "file", "module"))
         if path is not None:
             _check("path", path, 0, 500)
-        row = build_graph(self.spark, self.store, self.root, scope, path, force_rebuild, language, resolve_scope, heritage=self.heritage).first().asDict()
+        row = build_graph(self.spark, self.store, self.root, scope, path, force_rebuild, language, resolve_scope, heritage=self.heritage, exclude=self.exclude).first().asDict()
+        self.answers.clear()
         if "error" in row:
             return f"Error: {row['error']}"
         lines = ["Code Graph Analysis:", f"  Total nodes (functions/classes): {row['total_nodes']}", f"  Total edges (call relationships): {row['total_edges']}"]
@@ -73,8 +80,9 @@ class Tools:
         _check("change_type", change_type, among=("modify", "delete", "rename"))
         _check("max_depth", max_depth, 1, 5)
         nodes, edges = self._graph()
-        row = traverse.impact(nodes, edges, symbol, change_type).first()
-        dependents = traverse.transitive_dependents(edges, symbol, max_depth)
+        searched = traverse.transitive_dependents(edges, symbol, max(max_depth, traverse.COUNT_DEPTH))
+        row = traverse.impact(nodes, edges, symbol, change_type, self.high_risk, self.medium_risk, dependents=searched).first()
+        dependents = searched.where(F.col("depth") <= max_depth)
         wanted = affected_tests.targets(dependents.select("caller").unionByName(self.spark.createDataFrame([(symbol,)], "caller string")))
         language = vote(self.spark, self.root)
         found = files.scan(self.spark, self.root, language)
@@ -96,7 +104,8 @@ class Tools:
 
     # symbols
 
-    def _read_symbols(self, library: str, language: str):
+    def _symbols(self, library: str, language: str):
+        """Parsed at each call, so that an answer is about the files as they are."""
         from quarry.plans.staging import stage
 
         return stage(search.symbols_of(self.spark, self.root, library, language, self.interpreter), "symbols")
@@ -109,7 +118,7 @@ class Tools:
     def verify_api(self, library: str, symbol: str, symbol_type: str = "", import_path: str = "", doc_url: str = "", language: str | None = None) -> str:
         """``symbol_type`` and ``import_path`` are accepted and, as in the tool this
         follows, don't narrow the local search. The last 256 answers are kept by library,
-        symbol, type and language."""
+        symbol, type and language, until the graph is built again."""
         _check("library", library, 1, 100)
         _check("symbol", symbol, 1, 200)
         _check("doc_url", doc_url, 0, 1000)
@@ -119,7 +128,7 @@ class Tools:
         language = language or self.detect_language(library)
         package = (Path(self.root) / "node_modules" / library).is_dir()
         asked = self.spark.createDataFrame([(library, symbol, language, doc_url or None, package)], "library string, symbol string, language string, doc_url string, package boolean")
-        row = symbols.verify(asked, self._symbols(library, language), symbols.known_symbols(self.spark)).first()
+        row = symbols.verify(asked, self._symbols(library, language), symbols.known_symbols(self.spark, self.known)).first()
         lines = [f"API Verification: {symbol} in {library}", f"Status: {row.status}", ""]
         if row.status == "FOUND":
             lines.append(f"Source: {row.source}")
@@ -187,14 +196,15 @@ class Tools:
 
     # validation
 
-    def sandbox_validate(self, code: str, file_path: str | None = None, language: str | None = None, checks: tuple[str, ...] = ("syntax", "imports"), tool_outputs: dict[str, str] | None = None) -> str:
+    def sandbox_validate(self, code: str, file_path: str | None = None, language: str | None = None, checks: tuple[str, ...] | None = None, tool_outputs: dict[str, str] | None = None, python_version: str = "", dependencies: tuple[str, ...] = (), ts_config: dict | None = None) -> str:
         """Code is parsed, never run. ``tool_outputs`` (``{"types:mypy": text}``) brings in
-        what external tools said, as none is started from here."""
+        what external tools said, as none is started from here; checks that need one and have no
+        output are reported as skipped. ``python_version``, ``dependencies`` and ``ts_config`` are for
+        those tools: accepted, and without effect on what is checked here."""
         path = file_path or ("<unnamed>.ts" if language in ("typescript", "javascript") else "<unnamed>")
         outputs = {k: self.spark.createDataFrame([(path, v)], "file_path string, output string") for k, v in (tool_outputs or {}).items()}
-        row = validation.validate(files.inline(self.spark, {path: code}), tuple(checks) + tuple(k.split(":")[0] for k in outputs), outputs).first()
-        if row is None:
-            return f"Sandbox Validation: {path}\nStatus: PASS\nCan write: True\nSummary: All checks passed"
+        asked = None if checks is None else tuple(dict.fromkeys((*checks, *(k.split(":")[0] for k in outputs))))
+        row = validation.validate(files.inline(self.spark, {path: code}), asked, outputs).first()
         lines = [f"Sandbox Validation: {path}", f"Status: {row.status.upper()}", f"Can write: {row.can_write}", f"Summary: {row.summary}", ""]
         for r in row.results:
             lines.append(f"[{r.status.upper()}] {r.check}")

@@ -6,19 +6,14 @@ and ``relative_path`` (below that directory) where these matter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.functions.schemas import KNOWN_SYMBOLS
 from quarry.operators.graph import first_by_priority
-
-
-def with_rank(tables: list[DataFrame]) -> DataFrame:
-    """Symbol tables of search directories in order of priority, ranked and united."""
-    return reduce(DataFrame.unionByName, [t.withColumn("dir_rank", F.lit(i)) for i, t in enumerate(tables)])
+from quarry.operators.near_names import nearest
+from quarry.plans.staging import stage
 
 
 def find_symbol(symbols: DataFrame, name: str, symbol_type: str = "") -> DataFrame:
@@ -45,22 +40,6 @@ def known_symbols(spark: SparkSession, known: dict[str, str] | None = None) -> D
     return spark.createDataFrame(rows, "library string, symbol string")
 
 
-def nearest(symbols: DataFrame, asked: DataFrame, threshold: float = 0.7, chunk: int = 500) -> DataFrame:
-    """(symbol, name, ..., score): for each asked symbol all similar names. The asked
-    ones (requests without an answer) meet the table in chunks of about ``chunk``, as an
-    array on each row, so only similar pairs are ever made."""
-    first = [r[0] for r in asked.select("symbol").take(chunk + 1)]
-    chunks = 1 if len(first) <= chunk else -(-asked.count() // chunk)
-    columns = ["name", "symbol_type", "signature", "dir_rank", "file_path", "ordinal"]
-    parts = []
-    for c in range(chunks):
-        names = sorted(first if chunks == 1 else [r[0] for r in asked.where(F.pmod(F.xxhash64("symbol"), F.lit(chunks)) == c).collect()])
-        listed = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
-        close = F.filter(F.transform(listed, lambda q: F.struct(q.alias("symbol"), text.similarity(F.col("name"), q).alias("score"))), lambda x: x["score"] >= threshold)
-        parts.append(symbols.select(*columns, F.inline(close)))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def verify(requests: DataFrame, symbols: DataFrame, known: DataFrame, similar_threshold: float = 0.7) -> DataFrame:
     """Answers (library, symbol, language, doc_url) requests, one wide row each.
 
@@ -74,14 +53,12 @@ def verify(requests: DataFrame, symbols: DataFrame, known: DataFrame, similar_th
     at = symbols.withColumnRenamed("name", "symbol")
     wanted = at.join(asked.select("symbol").distinct(), "symbol", "left_semi")
     best = first_by_priority(wanted, keys, ["dir_rank", "file_path", "ordinal"]).select(*keys, F.struct("symbol_type", "file_path", "line_number", "signature", F.col("relative_path") if "relative_path" in at.columns else F.lit(None).cast("string").alias("relative_path")).alias("local"))
-    out = asked.join(best, keys, "left").join(F.broadcast(known.withColumn("is_known", F.lit(True))), ["library", "symbol"], "left")
-    lost = out.where("local is null and is_known is null").select("library", "symbol", "language").distinct()
-    near = nearest(at.withColumnRenamed("symbol", "name"), lost.select("symbol").distinct(), similar_threshold)
-    scored = lost.join(near, "symbol")
-    order = Window.partitionBy("library", "symbol", "language")
-    top = scored.withColumn("rn", F.row_number().over(order.orderBy("dir_rank", F.desc("score"), "file_path", "ordinal"))).where("rn <= 5")
-    named = top.groupBy("library", "symbol", "language").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", text.similar_entry(F.col("name"), F.col("symbol_type"), F.col("signature")).alias("e")))), lambda x: x["e"]).alias("similar"))
-    out = out.join(named, ["library", "symbol", "language"], "left")
+    out = stage(asked.join(best, keys, "left").join(known.withColumn("is_known", F.lit(True)).distinct(), ["library", "symbol"], "left"), "verified")
+    lost = out.where("local is null and is_known is null").select("symbol").distinct()
+    near = nearest(symbols, lost, similar_threshold)
+    entry = F.struct("dir_rank", (-F.col("score")).alias("s"), "file_path", "ordinal", text.similar_entry(F.col("name"), F.col("symbol_type"), F.col("signature")).alias("e"))
+    named = near.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("near"))
+    out = out.join(named, "symbol", "left").withColumn("similar", F.when(F.col("local").isNull() & F.col("is_known").isNull(), F.col("near")))
     source = F.when(F.col("local").isNotNull(), "local").when(F.col("is_known"), "known_library")
     package = F.col("package") if "package" in requests.columns else F.lit(False)
     from_package = F.when(F.col("language").isin("typescript", "javascript") & package & F.col("local").isNotNull(), text.ts_import(F.col("library"), F.lit(None).cast("string"), F.col("symbol")))

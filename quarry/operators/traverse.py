@@ -17,6 +17,8 @@ from quarry.plans.staging import stage
 
 #: Most frontier names that are broadcast; beyond it the level's join shuffles.
 BROADCAST_NAMES = 1_000_000
+#: Depth to which the dependents of an impact are counted, whatever is listed.
+COUNT_DEPTH = 3
 CALLER = "caller string, caller_file string, caller_type string, caller_line int, call_line int, depth int"
 
 
@@ -44,13 +46,15 @@ def transitive_dependents(edges: DataFrame, symbol: str, max_depth: int = 3) ->
     return reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], CALLER)
 
 
-def impact(nodes: DataFrame, edges: DataFrame, symbol: str, change_type: str = "modify", high: tuple[float, int] = (0.5, 10), medium: tuple[float, int] = (0.2, 5), count_depth: int = 3) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, symbol: str, change_type: str = "modify", high: tuple[float, int] = (0.5, 10), medium: tuple[float, int] = (0.2, 5), count_depth: int = COUNT_DEPTH, dependents: DataFrame | None = None) -> DataFrame:
     """One row: callers, dependents to ``count_depth``, their share of all nodes and the
-    risk. Both the share and the count must be above a level's limits."""
+    risk. Both the share and the count must be above a level's limits. ``dependents``: what
+    a search to that depth or deeper has found already."""
+    found = transitive_dependents(edges, symbol, count_depth) if dependents is None else dependents.where(F.col("depth") <= count_depth)
     ratio = F.when(F.col("total_nodes") > 0, F.col("transitive_dependents") / F.col("total_nodes")).otherwise(F.lit(0.0))
     level = lambda x: (ratio > x[0]) & (F.col("transitive_dependents") > x[1])
     risk = F.when(level(high), "high").when(level(medium), "medium").otherwise("low")
-    one = one_row(direct_callers=calls(edges).where(F.col("dst_name") == symbol).agg(F.count("*")), transitive_dependents=transitive_dependents(edges, symbol, count_depth).agg(F.count("*")), total_nodes=nodes.agg(F.count("*")))
+    one = one_row(direct_callers=calls(edges).where(F.col("dst_name") == symbol).agg(F.count("*")), transitive_dependents=found.agg(F.count("*")), total_nodes=nodes.agg(F.count("*")))
     return one.select(F.lit(symbol).alias("symbol"), F.lit(change_type).alias("change_type"), "direct_callers", "transitive_dependents", "total_nodes", F.round(ratio, 3).alias("impact_ratio"), risk.alias("risk_level"))
 
 
@@ -67,8 +71,10 @@ def exact_round(ratio: DataFrame, column: str, places: int = 3) -> DataFrame:
 
 def impact_report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbol: str, change_type: str = "modify", max_depth: int = 3, test_files: DataFrame | None = None) -> DataFrame:
     """``impact`` with the dependents to ``max_depth`` and the test files (path, name)
-    that mention them, as arrays. The counts stay those of depth 3."""
-    dependents = transitive_dependents(edges, symbol, max_depth)
+    that mention them, as arrays. The counts stay those of depth 3: one search, to the greater
+    of both depths, gives both."""
+    searched = transitive_dependents(edges, symbol, max(max_depth, COUNT_DEPTH))
+    dependents = searched.where(F.col("depth") <= max_depth)
     names = dependents.select("caller").unionByName(spark.range(1).select(F.lit(symbol).alias("caller")))
     listed = dependents.agg(F.sort_array(F.collect_list(F.concat_ws("@", F.format_string("%d", "depth"), "caller"))).alias("dependents"))
     if test_files is None:
@@ -76,6 +82,6 @@ def impact_report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbo
     else:
         targets = names.select(F.substring_index("caller", ".", -1).alias("name")).distinct()
         hit = test_files.join(targets, "name", "left_semi").agg(F.sort_array(F.collect_set("path")))
-    counted = impact(nodes, edges, symbol, change_type)
+    counted = impact(nodes, edges, symbol, change_type, dependents=searched)
     row = one_row(counted=counted.select(F.struct("*")), dependents=listed, test_files=hit)
     return row.select("counted.*", "dependents", "test_files")

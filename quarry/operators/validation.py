@@ -70,13 +70,38 @@ def reports(results: DataFrame) -> DataFrame:
     return rolled.join(listed, "file_path")
 
 
-def validate(files: DataFrame, checks: tuple[str, ...] = ("syntax", "imports"), tool_outputs: dict[str, DataFrame] | None = None) -> DataFrame:
+#: What each language's checks are by default, and the tools that run those
+#: that aren't run here.
+CHECKS = {"python": ("syntax", "imports"), "typescript": ("syntax", "lint", "types"), "javascript": ("syntax", "lint", "types")}
+TOOLS = {("python", "types"): "mypy", **{(lang, check): tool for lang in ("typescript", "javascript") for check, tool in (("syntax", "tsc"), ("lint", "eslint"), ("types", "tsc"))}}
+_SAID = {"types": "type"}
+
+
+def skipped(files: DataFrame, asked: tuple[str, ...] | None, results: DataFrame | None) -> DataFrame:
+    """(file_path, check, issues): a SKIP warning for each asked check of a file that has no result."""
+    wanted = [(lang, c) for lang, own in CHECKS.items() for c in dict.fromkeys(own if asked is None else asked)]
+    why = [(lang, c, f"{TOOLS[lang, c]} not available, skipping {_SAID.get(c, c)} check" if (lang, c) in TOOLS else f"no {c} check for {lang}") for lang, c in wanted]
+    if not why:
+        why = [(None, None, None)]
+    listed = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(row, ("language", "check", "message"), strict=True))) for row in why))
+    due = files.select("file_path", F.inline(F.filter(listed, lambda x: x["language"] == F.col("language")))).drop("language")
+    if results is not None:
+        due = due.join(results.select("file_path", "check"), ["file_path", "check"], "left_anti")
+    one = diagnostics.issue(F.lit(None), F.lit(None), F.lit("SKIP"), F.col("message"), F.lit("warning"))
+    return due.select("file_path", "check", F.array(one).cast(f"array<{ISSUE}>").alias("issues"))
+
+
+def validate(files: DataFrame, checks: tuple[str, ...] | None = None, tool_outputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Reports of FILES rows. Python files take the checks here; outputs of tools that
-    ran elsewhere (``{"types:mypy": DataFrame, "lint:eslint": ...}``) join in."""
+    ran elsewhere (``{"types:mypy": DataFrame, "lint:eslint": ...}``) join in. Without
+    ``checks``, those of each file's language. A check that is asked for and has no result is a
+    warning that it was skipped, never a pass."""
     own = {"syntax": syntax, "imports": imports, "lint": lint}
     python = files.where("language = 'python'")
-    parts = [own[c](python) for c in checks if c in own]
-    parts += [from_tool(df, *name.split(":")) for name, df in (tool_outputs or {}).items() if name.split(":")[0] in checks]
-    if not parts:
+    parts = [own[c](python) for c in (CHECKS["python"] if checks is None else checks) if c in own]
+    parts += [from_tool(df, *name.split(":")) for name, df in (tool_outputs or {}).items() if checks is None or name.split(":")[0] in checks]
+    if checks is not None and not checks:
         raise ValueError("no check to run")
-    return reports(reduce(DataFrame.unionByName, parts))
+    done = reduce(DataFrame.unionByName, parts) if parts else None
+    missing = skipped(files, checks, done)
+    return reports(missing if done is None else done.unionByName(missing))

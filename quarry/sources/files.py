@@ -25,7 +25,7 @@ def scan(spark: SparkSession, root: str, language: str = "python", exclude: tupl
         raise ValueError(f"unknown language: {language!r}")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob or GLOBS[language]).load(root)
     path = F.regexp_replace("path", "^file:(//(?=/))?", "")
-    return found.where(~excluded(path, exclude)).select(path.alias("file_path"), language_of_path(path).alias("language"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    return found.where(~excluded(path, exclude)).select(path.alias("file_path"), language_of_path(path).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
 def scan_symbols(spark: SparkSession, root: str, language: str = "python", compat: bool = False) -> DataFrame:

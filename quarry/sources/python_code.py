@@ -13,24 +13,21 @@ DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def parse(source: str) -> ast.Module | None:
+    """The tree of a source; none if it has syntax errors or is nested too deeply to parse."""
     try:
         return ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return None
 
 
 def dotted(node: ast.AST | None) -> str:
     """The text of a plain expression; empty for the rest (unions, calls, tuples...)."""
-    match node:
-        case ast.Name(id=name):
-            return name
-        case ast.Attribute(value=value, attr=attr):
-            return f"{dotted(value)}.{attr}"
-        case ast.Constant(value=value):
-            return str(value)
-        case ast.Subscript(value=value, slice=index):
-            return f"{dotted(value)}[{dotted(index)}]"
-    return ""
+    tail: list[str] = []
+    while isinstance(node, ast.Attribute | ast.Subscript):
+        tail.append(f".{node.attr}" if isinstance(node, ast.Attribute) else f"[{dotted(node.slice)}]")
+        node = node.value
+    head = node.id if isinstance(node, ast.Name) else str(node.value) if isinstance(node, ast.Constant) else ""
+    return head + "".join(reversed(tail))
 
 
 def class_signature(node: ast.ClassDef) -> str:
@@ -104,8 +101,8 @@ def syntax_issues(source: str) -> list[dict]:
         ast.parse(source)
     except SyntaxError as e:
         return [{"line": e.lineno, "column": e.offset, "code": "SyntaxError", "message": str(e.msg), "severity": "error"}]
-    except ValueError as e:
-        return [{"line": None, "column": None, "code": "SyntaxError", "message": str(e), "severity": "error"}]
+    except (ValueError, MemoryError, RecursionError) as e:
+        return [{"line": None, "column": None, "code": "SyntaxError", "message": str(e) or "nested too deeply to parse", "severity": "error"}]
     return []
 
 

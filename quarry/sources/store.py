@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.schemas import EDGES, MANIFEST, NODES, RAW_EDGES
+from quarry.functions.schemas import EDGES, GRAPH_EXCLUDED, MANIFEST, NODES, RAW_EDGES
 from quarry.operators import graph
 from quarry.plans.staging import stage
 from quarry.sources import files as source_files
@@ -170,7 +170,7 @@ class GraphStore:
         return dead
 
 
-def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str = "full", path: str | None = None, force: bool = False, language: str | None = None, resolve_scope: str = "file", purge_missing: bool = False, heritage: bool = False) -> DataFrame:
+def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str = "full", path: str | None = None, force: bool = False, language: str | None = None, resolve_scope: str = "file", purge_missing: bool = False, heritage: bool = False, exclude: tuple[str, ...] = GRAPH_EXCLUDED) -> DataFrame:
     """Builds or refreshes the stored graph; returns its statistics (one row).
 
     ``full`` reads the root, ``module`` a directory, ``file`` one file. Files whose hash
@@ -186,7 +186,7 @@ def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str =
     try:
         if language is None:
             language = vote(spark, root)
-        found = source_files.scan(spark, root if scope == "full" else path, language)
+        found = source_files.scan(spark, root if scope == "full" else path, language, exclude)
         found.isEmpty()
     except Exception as e:  # the path can't be read: reported as the tool reports it
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):

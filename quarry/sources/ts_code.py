@@ -26,26 +26,38 @@ class Tok(NamedTuple):
     end: int
 
 
-def tokenize(source: str, at: int = 0, until_brace: bool = False) -> tuple[list[Tok], int]:
-    """Tokens from ``at``; with ``until_brace`` up to the brace that closes a template's
-    substitution. A template is a string token and its substitutions in brackets."""
+def tokenize(source: str) -> list[Tok]:
+    """The tokens of a source. A template is a string token, behind it its substitutions in
+    brackets; templates inside substitutions may be nested to any depth."""
     out: list[Tok] = []
-    depth, n = 0, len(source)
-    while at < n:
+    depth, at, n = 0, 0, len(source)
+    template: tuple[int, list[Tok]] | None = None  # of the template being read: its start, and its substitutions' tokens
+    around: list[tuple] = []  # what was being read around each open substitution, and where that opened
+    while True:
+        if template:
+            begin, inner = template
+            while at < n and source[at] != "`" and not source.startswith("${", at):
+                at += 2 if source[at] == "\\" else 1
+            if at < n and source[at] == "$":
+                around.append((out, depth, begin, inner, at))
+                out, depth, at, template = [], 0, at + 2, None
+            else:
+                at = min(n, at + 1)
+                out += [Tok("str", source[begin:at], begin, at), *inner]
+                template = None
+            continue
+        ends = at >= n
+        if around and (ends or (source[at] == "}" and depth == 0)):
+            part = out
+            out, depth, begin, inner, opened = around.pop()
+            inner += [Tok("op", "(", opened, opened + 2), *part, Tok("op", ")", at, at + 1)]
+            at, template = at + 1, (begin, inner)
+            continue
+        if ends:
+            return out
         ch = source[at]
         if ch == "`":
-            begin, at, inner = at, at + 1, []
-            while at < n and source[at] != "`":
-                if source[at] == "\\":
-                    at += 2
-                elif source.startswith("${", at):
-                    part, stop = tokenize(source, at + 2, True)
-                    inner += [Tok("op", "(", at, at + 2), *part, Tok("op", ")", stop, stop + 1)]
-                    at = stop + 1
-                else:
-                    at += 1
-            at = min(n, at + 1)
-            out += [Tok("str", source[begin:at], begin, at), *inner]
+            at, template = at + 1, (at, [])
             continue
         before = out[-1] if out else None
         if ch == "/" and source[at + 1 : at + 2] not in ("/", "*") and (before is None or before.kind == "op" and before.text not in ")]}" or before.text in _OPERAND_NEXT):
@@ -56,15 +68,9 @@ def tokenize(source: str, at: int = 0, until_brace: bool = False) -> tuple[list[
                 continue
         m = _LEX.match(source, at)
         if m.lastgroup != "gap":
-            if m[0] == "{":
-                depth += 1
-            elif m[0] == "}":
-                if until_brace and depth == 0:
-                    return out, at
-                depth -= 1
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
             out.append(Tok(m.lastgroup, m[0], m.start(), m.end()))
         at = m.end()
-    return out, at
 
 
 class Scanner:
@@ -74,7 +80,7 @@ class Scanner:
 
     def __init__(self, source: str, heritage: bool = False):
         self.source, self.heritage = source, heritage
-        self.toks, _ = tokenize(source)
+        self.toks = tokenize(source)
         self.rows: list[tuple] = []
         self.close = self._pairs()
         self.open = {b: a for a, b in self.close.items()}

@@ -1,3 +1,6 @@
+import ast
+import hashlib
+
 import pytest
 
 from quarry.errors import NetworkError, QuarryError, RetryExhaustedError, SkillNotFoundError
@@ -128,3 +131,42 @@ def test_declaration_search_and_its_compat_mode(spark, tmp_path):
     assert files.scan_symbols(spark, str(tmp_path), "typescript", compat=True).count() == 0
     with pytest.raises(ValueError):
         files.scan(spark, str(tmp_path), "cobol")
+
+
+def test_deep_nesting_is_a_syntax_issue_or_no_rows():
+    assert python_code.syntax_issues("-" * 200_000 + "1")[0]["code"] == "SyntaxError"
+    assert not list(python_code.graph_rows("-" * 200_000 + "1")) and python_code.import_issues("-" * 200_000 + "1")[0]["code"] == "SKIP"
+    name = ".".join(["a"] * 3000)
+    assert [r[2] for r in python_code.graph_rows(f"def f():\n    {name}()\n") if r[0] == "edge"] == [name]
+    assert python_code.dotted(ast.parse("a.b[c.d][1].e", mode="eval").body) == "a.b[c.d][1].e"
+    nested = "`${" * 3000 + "f()" + "}`" * 3000
+    assert [r[2] for r in ts_code.graph_rows(f"function g() {{ {nested} }}") if r[0] == "edge"] == ["f"]
+    assert list(ts_code.graph_rows("`${" * 3000)) == [] and list(ts_code.graph_rows("`\\")) == []
+
+
+def test_templates_inside_templates():
+    toks = [t.text for t in ts_code.tokenize("a`x${b({c: `${d()}`})}y` }")]
+    assert toks == ["a", "`x${b({c: `${d()}`})}y`", "(", "b", "(", "{", "c", ":", "`${d()}`", "(", "d", "(", ")", ")", "}", ")", ")", "}"]
+
+
+def test_files_that_are_not_utf8_are_read(spark, tmp_path):
+    from quarry.sources import files
+
+    (tmp_path / "latin.py").write_bytes("def caf\xe9(): pass\nx = '\xe9'\n".encode("latin-1"))
+    (tmp_path / "good.py").write_text("def good(): pass\n")
+    rows = {r.file_path.rpartition("/")[2]: r for r in files.scan(spark, str(tmp_path)).collect()}
+    assert "\ufffd" in rows["latin.py"].content and rows["latin.py"].sha256 == hashlib.sha256((tmp_path / "latin.py").read_bytes()).hexdigest()
+    assert [r.symbol_name for r in files.nodes_of(files.extract(files.scan(spark, str(tmp_path)))).collect()] == ["good"]
+    assert "good" in {r.name for r in files.symbols(files.scan_symbols(spark, str(tmp_path))).collect()}
+
+
+def test_checks_without_a_result_are_skipped_not_passed(spark, tmp_path):
+    from quarry.api import Tools
+
+    tools = Tools(spark, str(tmp_path), f"file://{tmp_path}/store")
+    said = tools.sandbox_validate("function ( { !!! ", language="typescript")
+    assert "Status: WARN" in said and "0 error(s), 3 warning(s)" in said and "[SKIP] tsc not available, skipping syntax check" in said and "eslint not available, skipping lint check" in said
+    types = tools.sandbox_validate("x = 1\n", "a.py", checks=("syntax", "types"), python_version="3.12", dependencies=("os",), ts_config={})
+    assert "[PASS] syntax" in types and "[SKIP] mypy not available, skipping type check" in types
+    assert "[SKIP]" not in tools.sandbox_validate("x = 1\n", "a.py", checks=("syntax", "types"), tool_outputs={"types:mypy": ""})
+    assert "no imports check for typescript" in tools.sandbox_validate("let x", "a.ts", checks=("imports",))

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 
 from quarry.api import Tools
 from quarry.errors import NetworkError, RetryExhaustedError
 from quarry.functions.memo import Memo
-from quarry.operators import symbols
+from quarry.operators import near_names, symbols
 from quarry.sources import search
 from quarry.sources.store import GraphStore, build_graph
 
@@ -59,11 +61,54 @@ def test_requests_with_two_urls_are_two(spark):
     assert sorted((r.symbol, r.doc_url or "") for r in got) == [("f", "https://a.b"), ("f", "https://c.d"), ("g", "")]
 
 
-def test_many_lost_names_meet_in_chunks(spark):
-    table = spark.createDataFrame([(f"name{i}", "function", "", 0, "a.py", i) for i in range(30)], "name string, symbol_type string, signature string, dir_rank int, file_path string, ordinal int")
-    asked = spark.createDataFrame([(f"name{i}x",) for i in range(9)], "symbol string")
-    whole, cut = (sorted(map(tuple, symbols.nearest(table, asked, chunk=c).collect())) for c in (500, 4))
-    assert whole == cut and len(whole) > 9
+def near_tables(spark, n=400):
+    rng = random.Random(8)
+    words = ["get", "Set", "user", "Total", "price", "_", "list", "é", "of", "data", "9"]
+    name = lambda: "".join(rng.choice(words) for _ in range(rng.randint(0, 4)))
+    rows = [(name(), "function", f"def f{i}()", i % 3, rng.choice("abc") + ".py", i) for i in range(n)] + [(None, "function", "", 0, "a.py", n)]
+    return rows, [name() + rng.choice(["", "x", "q"]) for _ in range(60)] + [None, "", "total", "TOTAL"]
+
+
+def plain_nearest(rows, asked, threshold=0.7, top=5):
+    out = []
+    for q in {x for x in asked if x is not None}:
+        found = []
+        for name, kind, signature, rank, path, ordinal in rows:
+            if name is not None and (s := near_names.score(name.lower(), q.lower(), frozenset(q.lower()))) >= threshold:
+                found.append((rank, -s, path, ordinal, name))
+        out += [(q, *row) for row in sorted(found)[:top]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_nearest_names_equal_all_pairs(spark, monkeypatch, few):
+    if not few:
+        for bound, value in (("BROADCAST_ASKED", 3), ("BLOCK", 7), ("SHARE", 50), ("TILE", 16)):
+            monkeypatch.setattr(near_names, bound, value)
+    rows, asked = near_tables(spark)
+    table = spark.createDataFrame(rows, "name string, symbol_type string, signature string, dir_rank int, file_path string, ordinal int").repartition(3)
+    found = near_names.nearest(table, spark.createDataFrame([(q,) for q in asked], "symbol string")).collect()
+    assert sorted((r.symbol, r.dir_rank, -r.score, r.file_path, r.ordinal, r.name) for r in found) == plain_nearest(rows, asked)
+    assert near_names.nearest(table.limit(0), spark.createDataFrame([("a",)], "symbol string")).count() == 0
+    assert near_names.nearest(table, spark.createDataFrame([], "symbol string")).count() == 0
+
+
+def test_few_pairs_are_scored():
+    rng = random.Random(9)
+    name = lambda: "_".join("".join(rng.choice("etaoinsrhldcumfpgwybvk") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(1, 3)))
+    rows = [(name(), i % 2, "a.py", i, None, None, None) for i in range(4000)]
+    asked = [r[0][:-1] + rng.choice("zjq") for r in rng.sample(rows, 100)]
+    scored = []
+
+    def counting(*pair):
+        scored.append(pair)
+        return near_names.score(*pair)
+
+    best = near_names.Best(asked, 0.7, 5, counting)
+    best.meet(sorted(rows, key=lambda r: r[1]))
+    want = [sorted((r[1], -s, *r[2:4]) for r in rows if (s := near_names.score(r[0], q, frozenset(q))) >= 0.7)[:5] for q in asked]
+    assert [[row[:4] for row in own] for own in best.rows] == want
+    assert len(scored) < len(rows) * len(asked) / 10
 
 
 def test_heritage_reaches_the_graph(spark, tmp_path):
@@ -173,6 +218,16 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
     assert len(store.runs()) == 1 and len(rows(store)[1]) == 1
 
 
+def test_answers_follow_the_files(spark, tmp_path):
+    t = tools(spark, tmp_path, {"a.py": "def first(): pass\n", "gen/b.py": "def made(): pass\n"}, exclude=("gen",), known={"lib": "special"}, high_risk=(0.0, 0))
+    assert "Total nodes (functions/classes): 1" in t.analyze_codebase_graph()
+    assert "Risk level: LOW" in t.analyze_impact("first")
+    assert "FOUND" in t.verify_api("lib", "special") and "DOES_NOT_EXIST" in t.verify_api("lib", "later")
+    (tmp_path / "proj/a.py").write_text("def later(): pass\ndef use():\n    later()\n")
+    assert "Total nodes (functions/classes): 2" in t.analyze_codebase_graph()
+    assert "Status: FOUND" in t.verify_api("lib", "later") and "Risk level: HIGH" in t.analyze_impact("later")
+
+
 def test_memo_keeps_the_last():
     m = Memo(2)
     m.put("a", 1), m.put("b", 2), m.get("a"), m.put("c", 3)
