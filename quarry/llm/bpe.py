@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bytewords import release_memory
+from quarry.llm.bytewords import begin_work, release_memory, slices
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are packed as little-endian 32-bit integers")
@@ -37,8 +37,8 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 #: Bounds of the lazily filled tables, in entries.
 STATES = 100_000
 PIECES = 200_000
-#: Documents of one result batch.
-BATCH = 512
+#: Bytes of texts whose results are one batch.
+RESULT_BYTES = 1 << 20
 _NONE = 1 << 40  # above every rank
 
 
@@ -369,10 +369,11 @@ def encode_decode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(ranks_file)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("bpe")
         encoder, decoder = kept_coders(shared.value, pattern)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
         for whole in batches:
-            for batch in (whole.slice(a, BATCH) for a in range(0, whole.num_rows, BATCH)):
+            for batch in (whole.slice(part.first, part.last - part.first) for part in slices(whole.column(1), RESULT_BYTES)):
                 out: list[list] = [[] for _ in fields[1:]]
                 for text in batch.column(1):
                     text = text.as_py() or ""
