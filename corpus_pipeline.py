@@ -25,11 +25,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python and back by a thousand rows: the setting holds from here on,
+    """Whole texts go to Python by a thousand rows or 4 MB: the settings hold from here on,
     as a stage is run by whoever writes its result."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 1000:
-        spark.conf.set(key, "1000")
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def _unused(columns: list[str], *wanted: str) -> list[str]:
