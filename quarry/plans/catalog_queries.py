@@ -1,11 +1,14 @@
 """Named queries over the driver's tables and over inline code, with their SQL.
 
-The graph queries run on the foreign-key reference graph of the tables; extraction and
-diagnostics run on code and tool output given inline, with their rows as VALUES.
+The graph queries run on the foreign-key reference graph of the tables. Extraction runs on
+code that is made for every page, diagnostics on tool output made for every event: a
+template with the row's key in its names, whose rows were worked out by hand.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from quarry.sources import files as source_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 ROOT = "region:0"
+#: Stands for a row's key in code and rows that are filled in for every row of a table.
+KEY = "__K__"
 
 
 def query(sql: str | None = None):
@@ -47,6 +52,40 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"SELECT {', '.join(f'CAST({q} AS {t}) AS {q}' for q, (_, t) in zip(quoted, names, strict=True))} FROM (VALUES {body}) AS v({', '.join(quoted)})"
 
 
+def keyed(names: tuple[str, ...], x):
+    """The code and rows of a template with a key behind these names and in front of files' names."""
+    if isinstance(x, str):
+        return re.sub(rf"\b({'|'.join(names)})\b", rf"\1{KEY}", x)
+    if isinstance(x, dict):
+        return {f"{KEY}/{p}": keyed(names, c) for p, c in x.items()}
+    if isinstance(x, tuple):
+        return tuple(keyed(names, v) for v in x)
+    return [keyed(names, v) for v in x] if isinstance(x, list) else x
+
+
+def in_folder(names: tuple[str, ...], rows: list[tuple]) -> list[tuple]:
+    """Rows that begin with a file's path, keyed."""
+    return [(f"{KEY}/{r[0]}", *keyed(names, r[1:])) for r in rows]
+
+
+def files_of_pages(spark: SparkSession, sf_dir: str, files: dict[str, str]) -> DataFrame:
+    """A project's files once for every page, with the page's id for the key: FILES rows that grow with
+    the table, each page's names its own."""
+    listed = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in files.items()))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("k"), F.explode(listed).alias("f"))
+    put = lambda c: F.replace(F.col(c), F.lit(KEY), F.concat(F.lit("_"), "k"))
+    rows = rows.select(put("f.path").alias("file_path"), put("f.content").alias("content"))
+    return rows.select("file_path", text.language_of_path(F.col("file_path")).alias("language"), "content", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+
+
+def for_each(rows: list[tuple], columns: str, source: str = "pages", key: str = "page_id") -> str:
+    """SQL: the template's rows once for each row of a table, with its key filled in."""
+    named = [c.rsplit(" ", 1) for c in columns.split(", ")]
+    fill = lambda q, t: f"replace({q}, '{KEY}', '_' || k)" if t == "VARCHAR" else f"list_transform({q}, lambda x: replace(x, '{KEY}', '_' || k))" if t == "VARCHAR[]" else q
+    shown = ", ".join(f'{fill(chr(34) + n + chr(34), t)} AS "{n}"' for n, t in named)
+    return f"SELECT {shown} FROM ({values(rows, columns)}) CROSS JOIN (SELECT CAST({key} AS VARCHAR) AS k FROM {source})"
+
+
 # graph: counts, neighbours, dependencies
 
 
@@ -182,13 +221,34 @@ def manifest_upsert(spark, d):
     return graph.upsert(old, fresh, "file_path")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 5 <> 1")
+_BUILT = """WITH k AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), f AS (SELECT doc_id, 'docs/' || doc_id || '.py' AS file_path, CASE WHEN doc_id % 5 = 0 THEN 'new_' ELSE 'old_' END || doc_id AS name FROM k WHERE doc_id % 5 <> 1)"""
+
+
+@query(f"""{_BUILT} SELECT file_path, name AS symbol_name, 1 AS line_number, CAST(NULL AS VARCHAR) AS calls, CAST(NULL AS VARCHAR) AS callee_file FROM f
+UNION ALL SELECT a.file_path, a.name, 2, b.name, b.file_path FROM f a JOIN f b ON b.doc_id = a.doc_id + 5""")
 def incremental_rebuild(spark, d):
-    """The orders of keys 0 (mod 5) are replaced, those of keys 1 are gone."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    gone = orders.where("o_orderkey % 5 = 1").select("o_orderkey")
-    new = orders.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("N"))
-    return graph.upsert(orders.join(gone, "o_orderkey", "left_anti"), new, "o_orderkey")
+    """A stored graph with a file per document, whose function calls that of the document five further
+    on. Then the files of multiples of five change, those of the ids behind them go, and symbols
+    and resolved calls are read from the graph as it stands."""
+    from quarry.plans.staging import shared_dir
+    from quarry.sources.store import GraphStore, rebuild, stale_only
+
+    ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
+    name = lambda kind, k: F.concat(F.lit(f"{kind}_"), k.cast("string"))
+
+    def files(rows, kind):
+        content = F.concat(F.lit("def "), kind(F.col("doc_id")), F.lit("(): return "), kind(F.col("doc_id") + 5), F.lit("()\n"))
+        out = rows.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), content.alias("content"))
+        return out.withColumns({"sha256": F.sha2(F.col("content"), 256), "size": F.length("content").cast("long")})
+
+    store = GraphStore(spark, f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}")
+    rebuild(store, files(ids, lambda k: name("old", k)), resolve_scope="project")
+    changed = files(ids, lambda k: F.when(k % 5 == 0, name("new", k)).otherwise(name("old", k)))
+    rebuild(store, stale_only(store, changed), resolve_scope="project")
+    store.remove(files(ids.where("doc_id % 5 = 1"), lambda k: name("old", k)))
+    nodes, edges, _ = store.read()
+    calls = edges.select(F.col("src_file").alias("file_path"), F.col("src_name").alias("symbol_name"), F.lit(2).alias("line_number"), F.col("dst_name").alias("calls"), F.col("dst_file").alias("callee_file"))
+    return nodes.select("file_path", "symbol_name", "line_number", *(F.lit(None).cast("string").alias(c) for c in ("calls", "callee_file"))).unionByName(calls)
 
 
 # traversal
@@ -227,9 +287,9 @@ def _pages(spark, d):
     return table(spark, d, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("content"), "page_id")
 
 
-@query(_impact_sql(", (SELECT list(depth || '@' || caller ORDER BY depth || '@' || caller) FROM rep WHERE rn = 1 AND depth = 1) AS dependents, CAST([] AS VARCHAR[]) AS test_files"))
+@query(_impact_sql(", (SELECT list(depth || '@' || caller ORDER BY depth || '@' || caller) FROM rep WHERE rn = 1) AS dependents, CAST([] AS VARCHAR[]) AS test_files"))
 def impact_report(spark, d):
-    return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT, max_depth=1)
+    return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT)
 
 
 _TESTS_HIT = "SELECT DISTINCT 'tests/' || s_suppkey AS path FROM supplier WHERE 'nation:' || s_nationkey IN (SELECT caller FROM rep WHERE rn = 1)"
@@ -251,11 +311,16 @@ def test_files_substring(spark, d):
     return found.select(F.regexp_replace(F.regexp_replace("path", "^tests/", ""), r"\.test\.ts$", "").alias("path"))
 
 
-@query(values(code.TEST_FILES_HIT, "path VARCHAR"))
+_TESTED = ("process", "helper")
+
+
+@query(for_each([(p.replace("/", f"/{KEY}/", 1),) for p, in code.TEST_FILES_HIT], "path VARCHAR"))
 def test_files_refs(spark, d):
-    files = source_files.inline(spark, code.TEST_FILES)
-    wanted = spark.createDataFrame([("Service.process",), ("helper",)], "caller string")
-    return affected_tests.by_reference(files, affected_tests.targets(wanted))
+    """Every page's tests against the names of all pages."""
+    named = {p.replace("/", f"/{KEY}/", 1): keyed(_TESTED, c) for p, c in code.TEST_FILES.items()}
+    ids = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("k"))
+    wanted = ids.select(F.explode(F.array(F.concat(F.lit("Service.process_"), "k"), F.concat(F.lit("helper_"), "k"))).alias("caller"))
+    return affected_tests.by_reference(files_of_pages(spark, d, named), affected_tests.targets(wanted))
 
 
 # language, paths, names
@@ -349,12 +414,25 @@ def known_symbol(spark, d):
     return asked.join(F.broadcast(known), "symbol", "left").select("doc_id", F.col("library").isNotNull().alias("known"))
 
 
-@query(values(code.VERIFY_ROWS, "library VARCHAR, symbol VARCHAR, status VARCHAR, source VARCHAR, line_number INTEGER, import_path VARCHAR, doc_url VARCHAR, similar VARCHAR[]"))
+_ASKED = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'merge' ELSE left(p_name, length(p_name) - 1) || 'q' END"
+_NEAR = "CASE WHEN l = q THEN 1.0::DOUBLE WHEN contains(l, q) OR contains(q, l) THEN 0.9::DOUBLE ELSE length(regexp_replace(l, '[^' || q || ']', '', 'g'))::DOUBLE / greatest(length(l), length(q)) END"
+
+
+@query(f"""WITH s AS (SELECT p_name AS name, p_brand, p_type, p_partkey, p_size % 3 AS dir_rank, row_number() OVER (PARTITION BY p_name ORDER BY p_size % 3, p_brand, p_partkey) AS rn FROM part),
+a AS (SELECT DISTINCT {_ASKED} AS symbol FROM part), b AS (SELECT * FROM s WHERE rn = 1),
+lost AS (SELECT symbol, lower(symbol) AS q FROM a WHERE symbol <> 'merge' AND symbol NOT IN (SELECT name FROM b)),
+n AS (SELECT DISTINCT lower(name) AS l FROM s),
+m AS (SELECT symbol, l, {_NEAR} AS score FROM lost, n),
+r AS (SELECT symbol, name || ' (' || p_brand || ') - ' || p_type AS e, row_number() OVER (PARTITION BY symbol ORDER BY dir_rank, score DESC, p_brand, p_partkey) AS rn FROM m JOIN s ON lower(s.name) = m.l WHERE score >= 0.7),
+t AS (SELECT symbol, list(e ORDER BY rn) AS similar FROM r WHERE rn <= 5 GROUP BY symbol)
+SELECT 'pandas' AS library, symbol, CASE WHEN b.name IS NOT NULL OR symbol = 'merge' THEN 'FOUND' ELSE 'DOES_NOT_EXIST' END AS status, CASE WHEN b.name IS NOT NULL THEN 'local' WHEN symbol = 'merge' THEN 'known_library' END AS source,
+  CAST(b.p_partkey AS INTEGER) AS line_number, 'from ' || b.p_brand || '.mod import ' || symbol AS import_path, coalesce(t.similar, CAST([] AS VARCHAR[])) AS similar
+FROM a LEFT JOIN b ON b.name = a.symbol LEFT JOIN t USING (symbol)""")
 def verify_api(spark, d):
-    files = source_files.inline(spark, code.SEARCH_PROJECT)
-    table_ = source_files.symbols(files).withColumn("dir_rank", F.lit(0)).withColumn("relative_path", F.col("file_path"))
-    asked = spark.createDataFrame(code.VERIFY_REQUESTS, "library string, symbol string, language string, doc_url string")
-    return symbols.verify(asked, table_, symbols.known_symbols(spark)).select("library", "symbol", "status", "source", "line_number", "import_path", "doc_url", "similar")
+    """Every part's name as a symbol; asked for are names of parts, a known name, and misspelt names."""
+    parts = _part_symbols(spark, d).withColumn("relative_path", F.concat("file_path", F.lit("/mod.py")))
+    asked = table(spark, d, "part").select(F.lit("pandas").alias("library"), F.expr(_ASKED).alias("symbol"), F.lit("python").alias("language"), F.lit(None).cast("string").alias("doc_url"))
+    return symbols.verify(asked, parts, symbols.known_symbols(spark)).select("library", "symbol", "status", "source", "line_number", "import_path", "similar")
 
 
 @query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '<(\w+)', 1)) AS BIGINT) AS n, regexp_extract_all(html, '<(\w+)', 1)[1] AS first FROM pages")
@@ -412,10 +490,36 @@ def catalog_installed_flag(spark, d):
     return catalog.with_installed(_catalog(spark, d).drop("ordinal"), _installed(spark, d))
 
 
-@query(values(code.CATALOG_ROWS, "name VARCHAR, source VARCHAR, description VARCHAR, url VARCHAR"))
+_SKILLS = [(f"{name}-{KEY}", source, f"{shown} {KEY}", url) for name, source, shown, url in code.CATALOG_ROWS]
+
+
+@query(for_each(_SKILLS, "name VARCHAR, source VARCHAR, description VARCHAR, url VARCHAR").replace("'_' || k", "k"))
 def catalog_listing(spark, d):
-    rows = spark.createDataFrame(code.LISTINGS, "source string, listing string, source_rank int")
-    return catalog.catalog(rows).drop("ordinal")
+    """The listings of three sources for every page, each skill with the page's id in its name."""
+    listed = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(re.sub(r'("name":"[^"]*)"', rf'\1-{KEY}"', b)).alias("listing"), F.lit(c).alias("source_rank")) for a, b, c in code.LISTINGS))
+    rows = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("k"), F.inline(listed))
+    return catalog.catalog(rows.withColumn("listing", F.replace("listing", F.lit(KEY), F.col("k")))).drop("ordinal")
+
+
+@query("""SELECT p.host AS skill, min(p.source) AS source, list(p.name ORDER BY p.page_id) AS files, CAST(sum(p.size) AS BIGINT) AS total_size, 'About ' || p.host AS description
+FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, 'official' AS source, page_id || '.html' AS name, length(html) AS size FROM pages) p GROUP BY p.host""")
+def skill_detail(spark, d):
+    """Hosts as skills that two sources list: the first one's files, of which a folder isn't one."""
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("skill"), "page_id", F.length("html").alias("size"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "size"))), lambda x: F.struct(F.concat(x["page_id"].cast("string"), F.lit(".html")).alias("name"), F.lit("file").alias("type"), x["size"].alias("size")))
+    folder = F.array(F.struct(F.lit("assets").alias("name"), F.lit("dir").alias("type"), F.lit(7).alias("size")))
+    listed = pages.groupBy("skill").agg(F.to_json(F.concat(items, folder)).alias("listing"))
+    sources = F.array(F.struct(F.lit("official").alias("source"), F.lit(0).alias("source_rank")), F.struct(F.lit("mirror").alias("source"), F.lit(1).alias("source_rank")))
+    rows = listed.select("skill", F.inline(sources), F.col("listing"), F.concat(F.lit("description: About "), "skill").alias("main"))
+    rows = rows.withColumn("listing", F.when(F.col("source") == "mirror", F.lit("[]")).otherwise(F.col("listing")))
+    return catalog.skill_detail(rows).select("skill", "source", "files", "total_size", "description")
+
+
+@query("""SELECT page_id, replace(u, 'github.com', 'api.github.com/repos') AS api, replace(u, 'github.com', 'raw.githubusercontent.com') || '/b' || page_id % 3 AS raw
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://github.com/' || page_id || '/skills' ELSE url END AS u FROM pages)""")
+def source_urls(spark, d):
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://github.com/"), F.col("page_id").cast("string"), F.lit("/skills"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", text.api_url(url).alias("api"), text.raw_url(url, F.concat(F.lit("b"), (F.col("page_id") % 3).cast("string"))).alias("raw"))
 
 
 @query("""WITH f AS (SELECT source AS name, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_size, list(CAST(doc_id AS VARCHAR) || '.md' ORDER BY CAST(doc_id AS VARCHAR) || '.md') AS files FROM documents WHERE source IS NOT NULL GROUP BY source)
@@ -459,46 +563,67 @@ def validation_report(spark, d):
 _ISSUE = "line INTEGER, column INTEGER, code VARCHAR, message VARCHAR, severity VARCHAR"
 
 
-def _tool(spark, check, tool, output):
-    rows = spark.createDataFrame([("f", output)], "file_path string, output string")
-    return validation.issue_rows(validation.from_tool(rows, check, tool)).drop("file_path", "check")
+def _tool_rows(rows: list[tuple]) -> str:
+    """The issues of a tool's output once for each event; its id stands in messages and codes."""
+    keyed_rows = [(line, column, code_, None if m is None else f"{m} {KEY}", severity) for line, column, code_, m, severity in rows]
+    shown = for_each(keyed_rows, _ISSUE, "events", "event_id")
+    return f"SELECT k AS file_path, {shown.removeprefix('SELECT ')}".replace("'_' || k", "k")
+
+
+def _tool(spark, d, check, tool, output):
+    """The tool's output for every event, as that of a file of its own."""
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("file_path"), F.replace(F.lit(output), F.lit(KEY), F.col("event_id").cast("string")).alias("output"))
+    return validation.issue_rows(validation.from_tool(rows, check, tool)).drop("check")
+
+
+def _said(output: str) -> str:
+    """A tool's output in lines with the key at each line's end."""
+    return re.sub(r"(?m)(.)$", rf"\1 {KEY}", output)
 
 
-@query(values(code.TSC_ISSUES, _ISSUE))
+def _said_json(output: str) -> str:
+    return re.sub(r'("(?:message|text)":"[^"]*)"', rf'\1 {KEY}"', output)
+
+
+@query(_tool_rows(code.TSC_ISSUES))
 def parse_tsc(spark, d):
-    return _tool(spark, "types", "tsc", code.TSC_OUTPUT)
+    return _tool(spark, d, "types", "tsc", _said(code.TSC_OUTPUT))
 
 
-@query(values(code.MYPY_ISSUES, _ISSUE))
+@query(_tool_rows(code.MYPY_ISSUES))
 def parse_mypy(spark, d):
-    return _tool(spark, "types", "mypy", code.MYPY_OUTPUT)
+    return _tool(spark, d, "types", "mypy", _said(code.MYPY_OUTPUT))
 
 
-@query(values(code.RUFF_ISSUES, _ISSUE))
+@query(_tool_rows(code.RUFF_ISSUES))
 def parse_ruff(spark, d):
-    return _tool(spark, "lint", "ruff", code.RUFF_OUTPUT)
+    return _tool(spark, d, "lint", "ruff", _said_json(code.RUFF_OUTPUT))
 
 
-@query(values(code.ESLINT_ISSUES, _ISSUE))
+@query(_tool_rows(code.ESLINT_ISSUES))
 def parse_eslint(spark, d):
-    return _tool(spark, "lint", "eslint", code.ESLINT_OUTPUT)
+    return _tool(spark, d, "lint", "eslint", _said_json(code.ESLINT_OUTPUT))
+
+
+_LOST = ("no_such_module_here", "another_lost_one")
+_CODE = {f"{KEY}/{p}": keyed(_LOST, c) for p, c in code.CHECKED.items()} | {f"{KEY}/web.ts": "let x"}
 
 
-@query(values(code.SYNTAX_ROWS, "file_path VARCHAR, line INTEGER, code VARCHAR, severity VARCHAR"))
+@query(for_each(in_folder(_LOST, code.SYNTAX_ROWS), "file_path VARCHAR, line INTEGER, code VARCHAR, severity VARCHAR"))
 def py_syntax(spark, d):
-    found = validation.issue_rows(validation.syntax(source_files.inline(spark, code.CHECKED)))
+    found = validation.issue_rows(validation.syntax(files_of_pages(spark, d, _CODE).where("language = 'python'")))
     return found.select("file_path", "line", "code", "severity")
 
 
-@query(values(code.IMPORT_ROWS, "file_path VARCHAR, line INTEGER, code VARCHAR, message VARCHAR, severity VARCHAR"))
+@query(for_each(in_folder(_LOST, code.IMPORT_ROWS), "file_path VARCHAR, line INTEGER, code VARCHAR, message VARCHAR, severity VARCHAR"))
 def py_imports(spark, d):
-    found = validation.issue_rows(validation.imports(source_files.inline(spark, code.CHECKED)))
+    found = validation.issue_rows(validation.imports(files_of_pages(spark, d, _CODE).where("language = 'python'")))
     return found.select("file_path", "line", "code", "message", "severity")
 
 
-@query(values(code.REPORT_ROWS, "file_path VARCHAR, status VARCHAR, can_write BOOLEAN, summary VARCHAR"))
+@query(for_each(in_folder((KEY,), [*code.REPORT_ROWS, ("web.ts", "warn", True, "0 error(s), 3 warning(s)")]), "file_path VARCHAR, status VARCHAR, can_write BOOLEAN, summary VARCHAR"))
 def code_reports(spark, d):
-    return validation.validate(source_files.inline(spark, code.CHECKED)).drop("results")
+    return validation.validate(files_of_pages(spark, d, _CODE)).drop("results")
 
 
 # extraction
@@ -508,34 +633,45 @@ _RAW = "file_path VARCHAR, source VARCHAR, target VARCHAR, edge_type VARCHAR, li
 _SYMBOL = "file_path VARCHAR, name VARCHAR, symbol_type VARCHAR, line_number INTEGER, signature VARCHAR, parent VARCHAR"
 
 
-@query(values(code.PY_NODES, _NODE))
+_PY = ("net", "label", "inner", "fetch", "Base", "Cart", "total", "Line", "cost")
+_WEB = ("Item", "title", "price", "Key", "State", "Open", "Lost", "Shop", "find", "load", "show", "main", "twice", "Box", "open", "Injectable", "Alone", "Shape", "legacy")
+_API = ("LIMIT", "Reader", "read", "step", "fetchAll", "stop", "Service", "Options", "VERSION", "Answer", "Mode")
+
+
+@query(for_each(in_folder(_PY, code.PY_NODES), _NODE))
 def py_graph(spark, d):
-    return source_files.nodes_of(source_files.extract(source_files.inline(spark, code.PY_PROJECT))).drop("ordinal")
+    return source_files.nodes_of(source_files.extract(files_of_pages(spark, d, keyed(_PY, code.PY_PROJECT)))).drop("ordinal")
 
 
-@query(values(code.PY_EDGES, _RAW))
+@query(for_each(in_folder(_PY, code.PY_EDGES), _RAW))
 def py_graph_edges(spark, d):
-    return source_files.raw_edges_of(source_files.extract(source_files.inline(spark, code.PY_PROJECT)))
+    return source_files.raw_edges_of(source_files.extract(files_of_pages(spark, d, keyed(_PY, code.PY_PROJECT))))
 
 
-@query(values(code.TS_NODES, _NODE))
+@query(for_each(in_folder(_WEB, code.TS_NODES), _NODE))
 def ts_graph(spark, d):
-    return source_files.nodes_of(source_files.extract(source_files.inline(spark, code.TS_PROJECT))).drop("ordinal")
+    return source_files.nodes_of(source_files.extract(files_of_pages(spark, d, keyed(_WEB, code.TS_PROJECT)))).drop("ordinal")
 
 
-@query(values(code.TS_EDGES, _RAW))
+@query(for_each(in_folder(_WEB, code.TS_EDGES), _RAW))
 def ts_graph_edges(spark, d):
-    return source_files.raw_edges_of(source_files.extract(source_files.inline(spark, code.TS_PROJECT)))
+    return source_files.raw_edges_of(source_files.extract(files_of_pages(spark, d, keyed(_WEB, code.TS_PROJECT))))
+
+
+@query(for_each(in_folder(_WEB, code.HERITAGE_EDGES), _RAW))
+def ts_heritage(spark, d):
+    """Clauses that name other types, and modules that are required, as edges."""
+    return source_files.raw_edges_of(source_files.extract(files_of_pages(spark, d, keyed(_WEB, code.HERITAGE_PROJECT)), heritage=True))
 
 
-@query(values(code.PY_SYMBOLS, _SYMBOL))
+@query(for_each(in_folder(_API, code.PY_SYMBOLS), _SYMBOL))
 def py_symbols(spark, d):
-    return source_files.symbols(source_files.inline(spark, code.SYMBOL_FILE)).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
+    return source_files.symbols(files_of_pages(spark, d, keyed(_API, code.SYMBOL_FILE))).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
 
 
-@query(values(code.DTS_SYMBOLS, _SYMBOL))
+@query(for_each(in_folder(_API, code.DTS_SYMBOLS), _SYMBOL))
 def dts_symbols(spark, d):
-    return source_files.symbols(source_files.inline(spark, code.DTS_FILE)).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
+    return source_files.symbols(files_of_pages(spark, d, keyed(_API, code.DTS_FILE))).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")
 
 
 # replays

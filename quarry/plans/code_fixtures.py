@@ -1,4 +1,5 @@
-"""Inline code and tool output, with the rows that they must give, worked out by hand."""
+"""Code and tool output, with the rows that they must give, worked out by hand. Queries fill in
+the key of a table's row behind names, so there is one of each for every row."""
 
 from __future__ import annotations
 
@@ -169,6 +170,24 @@ TS_EDGES = [
     ("web/util.js", "Box.open", "twice", "calls", 10),
 ]
 
+HERITAGE_PROJECT = {
+    "web/shape.ts": """
+import legacy = require("./legacy");
+interface Shape extends Item, Key {
+}
+class Box extends Shop<Item> implements Shape {
+}
+class Alone {}
+""",
+}
+HERITAGE_EDGES = [
+    ("web/shape.ts", "(module)", "./legacy", "imports", 2),
+    ("web/shape.ts", "Shape", "Item", "extends", 3),
+    ("web/shape.ts", "Shape", "Key", "extends", 3),
+    ("web/shape.ts", "Box", "Shop<Item>", "extends", 5),
+    ("web/shape.ts", "Box", "Shape", "implements", 5),
+]
+
 SYMBOL_FILE = {
     "lib/sample.py": '''
 """A module."""
@@ -234,22 +253,6 @@ TEST_FILES = {
 }
 TEST_FILES_HIT = [("tests/test_a.py",), ("tests/deep/test_b.py",)]
 
-SEARCH_PROJECT = {
-    "pkg/greet.py": "\ndef hello(name):\n    pass\n\nclass Greeter:\n    def greet(self):\n        pass\n",
-    "pkg/zoo.py": "def hello():\n    pass\n",
-}
-VERIFY_REQUESTS = [
-    ("pkg", "hello", "python", "https://docs.example.org/hello"),
-    ("numpy", "zeros", "python", "not a url"),
-    ("pkg", "hell", "python", None),
-    ("pkg", "qqq", "python", None),
-]
-VERIFY_ROWS = [
-    ("pkg", "hello", "FOUND", "local", 2, "from pkg.greet import hello", "https://docs.example.org/hello", []),
-    ("numpy", "zeros", "FOUND", "known_library", None, None, None, []),
-    ("pkg", "hell", "DOES_NOT_EXIST", None, None, None, None, ["hello (function) - def hello(name)", "hello (function) - def hello()"]),
-    ("pkg", "qqq", "DOES_NOT_EXIST", None, None, None, None, []),
-]
 KNOWN_ROWS = [(library, s) for library, names in KNOWN_SYMBOLS.items() for s in names.split()]
 
 LISTINGS = [
