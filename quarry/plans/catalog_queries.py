@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import diagnostics, text
-from quarry.operators import affected_tests, catalog, graph, replay, symbols, traverse, validation
+from quarry.operators import affected_tests, catalog, graph, imports, replay, symbols, traverse, validation
 from quarry.plans import code_fixtures as code
 from quarry.plans.fk_graph import WITH, fk_edges, fk_nodes
 from quarry.sources import files as source_files
@@ -664,6 +664,20 @@ def ts_heritage(spark, d):
     return source_files.raw_edges_of(source_files.extract(files_of_pages(spark, d, keyed(_WEB, code.HERITAGE_PROJECT)), heritage=True))
 
 
+_IMPORTED = ("run", "helper", "start", "extra", "deep", "Tool", "use", "main", "own", "make", "begin", "spare", "cut", "local")
+
+
+@query(for_each([(f"{KEY}/{a}", keyed(_IMPORTED, b), f"{KEY}/{c}", keyed(_IMPORTED, e), n) for a, b, c, e, n in code.IMPORT_EDGES], "src_file VARCHAR, src_name VARCHAR, dst_file VARCHAR, dst_name VARCHAR, call_line INTEGER"))
+def edge_resolution_imports(spark, d):
+    """A project for every page, with aliases, re-exports, star imports and a file of equal names in the way."""
+    made = {f"{KEY}/{p}": re.sub(rf"(?<!/)\b({'|'.join(_IMPORTED)})\b", rf"\1{KEY}", c) for p, c in code.IMPORT_PROJECT.items()}
+    files = files_of_pages(spark, d, made)
+    tagged = source_files.extract(files)
+    raw = source_files.raw_edges_of(tagged).where("edge_type = 'calls'")
+    found = imports.resolve_by_imports(source_files.nodes_of(tagged), raw, source_files.bindings(files), files)
+    return found.select("src_file", "src_name", "dst_file", "dst_name", "call_line")
+
+
 @query(for_each(in_folder(_API, code.PY_SYMBOLS), _SYMBOL))
 def py_symbols(spark, d):
     return source_files.symbols(files_of_pages(spark, d, keyed(_API, code.SYMBOL_FILE))).select("file_path", "name", "symbol_type", "line_number", "signature", "parent")

@@ -170,6 +170,73 @@ TS_EDGES = [
     ("web/util.js", "Box.open", "twice", "calls", 10),
 ]
 
+IMPORT_PROJECT = {
+    "aaa/core.py": "def run():\n    pass\n\ndef helper():\n    pass\n",
+    "pkg/__init__.py": "from .core import run as start\nfrom .more import *\n",
+    "pkg/core.py": "def run():\n    helper()\n\ndef helper():\n    run()\n\nclass Tool:\n    def use(self):\n        return helper()\n",
+    "pkg/more.py": "from ..top import deep\nfrom . import core\n\ndef extra():\n    deep()\n    core.run()\n",
+    "top.py": "def deep():\n    pass\n",
+    "app/main.py": """
+import pkg.core as c
+import pkg.core
+from pkg import start, extra as more
+from pkg.core import helper as h, Tool
+from lost import nothing
+
+def main():
+    start()
+    more()
+    c.run()
+    pkg.core.helper()
+    h()
+    Tool.use(1)
+    nothing()
+    deep()
+
+def own():
+    main()
+""",
+    "web/main.ts": """
+import start, { make as build, type Shape } from './lib';
+import * as lib from "./lib";
+const { cut: trim } = require('./lib/cut');
+
+function run() {
+  start();
+  build(1);
+  lib.make(2);
+  lib.spare();
+  trim();
+  missing();
+}
+""",
+    "web/lib/index.ts": "export { make } from './make';\nexport * from './spare';\nexport { begin as default } from './make';\n",
+    "web/lib/make.ts": "export function make(n: number) { local(); }\nfunction local() {}\nexport function begin() {}\n",
+    "web/lib/spare.ts": "import { make } from '../lib';\nexport function spare() { make(1); }\n",
+    "web/lib/cut.js": "function cut() {}\nmodule.exports = { cut };\n",
+}
+IMPORT_EDGES = [
+    ("pkg/core.py", "run", "pkg/core.py", "helper", 2),
+    ("pkg/core.py", "helper", "pkg/core.py", "run", 5),
+    ("pkg/core.py", "Tool.use", "pkg/core.py", "helper", 9),
+    ("pkg/more.py", "extra", "top.py", "deep", 5),
+    ("pkg/more.py", "extra", "pkg/core.py", "run", 6),
+    ("app/main.py", "main", "pkg/core.py", "run", 9),
+    ("app/main.py", "main", "pkg/more.py", "extra", 10),
+    ("app/main.py", "main", "pkg/core.py", "run", 11),
+    ("app/main.py", "main", "pkg/core.py", "helper", 12),
+    ("app/main.py", "main", "pkg/core.py", "helper", 13),
+    ("app/main.py", "main", "pkg/core.py", "Tool.use", 14),
+    ("app/main.py", "own", "app/main.py", "main", 19),
+    ("web/main.ts", "run", "web/lib/make.ts", "begin", 7),
+    ("web/main.ts", "run", "web/lib/make.ts", "make", 8),
+    ("web/main.ts", "run", "web/lib/make.ts", "make", 9),
+    ("web/main.ts", "run", "web/lib/spare.ts", "spare", 10),
+    ("web/main.ts", "run", "web/lib/cut.js", "cut", 11),
+    ("web/lib/make.ts", "make", "web/lib/make.ts", "local", 1),
+    ("web/lib/spare.ts", "spare", "web/lib/make.ts", "make", 2),
+]
+
 HERITAGE_PROJECT = {
     "web/shape.ts": """
 import legacy = require("./legacy");

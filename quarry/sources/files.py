@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions.schemas import GRAPH_EXCLUDED, SEARCH_EXCLUDED, SYMBOLS
 from quarry.functions.text import excluded, language_of_path
-from quarry.sources import declarations, python_code, ts_code
+from quarry.sources import declarations, import_code, python_code, ts_code
 
 GLOBS = {"python": "*.py", "typescript": "*.{ts,tsx,js,jsx}", "javascript": "*.{ts,tsx,js,jsx}"}
 SYMBOL_GLOBS = {"python": "*.{py,pyi}", "typescript": "*.d.ts", "javascript": "*.d.ts"}
+BINDINGS = "file_path string, local string, level int, module string, name string, line_number int"
 TAGGED = "file_path string, kind string, name string, target string, type string, line_number int, signature string, ordinal int"
 
 
@@ -88,6 +89,16 @@ def symbols(files: DataFrame) -> DataFrame:
     return _per_file(files, ["file_path", "content"], SYMBOLS, rows_of)
 
 
+def bindings(files: DataFrame) -> DataFrame:
+    """(file_path, local, level, module, name, line_number): what names stand for in other files."""
+
+    def rows_of(path: str, language: str, content: str) -> Iterator[tuple]:
+        found = import_code.python_bindings(content or "") if language == "python" else import_code.typescript_bindings(content or "")
+        yield from ((path, *row) for row in found)
+
+    return _per_file(files, ["file_path", "language", "content"], BINDINGS, rows_of)
+
+
 def identifiers(files: DataFrame) -> DataFrame:
     """(path, name): every name and attribute that a Python file mentions."""
 

@@ -6,6 +6,7 @@ batch of ten files writes the rows of ten files, and writers don't meet:
     nodes/run=R      NODES
     edges/run=R      EDGES, resolved within their file: filters by name reach the scan
     raw/run=R        RAW_EDGES, from which other scopes are resolved when read
+    bindings/run=R   what imports bind, of files that were put in the scope ``imports``
     manifest/run=R   file_path, hash, updated_at, kind, version, scope
 
 The manifest is written last; rows of a run that it doesn't know are never read. For each
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.schemas import EDGES, GRAPH_EXCLUDED, MANIFEST, NODES, RAW_EDGES
-from quarry.operators import graph
+from quarry.operators import graph, imports
 from quarry.plans.staging import stage
 from quarry.sources import files as source_files
 from quarry.sources.folders import read_or_empty
 
-TABLES = {"nodes": NODES, "edges": EDGES, "raw": RAW_EDGES}
+TABLES = {"nodes": NODES, "edges": EDGES, "raw": RAW_EDGES, "bindings": source_files.BINDINGS}
 MARKS = "file_path string, hash string, updated_at double, kind string, version string, scope string"
 
 
@@ -94,13 +95,15 @@ class GraphStore:
         return last[0] or "file"
 
     def read(self, scope: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """NODES, EDGES and MANIFEST as they stand. Edges of ``project`` scope are resolved over
-        all files now, so they are those of a graph built anew."""
+        """NODES, EDGES and MANIFEST as they stand. Edges of ``project`` and ``imports`` scope are
+        resolved over all files now, so they are those of a graph built anew."""
         marks = self._marks()
         live = self._live(marks)
-        nodes = self._rows("nodes", live)
-        if (scope or self.scope()) == "project":
+        nodes, scope = self._rows("nodes", live), scope or self.scope()
+        if scope == "project":
             edges = graph.resolve_edges(nodes, self._rows("raw", live), "project")
+        elif scope == "imports":
+            edges = imports.resolve_by_imports(nodes, self._rows("raw", live), self._rows("bindings", live), live.select("file_path").distinct())
         else:
             edges = self._rows("edges", live)
         known = marks.where("at = struct(last.version, last.run) and kind in ('put', 'add')").select("file_path", "hash", "updated_at")
@@ -142,7 +145,8 @@ class GraphStore:
         raw = source_files.raw_edges_of(tagged)
         columns = [c.split()[0] for c in NODES.split(", ")]
         marks = self._mark(run, hashes, "put" if remove_first else "add", resolve_scope)
-        self._write(run, nodes=fresh.select(*columns), edges=graph.resolve_edges(known, raw, "file"), raw=raw, manifest=marks)
+        bound = {"bindings": source_files.bindings(files)} if resolve_scope == "imports" else {}
+        self._write(run, nodes=fresh.select(*columns), edges=graph.resolve_edges(known, raw, "file"), raw=raw, **bound, manifest=marks)
 
     def compact(self) -> None:
         """Writes all that is read into one run. Files that are put meanwhile keep their newer rows,
