@@ -112,8 +112,8 @@ class Tools:
 
     def detect_language(self, library: str = "") -> str:
         """By the files of the project, a tie by the library."""
-        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,ts,js}").load(self.root).select("path")
-        return graph.language_vote(listed, library).first()[0]
+        listed = files.listed(self.spark, self.root, ["*.py", "*.ts", "*.js"], contents=False)
+        return graph.language_vote(listed.select(F.col("file_path").alias("path")), library).first()[0]
 
     def verify_api(self, library: str, symbol: str, symbol_type: str = "", import_path: str = "", doc_url: str = "", language: str | None = None) -> str:
         """``symbol_type`` and ``import_path`` are accepted and, as in the tool this

@@ -11,22 +11,35 @@ from pyspark.sql import functions as F
 from quarry.functions.schemas import GRAPH_EXCLUDED, SEARCH_EXCLUDED, SYMBOLS
 from quarry.functions.text import excluded, language_of_path
 from quarry.sources import declarations, import_code, python_code, ts_code
+from quarry.sources.tree import supported, tree
 
-GLOBS = {"python": "*.py", "typescript": "*.{ts,tsx,js,jsx}", "javascript": "*.{ts,tsx,js,jsx}"}
-SYMBOL_GLOBS = {"python": "*.{py,pyi}", "typescript": "*.d.ts", "javascript": "*.d.ts"}
+GLOBS = {"python": ["*.py"], "typescript": ["*.ts", "*.tsx", "*.js", "*.jsx"], "javascript": ["*.ts", "*.tsx", "*.js", "*.jsx"]}
+SYMBOL_GLOBS = {"python": ["*.py", "*.pyi"], "typescript": ["*.d.ts"], "javascript": ["*.d.ts"]}
 BINDINGS = "file_path string, local string, level int, module string, name string, line_number int"
 TAGGED = "file_path string, kind string, name string, target string, type string, line_number int, signature string, ordinal int"
 
 
-def scan(spark: SparkSession, root: str, language: str = "python", exclude: tuple[str, ...] = GRAPH_EXCLUDED, glob: str | None = None) -> DataFrame:
-    """FILES rows of a directory tree. Paths lose the ``file:`` prefix; any component in
-    ``exclude`` leaves a file out, ancestors of the root included. Text that isn't UTF-8
-    has replacement characters; the hash is of the bytes."""
+def listed(spark: SparkSession, root: str, patterns: list[str], exclude: tuple[str, ...] = (), contents: bool = True) -> DataFrame:
+    """(file_path, content, sha256, size, error) of a tree's files whose names fit a pattern.
+
+    Text that isn't UTF-8 has replacement characters; the hash is of the bytes. A file that can't
+    be read has an error instead. Roots in a store that Arrow doesn't know are read by
+    Spark's own source, which leaves out names that begin with an underscore or a dot."""
+    if supported(root):
+        return tree(spark, root, patterns, exclude, contents)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(patterns) + "}").load(root)
+    text = (F.make_valid_utf8(F.col("content").cast("string")), F.sha2("content", 256)) if contents else (F.lit(None).cast("string"),) * 2
+    return found.select(F.col("path").alias("file_path"), text[0].alias("content"), text[1].alias("sha256"), F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
+
+
+def scan(spark: SparkSession, root: str, language: str = "python", exclude: tuple[str, ...] = GRAPH_EXCLUDED, glob: list[str] | None = None) -> DataFrame:
+    """FILES rows of a directory tree, with the error of those that can't be read. Paths lose the
+    ``file:`` prefix; any component in ``exclude`` leaves a file out, ancestors of the root
+    included. Excluded folders aren't listed."""
     if language not in GLOBS:
         raise ValueError(f"unknown language: {language!r}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob or GLOBS[language]).load(root)
-    path = F.regexp_replace("path", "^file:(//(?=/))?", "")
-    return found.where(~excluded(path, exclude)).select(path.alias("file_path"), language_of_path(path).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    found = listed(spark, root, glob or GLOBS[language], exclude).where(~excluded(F.col("file_path"), exclude))
+    return found.select("file_path", language_of_path(F.col("file_path")).alias("language"), "content", "sha256", "size", "error")
 
 
 def scan_symbols(spark: SparkSession, root: str, language: str = "python", compat: bool = False) -> DataFrame:

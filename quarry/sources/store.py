@@ -193,7 +193,7 @@ def build_graph(spark: SparkSession, store: GraphStore, root: str, scope: str =
         found = source_files.scan(spark, root if scope == "full" else path, language, exclude)
         found.isEmpty()
     except Exception as e:  # the path can't be read: reported as the tool reports it
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        if "PATH_NOT_FOUND" in str(e):
             return error(f"Path not found: {path or root}")
         raise
     if purge_missing:
@@ -211,8 +211,8 @@ def vote(spark: SparkSession, root: str) -> str:
     """The language of a project by its files; an error if it has none."""
     from quarry.errors import LanguageDetectionError
 
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,ts,tsx,js,jsx}").load(root).select("path")
-    language = graph.language_vote(listed).first()[0]
+    listed = source_files.listed(spark, root, ["*.py", "*.ts", "*.tsx", "*.js", "*.jsx"], contents=False)
+    language = graph.language_vote(listed.select(F.col("file_path").alias("path"))).first()[0]
     if language is None:
         raise LanguageDetectionError(f"no Python, TypeScript or JavaScript files in {root}")
     return language

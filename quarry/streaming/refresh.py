@@ -14,7 +14,8 @@ from quarry.sources.store import GraphStore, rebuild, stale_only
 
 
 def watch_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """A stream of FILES rows for files that appear below a directory."""
+    """A stream of FILES rows for files that appear below a directory. Spark's file streams leave out
+    names that begin with an underscore or a dot; a build of the directory brings those."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:(//(?=/))?", "")
     return raw.select(path.alias("file_path"), language_of_path(path).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))

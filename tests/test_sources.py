@@ -170,3 +170,44 @@ def test_checks_without_a_result_are_skipped_not_passed(spark, tmp_path):
     assert "[PASS] syntax" in types and "[SKIP] mypy not available, skipping type check" in types
     assert "[SKIP]" not in tools.sandbox_validate("x = 1\n", "a.py", checks=("syntax", "types"), tool_outputs={"types:mypy": ""})
     assert "no imports check for typescript" in tools.sandbox_validate("let x", "a.ts", checks=("imports",))
+
+
+def test_trees_are_pruned_and_whole(spark, tmp_path, monkeypatch):
+    from quarry.sources import files, tree
+
+    for path in ("pkg/__init__.py", "pkg/_private.py", "pkg/.hidden.py", "a.py", "node_modules/x/deep.py", "pkg/venv/y.py", "b.txt"):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("def f(): pass\n")
+    (tmp_path / "pkg/lost.py").symlink_to(tmp_path / "nowhere.py")
+    (tmp_path / "big.py").write_bytes(b"\xff" * 10)
+    opened = []
+
+    class Watched(tree.fs.LocalFileSystem):
+        def get_file_info(self, what):
+            opened.append(getattr(what, "base_dir", what))
+            return super().get_file_info(what)
+
+    found = [x.path[len(str(tmp_path)) + 1 :] for x in tree.walk(Watched(), str(tmp_path), frozenset(files.GRAPH_EXCLUDED))]
+    assert not [p for p in opened if "node_modules" in p or "venv" in p] and len(opened) == 3
+    assert sorted(p for p in found if p.endswith(".py")) == ["a.py", "big.py", "pkg/.hidden.py", "pkg/__init__.py", "pkg/_private.py"]
+    monkeypatch.setattr(tree, "PARTITION_FILES", 2)
+    rows = {r.file_path[len(str(tmp_path)) + 1 :]: r for r in files.scan(spark, f"file://{tmp_path}").collect()}
+    assert sorted(rows) == ["a.py", "big.py", "pkg/.hidden.py", "pkg/__init__.py", "pkg/_private.py"] and all(r.error is None for r in rows.values())
+    assert rows["big.py"].content == "\ufffd" * 10 and rows["a.py"].size == 14
+    assert [r.file_path for r in files.scan(spark, f"{tmp_path}/a.py").collect()] == [f"{tmp_path}/a.py"]
+    assert files.listed(spark, str(tmp_path), ["*.none"]).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.scan(spark, f"{tmp_path}/none")
+
+
+def test_a_file_that_cannot_be_read_is_an_error_row(tmp_path):
+    from quarry.sources import tree
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    reader = tree.TreeReader({"root": str(tmp_path), "patterns": '["*.py"]'})
+    parts = reader.partitions()
+    parts[0].files.append((f"{tmp_path}/gone.py", 3))
+    good, bad = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert good["content"] == "x = 1\n" and good["error"] is None
+    assert bad["content"] is None and "FileNotFoundError" in bad["error"] and bad["file_path"].endswith("gone.py")
