@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_test_file, last_segment
 from quarry.sources.files import identifiers
 
-#: Most names that are broadcast.
-BROADCAST_NAMES = 1_000_000
-#: Lengths of the starts of names that texts are searched for, when names are many.
-STARTS = (1, 2, 3, 4, 8)
+#: Names of one automaton, some 100 MB where they are long.
+AUTOMATON_NAMES = 100_000
 
 
 def targets(names: DataFrame, column: str = "caller") -> DataFrame:
@@ -25,26 +28,65 @@ def by_reference(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return identifiers(tests).join(wanted, "name", "left_semi").select("path").distinct()
 
 
-def by_substring(files: DataFrame, wanted: DataFrame, max_names: int = 10_000) -> DataFrame:
+def _automaton(names: list[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for name in names:
+        found.add_word(name, True)
+    found.make_automaton()
+    return found
+
+
+def _hits(found: ahocorasick.Automaton, paths: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """(path) of the texts that hold a name: one pass over each, up to its first hit."""
+    held = [next(found.iter(text.as_py()), None) is not None for text in texts] if len(found) else [False] * len(texts)
+    return pa.RecordBatch.from_arrays([paths.filter(pa.array(held, pa.bool_()))], names=["path"])
+
+
+def by_substring(files: DataFrame, wanted: DataFrame, max_names: int = AUTOMATON_NAMES) -> DataFrame:
     """(path): TypeScript and JavaScript test files whose text holds a wanted name
-    anywhere. Up to ``max_names`` names become one array on every row. More meet the texts
-    by their starts, a few letters that both must have, in a join on these; then the same
-    test decides. No text meets all names, and the answer is the same."""
-    tests = files.where(is_test_file(F.col("file_path"), "typescript"))
-    names = wanted.select("name").distinct()
+    anywhere. Each text is read once by an automaton of all names. Up to ``max_names`` names
+    are broadcast; more are dealt in blocks of that size, and a text is read once for each
+    block. The answer is the same. Null names and texts hold nothing; any text holds the empty name."""
+    tests = files.where(is_test_file(F.col("file_path"), "typescript")).where("content is not null").select(F.col("file_path").alias("path"), "content")
+    names = wanted.where("name is not null").select("name").distinct()
+    if not names.where("name = ''").isEmpty():
+        return tests.select("path").distinct()
     listed = [r[0] for r in names.take(max_names + 1)]
-    if len(listed) > max_names:
-        longest = F.element_at(F.filter(F.array(*(F.lit(n) for n in STARTS)), lambda n: n <= F.length("name")), -1)
-        named = names.where("name <> ''").withColumn("start", F.col("name").substr(F.lit(1), longest))
-        inside = lambda n: F.when(F.length("content") >= n, F.transform(F.sequence(F.lit(1), F.length("content") - n + 1), lambda i: F.substring("content", i, F.lit(n))))
-        starts = F.array_distinct(F.flatten(F.array_compact(F.array(*(inside(n) for n in STARTS)))))
-        met = tests.select(F.col("file_path").alias("path"), F.explode(starts).alias("start"))
-        few = names.count() <= BROADCAST_NAMES
-        asked = met.join(F.broadcast(named) if few else named, "start").select("path", "name")
-        held = asked.join(tests.select(F.col("file_path").alias("path"), "content"), "path").where(F.col("content").contains(F.col("name")))
-        out = held.select("path").distinct()
-        if names.where("name = ''").isEmpty():
-            return out
-        return tests.where("content is not null").select(F.col("file_path").alias("path")).distinct()  # any text holds the empty name
-    array = F.array(*(F.lit(n) for n in sorted(listed))) if listed else F.array().cast("array<string>")
-    return tests.where(F.exists(array, lambda n: F.col("content").contains(n))).select(F.col("file_path").alias("path")).distinct()
+    if len(listed) <= max_names:
+        shared = files.sparkSession.sparkContext.broadcast(listed)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _automaton(shared.value)
+            for batch in batches:
+                yield _hits(found, batch.column(0), batch.column(1))
+
+        return tests.mapInArrow(search, "path string").distinct()
+    blocks = -(-names.count() // max_names)
+    shares = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("string")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = names.select(F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"), every(shares).alias("share"), F.lit(0).alias("kind"), none.alias("path"), F.col("name").alias("content"))
+    texts = tests.select(every(blocks).alias("block"), F.pmod(F.xxhash64("path"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("kind"), "path", "content")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, listed, found = None, [], None
+        for batch in batches:
+            for block, share, kind, i, j in _stretches(batch):
+                if (block, share) != at:
+                    at, listed, found = (block, share), [], None
+                if kind == 0:
+                    listed += batch.column(4)[i:j].to_pylist()
+                else:
+                    found = found or _automaton(listed)
+                    yield _hits(found, batch.column(3)[i:j], batch.column(4)[i:j])
+
+    met = asked.unionByName(texts).repartition("block", "share").sortWithinPartitions("block", "share", "kind")
+    return met.mapInArrow(dealt, "path string").distinct()
+
+
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
+    """(block, share, kind, start, end) of the stretches of equal keys."""
+    keys = [batch.column(c).to_numpy() for c in range(3)]
+    edges = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if batch.num_rows else np.zeros(0, int)
+    for i, j in zip(edges, np.append(edges[1:], batch.num_rows), strict=True):
+        yield (*(int(k[i]) for k in keys), int(i), int(j))

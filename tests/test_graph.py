@@ -148,18 +148,23 @@ def test_similarity_equals_plain_scorer(spark):
         assert r.s == pytest.approx(score(r.a, r.b)), (r.a, r.b)
 
 
-def test_many_wanted_names_are_found_like_few(spark, monkeypatch):
+def test_many_wanted_names_are_found_like_few(spark):
     from quarry.operators import affected_tests
     from quarry.sources import files
 
-    texts = {"tests/a.test.ts": "call(myHelperFn)", "tests/b.test.js": "x['odd-name']", "tests/c.test.ts": "nothing", "tests/d.test.ts": "use total$ now", "tests/e.ts": "myHelperFn"}
+    rng = random.Random(3)
+    texts = {"tests/a.test.ts": "call(myHelperFn)", "tests/b.test.js": "x['odd-name']", "tests/c.test.ts": "nothing", "tests/d.test.ts": "use total$ now", "tests/e.ts": "myHelperFn", "tests/f.test.ts": ""}
+    texts |= {f"tests/r{i}.test.ts": "".join(rng.choice("abé$") for _ in range(rng.randint(0, 60))) for i in range(80)}
     found = files.inline(spark, texts)
-    wanted = spark.createDataFrame([(n,) for n in ["Helper", "odd-name", "total$", *(f"absent{i}" for i in range(30))]], "name string")
+    names = ["Helper", "odd-name", "total$", "é$a", "abba", "bbb", *(f"absent{i}" for i in range(30))]
+    wanted = spark.createDataFrame([(n,) for n in [*names, None, "Helper"]], "name string")
+    plain = {p for p, t in texts.items() if ".test." in p and any(n in t for n in names)}
     few = {r.path for r in affected_tests.by_substring(found, wanted).collect()}
-    assert few == {"tests/a.test.ts", "tests/b.test.js", "tests/d.test.ts"}
-    assert {r.path for r in affected_tests.by_substring(found, wanted, max_names=4).collect()} == few
-    monkeypatch.setattr(affected_tests, "BROADCAST_NAMES", 0)
+    assert few == plain and {"tests/a.test.ts", "tests/b.test.js", "tests/d.test.ts"} < few
     assert {r.path for r in affected_tests.by_substring(found, wanted, max_names=4).collect()} == few
+    assert affected_tests.by_substring(found, wanted.limit(0)).count() == 0
+    empty = spark.createDataFrame([("",), ("zzz",)], "name string")
+    assert affected_tests.by_substring(found, empty).count() == sum(".test." in p for p in texts)
 
 
 def test_paths_and_urls(spark):
