@@ -31,22 +31,50 @@ def refresh_graph(files: DataFrame, store: GraphStore, checkpoint: str, resolve_
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def admit_requests(requests: DataFrame, limit: int = 30, window_seconds: float = 60.0) -> DataFrame:
-    """(client, at, admitted, wait): a sliding log per client over a stream or table of
-    (client string, at double). A request is admitted if fewer than ``limit`` were in
-    the window before it, else it would wait until the oldest of them leaves it."""
+class Window:
+    """A client's sliding log, in microseconds: which of its requests are admitted, in the order of time."""
+
+    def __init__(self, limit: int, length: int, admitted: list[int]):
+        self.limit, self.length, self.admitted = limit, length, admitted
+
+    def admit(self, at: int) -> int:
+        """0 if fewer than ``limit`` were admitted in the window before, else how long it is until the
+        oldest of them leaves it."""
+        self.admitted = [x for x in self.admitted if at - x < self.length]
+        if len(self.admitted) >= self.limit:
+            return self.length - (at - self.admitted[0])
+        self.admitted.append(at)
+        return 0
+
+
+def admit_requests(requests: DataFrame, limit: int = 30, window_seconds: float = 60.0, delay_seconds: float = 10.0) -> DataFrame:
+    """(client, at, admitted, wait): a sliding log per client over a stream of (client string, at
+    double, in seconds). A request is admitted if fewer than ``limit`` were admitted in the window
+    before it, else it would wait until the oldest of them leaves it.
+
+    Requests are held until the watermark, ``delay_seconds`` behind the latest one, has passed them, and
+    judged in the order of their times: however the stream is cut into batches, the answers are the
+    same, as long as no request comes later than that; later ones are left out. A client's state goes
+    when a window has passed without requests. Null clients are one client; null times are left out."""
+    length = round(window_seconds * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
+        held, log = (list(x) for x in state.get) if state.exists else ([], [])
         for batch in batches:
-            out = []
-            for at in sorted(batch["at"]):
-                log = [x for x in log if at - x < window_seconds]
-                ok = len(log) < limit
-                out.append((key[0], at, ok, 0.0 if ok else window_seconds - (at - log[0])))
-                if ok:
-                    log.append(at)
-            yield pd.DataFrame(out, columns=["client", "at", "admitted", "wait"])
-        state.update((log,))
-
-    return requests.groupBy("client").applyInPandasWithState(step, "client string, at double, admitted boolean, wait double", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+            held += batch["micros"].tolist()
+        watermark = state.getCurrentWatermarkMs()
+        ready = sorted(x for x in held if x <= watermark * 1000)
+        held = [x for x in held if x > watermark * 1000]
+        window = Window(limit, length, log)
+        waits = [window.admit(at) for at in ready]
+        yield pd.DataFrame({"client": [key[0]] * len(ready), "at": [x / 1e6 for x in ready], "admitted": [not w for w in waits], "wait": [w / 1e6 for w in waits]})
+        ends = min(held) if held else max(window.admitted, default=0) + length
+        if held or ends > watermark * 1000:
+            state.update((held, window.admitted))
+            state.setTimeoutTimestamp(max(-(-ends // 1000), watermark + 1))
+        elif state.exists:
+            state.remove()
+
+    micros = F.round(F.col("at") * 1_000_000).cast("long")
+    timed = requests.where("at is not null").select("client", micros.alias("micros")).withColumn("time", F.timestamp_micros("micros")).withWatermark("time", f"{round(delay_seconds * 1000)} milliseconds")
+    return timed.groupBy("client").applyInPandasWithState(step, "client string, at double, admitted boolean, wait double", "held array<long>, log array<long>", "append", GroupStateTimeout.EventTimeTimeout)

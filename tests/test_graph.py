@@ -121,17 +121,41 @@ def test_streaming_refresh(spark, tmp_path):
     assert store.read()[0].count() == 10
 
 
-def test_rate_limit_over_a_stream(spark, tmp_path):
+def admissions(spark, folder, batches, **options):
+    """The answers over a stream that takes each batch by itself."""
     from quarry.streaming.refresh import admit_requests
 
-    rows = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 61, 61.5)], "client string, at double")
-    rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema("client string, at double").parquet(f"file://{tmp_path}/in")
-    q = admit_requests(stream, limit=2, window_seconds=60).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("admitted").orderBy("at").collect()
-    assert [r.admitted for r in got] == [True, True, False, True, True]
-    assert got[2].wait == 58.0
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "client string, at double").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("client string, at double").parquet(f"file://{folder}/in")
+        q = admit_requests(stream, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    return sorted((r.client or "", r.at, r.admitted, r.wait) for r in spark.read.schema("client string, at double, admitted boolean, wait double").parquet(f"{folder}/out").collect())
+
+
+def test_admissions_dont_depend_on_batches(spark, tmp_path):
+    from quarry.streaming.refresh import Window
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), float(t)) for t in (1, 2, 3, 62, 62.5)] + [(rng.choice(["a", "b", "c"]), round(rng.uniform(1, 300), 3)) for _ in range(120)]
+    rows.sort(key=lambda r: r[1] + rng.uniform(0, 9))  # none comes more than the delay late
+    rows.append(("end", 1000.0))
+    plain = []
+    for client in {c for c, _ in rows if c != "end"}:
+        window = Window(3, 60_000_000, [])
+        for at in sorted(t for c, t in rows if c == client):
+            wait = window.admit(round(at * 1e6))
+            plain.append((client or "", at, not wait, wait / 1e6))
+    options = {"limit": 3, "window_seconds": 60, "delay_seconds": 10}
+    whole = admissions(spark, tmp_path / "one", [rows], **options)
+    assert whole == sorted(plain) and not all(r[2] for r in whole)
+    cut = [rows[:37], rows[37:38], rows[38:90], rows[90:]]
+    assert admissions(spark, tmp_path / "many", cut, **options) == whole
+
+
+def test_requests_that_come_too_late_are_left_out(spark, tmp_path):
+    got = admissions(spark, tmp_path, [[("a", 1.0), ("a", 100.0)], [("a", 2.0), ("a", 200.0)], [("z", 900.0)]], limit=1, window_seconds=60, delay_seconds=5)
+    assert got == [("a", 1.0, True, 0.0), ("a", 100.0, True, 0.0), ("a", 200.0, True, 0.0)]
 
 
 def test_similarity_equals_plain_scorer(spark):
