@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.staging import stage
+from quarry.plans.staging import drop, stage
 
 
 def _with_least(both: DataFrame) -> DataFrame:
@@ -18,9 +18,11 @@ def _with_least(both: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
-def connected_components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """edges: (a, b) longs. Returns (node, component): the least node reachable.
 
+    Rounds go on until one changes nothing; a round's table is dropped after the next.
+
     Nodes without an edge to another node don't appear; nulls and self-loops are
     ignored; repeated edges don't matter; an empty table gives an empty result.
     """
@@ -29,17 +31,16 @@ def connected_components(edges: DataFrame, label: str, rounds: int = 60) -> Data
         f"{label}-edges",
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         tied = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stage(tied.where("u <> v").distinct(), f"{label}-stars")
+        before, now = now, stage(tied.where("u <> v").distinct(), f"{label}-stars")
+        drop(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"{label}: components did not settle in {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from quarry.llm.bytewords import arrow_rows, begin_work, mix, release_memory, shingle_sets, slices
 from quarry.llm.components import connected_components
 from quarry.llm.runs import runs
-from quarry.plans.staging import stage
+from quarry.plans.staging import scope, stage
 
 #: Most sets that one task compares at once, exactly and by bitmaps.
 BLOCK = 4096
@@ -429,14 +429,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     can't change the result. Other columns of ``docs`` are ignored, whatever their
     names. An empty table gives an empty result.
     """
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(docs.sparkSession, 1000), scope(docs.sparkSession) as own:
         sets = _with_set_id(shingle_table(docs, id_col, text_col, width, label))
         firsts = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"))
         copies = stage(sets.where("n > 0").select("row").join(firsts, "row", "left_anti"), f"{label}-copies")
         distinct = sets.where("n > 0").join(_small(copies), "row", "left_anti")
         links = _links(distinct, percent, label, block)
         classes = sets.select("k", "n", "sid").join(links.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid")).select("k", "n", "class")
-        classes = stage(classes, f"{label}-classes")
-        least = stage(classes.where("class is not null").groupBy("class").agg(F.min("k").alias("least")), f"{label}-least")
+        classes = own.keep(stage(classes, f"{label}-classes"))
+        least = own.keep(stage(classes.where("class is not null").groupBy("class").agg(F.min("k").alias("least")), f"{label}-least"))
     out = classes.join(least, "class", "left")
     return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
