@@ -16,7 +16,7 @@ from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.language_id import UNKNOWN, floors, held_out, learn, length_class, predict
 from quarry.llm.mixing import mix
 from quarry.llm.secret_scan import redact
-from quarry.plans.staging import stage
+from quarry.plans.staging import drop, stage
 
 #: Documents whose best cosine is below this are in no learned language, whatever the
 #: floor of their length.
@@ -125,10 +125,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each staged in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each staged in the shared folder for the next; of two that follow each
+    other, the first is dropped once the second is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs, f"pipeline-{i}")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
