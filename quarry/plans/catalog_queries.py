@@ -292,6 +292,17 @@ def impact_report(spark, d):
     return traverse.impact_report(spark, fk_nodes(spark, d), fk_edges(spark, d), ROOT)
 
 
+@query(f"""{WITH}, l AS (SELECT DISTINCT dst_name AS symbol, src_name AS caller FROM e), p2 AS (SELECT DISTINCT l.symbol, m.caller FROM l JOIN l m ON m.symbol = l.caller),
+p3 AS (SELECT DISTINCT p2.symbol, m.caller FROM p2 JOIN l m ON m.symbol = p2.caller), p AS (SELECT * FROM l UNION SELECT * FROM p2 UNION SELECT * FROM p3)
+SELECT symbol, count(*) FILTER (WHERE caller <> symbol) AS dependents, true AS estimate_is_near FROM p GROUP BY symbol""")
+def dependents_of_all(spark, d):
+    """Every symbol's dependents, exact, and whether the sketches' estimate is within a twentieth."""
+    edges = fk_edges(spark, d)
+    exact, estimated = traverse.dependents_of_all(edges), traverse.estimated_dependents(edges).withColumnRenamed("dependents", "estimate")
+    near = F.abs(F.col("estimate") - F.col("dependents")) <= F.greatest(F.col("dependents") * 0.05, F.lit(1))
+    return exact.join(estimated, "symbol", "left").select("symbol", "dependents", F.coalesce(near, F.lit(False)).alias("estimate_is_near"))
+
+
 _TESTS_HIT = "SELECT DISTINCT 'tests/' || s_suppkey AS path FROM supplier WHERE 'nation:' || s_nationkey IN (SELECT caller FROM rep WHERE rn = 1)"
 
 
@@ -621,6 +632,19 @@ def py_imports(spark, d):
     return found.select("file_path", "line", "code", "message", "severity")
 
 
+@query(for_each([(f"{KEY}/lint.py", *r) for r in code.LINT_ROWS], "file_path VARCHAR, line INTEGER, column INTEGER, code VARCHAR, severity VARCHAR"))
+def py_lint(spark, d):
+    found = validation.issue_rows(validation.lint(files_of_pages(spark, d, {f"{KEY}/lint.py": code.LINTED})))
+    return found.select("file_path", "line", "column", "code", "severity")
+
+
+@query("SELECT (SELECT count(*) = 0 FROM orders) AS graph_empty, true AS nothing_empty")
+def graph_empty(spark, d):
+    nodes = fk_nodes(spark, d)
+    found = [graph.is_empty(nodes.where("file_path = 'orders'")), graph.is_empty(nodes.where("file_path = 'none'"))]
+    return table(spark, d, "region").agg(F.lit(found[0]).alias("graph_empty"), F.lit(found[1]).alias("nothing_empty"))
+
+
 @query(for_each(in_folder((KEY,), [*code.REPORT_ROWS, ("web.ts", "warn", True, "0 error(s), 3 warning(s)")]), "file_path VARCHAR, status VARCHAR, can_write BOOLEAN, summary VARCHAR"))
 def code_reports(spark, d):
     return validation.validate(files_of_pages(spark, d, _CODE)).drop("results")

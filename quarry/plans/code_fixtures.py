@@ -374,3 +374,13 @@ REPORT_ROWS = [
     ("bad.py", "fail", False, "1 error(s), 1 warning(s)"),
     ("lost.py", "warn", True, "0 error(s), 1 warning(s)"),
 ]
+
+LINTED = "import os\nimport sys as system\nfrom a import b, c\nc()\ntry:\n    x = 1\nexcept:\n    x == None\n" + "y = '" + "z" * 130 + "'\n"
+LINT_ROWS = [
+    (1, 1, "F401", "warning"),
+    (2, 1, "F401", "warning"),
+    (3, 1, "F401", "warning"),
+    (7, 1, "E722", "warning"),
+    (8, 5, "E711", "warning"),
+    (9, 121, "E501", "warning"),
+]

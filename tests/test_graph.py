@@ -203,3 +203,22 @@ def test_description(spark):
     cases = {"---\ndescription: \"Quoted text\"\n": "Quoted text", "# Title here\nmore": "Title here", "# no line end": "", "": "", "x\n" * 30 + "description: late\n# H\n": "H", "description: " + "y" * 200 + "\n": "y" * 120}
     df = spark.createDataFrame([(c,) for c in cases], "c string")
     assert [r[0] for r in df.select(text.description(F.col("c"))).collect()] == list(cases.values())
+
+
+def test_dependents_of_all_symbols(spark):
+    rng = random.Random(4)
+    pairs = {(f"s{rng.randrange(60)}", f"s{rng.randrange(60)}") for _ in range(90)} | {("loop", "loop"), *((f"c{i}", "hub") for i in range(3000))}
+    columns = "src_file string, src_name string, src_type string, src_line int, dst_file string, dst_name string, dst_type string, dst_line int, edge_type string, call_line int"
+    edges = spark.createDataFrame([("f", a, "function", 1, "f", b, "function", 1, "calls", 1) for a, b in pairs], columns)
+    callers = {b: {a for a, c in pairs if c == b} for _, b in pairs}
+    want = {}
+    for symbol in callers:
+        reached, level = set(), {symbol}
+        for _ in range(3):
+            level = {a for b in level for a in callers.get(b, ())}
+            reached |= level
+        want[symbol] = len(reached - {symbol})
+    assert {r.symbol: r.dependents for r in traverse.dependents_of_all(edges).collect()} == want
+    near = {r.symbol: r.dependents for r in traverse.estimated_dependents(edges).collect()}
+    assert near.keys() == want.keys() and all(abs(near[s] - n) <= max(1, 0.05 * n) for s, n in want.items())
+    assert traverse.estimated_dependents(edges.limit(0)).count() == 0
