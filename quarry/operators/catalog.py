@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
 
+#: Items up to a page's end that are simply sorted, and rows and ranges of the sample beyond.
+TOP, SAMPLE, RANGES = 10_000, 20_000, 64
 LISTING = "array<struct<name:string,type:string,html_url:string,size:bigint,path:string,download_url:string>>"
 
 
@@ -27,14 +30,43 @@ def search(items: DataFrame, query: str = "") -> DataFrame:
     return items.where(F.lower("name").contains(query)) if query else items
 
 
+def _ranges(items: DataFrame, order: list[str]) -> tuple[list[Row], list[int]]:
+    """Bounds that cut the order into ranges, from a sample, and how many items each range has."""
+    few = min(1.0, SAMPLE / max(1, items.count()))
+    sampled = items.select(*order).sample(few, 17).orderBy(*order).collect()
+    step = max(1, len(sampled) // RANGES)
+    bounds = list(dict.fromkeys(sampled[step::step]))
+    listed = F.array(*(_value(items, order, b) for b in bounds)) if bounds else None
+    at = F.size(F.filter(listed, lambda b: b <= F.struct(*order))) if bounds else F.lit(0)
+    counted = {r[0]: r[1] for r in items.groupBy(at.alias("at")).count().collect()}
+    return bounds, [counted.get(i, 0) for i in range(len(bounds) + 1)]
+
+
+def _value(items: DataFrame, order: list[str], row: Row) -> Column:
+    """A row of the order's columns as a constant."""
+    return F.from_json(F.lit(json.dumps(row.asDict(True), default=str)), items.select(*order).schema)
+
+
 def page(items: DataFrame, order: list[str], limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of the catalog order, then sorted by name within the page, with
     ``total`` and ``more`` (whether items follow). Limit 200 at most, offset 0 at least.
-    Only the items up to the page's end are ranked on one task."""
+
+    A page near the start is a top-k. One further on is found by counts of ranges of the order
+    (numbers, texts, or structs of these): only the ranges that hold it are sorted."""
     limit, offset = min(limit, 200), max(offset, 0)
-    total = items.agg(F.count("*").alias("total"))
-    head = items.orderBy(*order).limit(offset + limit)
-    numbered = head.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") > offset).drop("_rn")
+    total, skip, held = items.agg(F.count("*").alias("total")), offset, items
+    if offset + limit > TOP:
+        bounds, counts = _ranges(items, order)
+        upto = list(accumulate(counts))
+        first = next((i for i, n in enumerate(upto) if n > offset), len(bounds))
+        last = next((i for i, n in enumerate(upto) if n >= offset + limit), len(bounds))
+        skip = offset - (upto[first] - counts[first])
+        if first:
+            held = held.where(F.struct(*order) >= _value(items, order, bounds[first - 1]))
+        if last < len(bounds):
+            held = held.where(F.struct(*order) < _value(items, order, bounds[last]))
+    head = held.orderBy(*order).limit(skip + limit)
+    numbered = head.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") > skip).drop("_rn")
     return numbered.join(F.broadcast(total)).withColumn("more", F.col("total") > offset + limit).orderBy("name")
 
 
@@ -63,9 +95,3 @@ def skill_detail(listings: DataFrame) -> DataFrame:
 
 def totals(installed_skills: DataFrame) -> DataFrame:
     return installed_skills.agg(F.count("*").alias("skills"), F.coalesce(F.sum("file_count"), F.lit(0)).alias("files"), F.coalesce(F.sum("total_size"), F.lit(0)).alias("bytes"))
-
-
-def listings_of(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
-    """(source, listing, source_rank) from (name, path of a JSON snapshot)."""
-    one = lambda i, name, path: spark.read.text(path, wholetext=True).select(F.lit(name).alias("source"), F.col("value").alias("listing"), F.lit(i).alias("source_rank"))
-    return reduce(DataFrame.unionByName, [one(i, name, path) for i, (name, path) in enumerate(sources)])

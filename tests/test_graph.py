@@ -222,3 +222,23 @@ def test_dependents_of_all_symbols(spark):
     near = {r.symbol: r.dependents for r in traverse.estimated_dependents(edges).collect()}
     assert near.keys() == want.keys() and all(abs(near[s] - n) <= max(1, 0.05 * n) for s, n in want.items())
     assert traverse.estimated_dependents(edges.limit(0)).count() == 0
+
+
+def test_pages_far_on_are_read_by_ranges(spark, monkeypatch):
+    from quarry.operators import catalog
+
+    rng = random.Random(6)
+    rows = [(f"n{rng.randrange(400)}", rng.choice([None, 1, 2]), i) for i in range(900)]
+    items = spark.createDataFrame(rows, "name string, rank int, ordinal long").withColumn("place", F.struct("rank", "ordinal")).repartition(5)
+    for bound, value in (("TOP", 20), ("SAMPLE", 300), ("RANGES", 8)):
+        monkeypatch.setattr(catalog, bound, value)
+    for order, key in ((["name", "ordinal"], lambda r: (r[0], r[2])), (["place"], lambda r: (r[1] is not None, r[1] or 0, r[2]))):
+        ordered = sorted(rows, key=key)
+        for offset in (0, 15, 100, 437, 880, 899, 5000):
+            got = catalog.page(items, order, 30, offset).collect()
+            assert sorted((r.name, r.ordinal) for r in got) == sorted((r[0], r[2]) for r in ordered[offset : offset + 30]), (order, offset)
+            assert all(r.total == 900 and r.more == (offset + 30 < 900) for r in got)
+    bounds, counts = catalog._ranges(items, ["name", "ordinal"])
+    assert len(bounds) >= 7 and sum(counts) == 900 and max(counts) < 300
+    same = items.withColumn("name", F.lit("x")).withColumn("ordinal", F.lit(1).cast("long"))
+    assert len(catalog.page(same, ["name", "ordinal"], 30, 500).collect()) == 30 and catalog.page(items.limit(0), ["name"], 30, 500).count() == 0
