@@ -32,7 +32,7 @@ if __name__ == "__main__":
 
 from jobs.config import read_config  # noqa: E402
 from quarry.operators.graph import changed_files  # noqa: E402
-from quarry.plans.staging import stage  # noqa: E402
+from quarry.plans.staging import scope, stage  # noqa: E402
 from quarry.sources.folders import read_or_empty  # noqa: E402
 
 LOG = logging.getLogger("jobs.reference_index")
@@ -79,7 +79,11 @@ def refresh(spark: SparkSession, files_path: str, output: str, config: dict | No
     Rows of one path are parts of one file. Null texts are empty files. Other columns are
     ignored, whatever their names. Files that left the table leave the index. An empty table
     empties it."""
-    config = DEFAULTS | (config or {})
+    with scope(spark):
+        return _refresh(spark, files_path, output, DEFAULTS | (config or {}))
+
+
+def _refresh(spark: SparkSession, files_path: str, output: str, config: dict) -> dict[str, int]:
     files = files_of(spark.read.parquet(files_path), config)
     hashed = files.groupBy("file_path").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("content", 256))), ","), 256).alias("sha256"))
     known = stage(latest(spark, output), "index-known")
