@@ -326,7 +326,7 @@ def _candidates(distinct: DataFrame, percent: int, label: str) -> DataFrame:
         release_memory()
 
     signed = distinct.select("sid", "n", "shingles").mapInArrow(sign, "sid long, n long, bits binary")
-    small = tiles.select("token", "sid").join(one.where(F.col("c") <= TILE).select("token"), "token", "left_semi").join(signed, "sid")
+    small = signed.join(_small(tiles.select("token", "sid").join(one.where(F.col("c") <= TILE).select("token"), "token", "left_semi")), "sid")
     edges = _bounded(small.withColumn("mark", F.col("sid")), ["token"], percent)
     large = one.where(F.col("c") > TILE)
     if large.isEmpty():
