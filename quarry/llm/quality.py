@@ -10,12 +10,11 @@ is laid, and the fence is where it expects one document among ``RARE`` times the
 
     fence = q90 + (q90 - q75) / ln(2.5) * ln(0.1 * RARE * n)
 
-(word length has a lower fence as well, from ``q25`` and ``q10``). A text beyond the fence
-fails if chance can't explain it: the fence is widened to the score interval of ``Z``
-standard errors of a rate that is counted on as many units (words, lines, characters) as
-the text has, or as the group's median text has, if that is fewer. So short texts have
-more room, and a group whose texts all agree (``q75 = q90``) allows what its median text
-couldn't tell from that value.
+(word length has a lower fence as well, from ``q25`` and ``q10``). The fence of a share is at
+least that of the smallest occurrence (one symbol, one repeated line, one window of three words
+found twice) in the group's median text, as a group can't tell rates below that apart. A text beyond the fence fails if chance can't explain it: the fence is
+widened to the score interval of ``Z`` standard errors of a rate that is counted on as many
+units as the text has. So short texts have more room, and long ones little.
 
 Groups of fewer than ``LEAST`` documents use the merged sketch of their language, and
 languages of fewer than that the merged sketch of all. Thresholds are joined back to
@@ -41,8 +40,8 @@ RARE = 10
 Z = 3
 #: Highest bits of a value that its bucket keeps, and units of a measure's values.
 BITS, UNIT = 7, 1 << 16
-#: Per measure: what is counted, on how many units, and whether it is a share of them.
-MEASURES = {"symbol_share": ("n_symbols", "word_chars", True), "dup_line_share": ("n_dup_lines", "n_lines", True), "repeat_share": ("n_repeat_words", "n_words", True), "word_length": ("word_chars", "n_words", False)}
+#: Per measure: what is counted, on how many units, and the smallest occurrence if it is a share of them.
+MEASURES = {"symbol_share": ("n_symbols", "word_chars", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 0)}
 UNITS = ("word_chars", "n_lines", "n_words")
 #: Most language and source groups whose thresholds are broadcast (about 60 MB).
 BROADCAST_GROUPS = 500_000
@@ -127,11 +126,12 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return both.groupBy("lang", "source").agg(*ends, *(F.max(F.when(F.col("measure") == u, F.col("q.q50"))).alias(f"{u}_median") for u in UNITS))
 
 
-def _allowed(fence: Column, units: Column, share: bool, sign: int) -> Column:
-    """The end of the score interval of ``Z`` standard errors around a rate."""
+def _allowed(fence: Column, units: Column, median: Column, smallest: int, sign: int) -> Column:
+    """The end of the score interval of ``Z`` standard errors around a rate; a share is the
+    ``smallest`` occurrence in the median text at least."""
     z2 = float(Z * Z)
-    if share:
-        p = F.least(F.greatest(fence, F.lit(0.0)), F.lit(1.0))
+    if smallest:
+        p = F.least(F.greatest(fence, F.lit(float(smallest)) / median), F.lit(1.0))
         return (p + z2 / (2 * units) + sign * Z * F.sqrt(p * (1 - p) / units + z2 / (4 * units * units))) / (1 + z2 / units)
     p = F.greatest(fence, F.lit(0.0))
     return p + z2 / (2 * units) + sign * Z * F.sqrt(p / units + z2 / (4 * units * units))
@@ -155,12 +155,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     fences = F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences
     joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     rule = F.lit(None).cast("string")
-    for m, (count, base, share) in reversed(MEASURES.items()):
-        units = F.least(F.col(base), F.col(f"{base}_median")).cast("double")
+    for m, (count, base, smallest) in reversed(MEASURES.items()):
+        units, median = F.col(base).cast("double"), F.col(f"{base}_median")
         rate = F.col(count) / F.col(base)
-        beyond = rate > _allowed(F.col(f"{m}_high"), units, share, 1)
-        if not share:
-            beyond = beyond | (rate < _allowed(F.col(f"{m}_low"), units, share, -1))
+        beyond = rate > _allowed(F.col(f"{m}_high"), units, median, smallest, 1)
+        if not smallest:
+            beyond = beyond | (rate < _allowed(F.col(f"{m}_low"), units, median, smallest, -1))
         rule = F.when(beyond, F.lit(m)).otherwise(rule)
     out = joined.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(rule))
     return out.select(F.col("k").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")
@@ -193,8 +193,8 @@ f AS (SELECT lang, source, m, q.q[3] AS median, (q.q[1] - (q.q[2] - q.q[1]) * (l
 p AS (SELECT lang, source, max(high) FILTER (WHERE m = 'symbol_share') AS a, max(high) FILTER (WHERE m = 'dup_line_share') AS c, max(high) FILTER (WHERE m = 'repeat_share') AS d,
     max(high) FILTER (WHERE m = 'word_length') AS e, min(low) FILTER (WHERE m = 'word_length') AS e0,
     max(median) FILTER (WHERE m = 'word_chars') AS ua, max(median) FILTER (WHERE m = 'n_lines') AS uc, max(median) FILTER (WHERE m = 'n_words') AS ud FROM f GROUP BY lang, source),
-j0 AS (SELECT b.*, least(greatest(a, 0.0), 1.0) AS a, least(greatest(c, 0.0), 1.0) AS c, least(greatest(d, 0.0), 1.0) AS d, greatest(e, 0.0) AS e, greatest(e0, 0.0) AS e0,
-    least(word_chars, ua)::DOUBLE AS ua, least(n_lines, uc)::DOUBLE AS uc, least(n_words, ud)::DOUBLE AS ud
+j0 AS (SELECT b.*, least(greatest(a, 1.0::DOUBLE / ua), 1.0) AS a, least(greatest(c, 1.0::DOUBLE / uc), 1.0) AS c, least(greatest(d, 6.0::DOUBLE / ud), 1.0) AS d, greatest(e, 0.0) AS e, greatest(e0, 0.0) AS e0,
+    word_chars::DOUBLE AS ua, n_lines::DOUBLE AS uc, n_words::DOUBLE AS ud
   FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source),
 j AS (SELECT *, CASE WHEN base_failed THEN 'base'
     WHEN n_symbols / word_chars > (a + 9 / (2 * ua) + 3 * sqrt(a * (1 - a) / ua + 9 / (4 * ua * ua))) / (1 + 9 / ua) THEN 'symbol_share'

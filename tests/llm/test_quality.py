@@ -51,6 +51,23 @@ def test_group_of_equal_values_allows_what_chance_explains(docs):
     assert got[500] is None and got[501] is None and got[502] == "symbol_share"
 
 
+def test_long_texts_have_no_more_room_than_their_length_gives(docs):
+    """Long texts among texts of median length without one repeat: each rule rejects the bad ones, and
+    a long clean text with a few repeats stays, as does a short one."""
+    rng = random.Random(11)
+    usual = [(i, text(rng, 150, per_line=25), "en", "a") for i in range(300)]
+    lines = [x for one in text(rng, 3000, per_line=6).split("\n") for x in (one, "right")]
+    clean = text(rng, 4000, per_line=25).split("\n")
+    planted = {
+        500: "\n".join(lines), 501: text(rng, 4000, repeats=0.9, per_line=25), 502: text(rng, 4000, symbols=0.1, per_line=25), 503: text(rng, 4000, length=8, per_line=25),
+        510: "\n".join([*clean, clean[3]]), 511: text(rng, 4000, per_line=25), 512: text(rng, 60, per_line=20) + "\nsee above\nsee above",
+    }
+    got = {r.doc_id: r for r in quality.quality(docs([*usual, *((i, t, "en", "a") for i, t in planted.items())])).collect()}
+    assert got[500].n_dup_lines == 499 and got[500].failed_rule == "dup_line_share"
+    assert [got[i].failed_rule for i in (501, 502, 503)] == ["repeat_share", "symbol_share", "word_length"]
+    assert [got[i].failed_rule for i in (510, 511, 512)] == [None] * 3 and sum(got[i].kept for i in range(300)) >= 299
+
+
 def test_short_lower_words_and_small_groups(docs):
     rng = random.Random(6)
     rows = [(i, text(rng, 200, length=6), "en", "a") for i in range(250)]
