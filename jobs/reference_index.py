@@ -22,6 +22,8 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +55,37 @@ def files_of(table: DataFrame, config: dict) -> DataFrame:
 
 
 def mentions(files: DataFrame, least_length: int = 3) -> DataFrame:
-    """(file_path, name, mentions, first_line) of every name in every line."""
-    lines = files.select("file_path", F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
-    names = lines.select("file_path", (F.col("at") + 1).alias("at"), F.explode(F.regexp_extract_all("line", F.lit(NAME), F.lit(0))).alias("name"))
-    long = names.where(F.length("name") >= least_length)
-    return long.groupBy("file_path", "name").agg(F.count("*").alias("mentions"), F.min("at").alias("first_line"))
+    """(file_path, name, mentions, first_line) of every name in every line, for each row by itself: its names
+    are sorted, so that equal ones stand together, and nothing is shuffled."""
+    once = lambda x, use: F.get(F.transform(F.array(x), use), 0)  # noqa: E731  ``use`` of a value that is worked out once
+    long = lambda line: F.filter(F.regexp_extract_all(line, F.lit(NAME), F.lit(0)), lambda n: F.length(n) >= least_length)
+    placed = F.flatten(F.transform(F.split("content", "\n", -1), lambda line, at: F.transform(long(line), lambda n: F.struct(n.alias("name"), (at + 1).alias("at")))))
+    starts = lambda names: F.filter(F.transform(names, lambda _, i: i), lambda i: (i == 0) | (F.get(names, i)["name"] != F.get(names, i - 1)["name"]))
+    run = lambda names, at: lambda start, j: F.struct(F.get(names, start)["name"].alias("name"), (F.coalesce(F.get(at, j + 1), F.size(names)) - start).cast("long").alias("mentions"), F.get(names, start)["at"].alias("first_line"))
+    counted = once(F.sort_array(placed), lambda names: once(starts(names), lambda at: F.transform(at, run(names, at))))
+    return files.select("file_path", F.inline(counted))
+
+
+def summed(counted: DataFrame) -> DataFrame:
+    """The ``mentions`` of each file's rows as one row for each name."""
+    return counted.groupBy("file_path", "name").agg(F.sum("mentions").alias("mentions"), F.min("first_line").alias("first_line"))
+
+
+def _few(paths: DataFrame) -> DataFrame:
+    """For the narrow side of a join: broadcast if its counted rows are few enough."""
+    return F.broadcast(paths) if paths.count() <= BROADCAST_FILES else paths
+
+
+@contextmanager
+def _writers(spark: SparkSession, n: int) -> Iterator[None]:
+    """A task that writes to ``n`` folders keeps a file of each open, rather than sort its rows by folder."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def latest(spark: SparkSession, output: str) -> DataFrame:
@@ -67,10 +95,15 @@ def latest(spark: SparkSession, output: str) -> DataFrame:
 
 
 def current(spark: SparkSession, output: str) -> DataFrame:
-    """(file_path, name, mentions, first_line): the index as it stands."""
-    live = latest(spark, output).where("hash is not null").select("file_path", "run")
-    rows = read_or_empty(spark, f"{output}/index", f"{INDEX}, run int")
-    return rows.join(live, ["file_path", "run"], "left_semi").select("file_path", "name", "mentions", "first_line")
+    """(file_path, name, mentions, first_line): the index as it stands.
+
+    Which files' rows are out of date is found from their paths alone, so that the rows are only
+    filtered while such files are few."""
+    with scope(spark) as own:
+        live = latest(spark, output).where("hash is not null").select("file_path", "run")
+        rows = read_or_empty(spark, f"{output}/index", f"{INDEX}, run int")
+        stale = own.keep(stage(rows.select("file_path", "run").distinct().join(live, ["file_path", "run"], "left_anti"), "index-stale"))
+    return rows.join(_few(stale), ["file_path", "run"], "left_anti").select("file_path", "name", "mentions", "first_line")
 
 
 def refresh(spark: SparkSession, files_path: str, output: str, config: dict | None = None) -> dict[str, int]:
@@ -85,7 +118,7 @@ def refresh(spark: SparkSession, files_path: str, output: str, config: dict | No
 
 def _refresh(spark: SparkSession, files_path: str, output: str, config: dict) -> dict[str, int]:
     files = files_of(spark.read.parquet(files_path), config)
-    hashed = files.groupBy("file_path").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("content", 256))), ","), 256).alias("sha256"))
+    hashed = files.groupBy("file_path").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("content", 256))), ","), 256).alias("sha256"), F.count("*").alias("rows"))
     known = stage(latest(spark, output), "index-known")
     now = stage(hashed, "index-files")
     fresh = changed_files(now, known).where("not cached").select("file_path")
@@ -100,9 +133,15 @@ def _refresh(spark: SparkSession, files_path: str, output: str, config: dict) ->
     wanted = marks.where("hash is not null").select("file_path")
     if n["changed"] < n["files"]:
         files = files.join(F.broadcast(wanted) if n["changed"] <= BROADCAST_FILES else wanted, "file_path", "left_semi")
-    found = mentions(files if n["changed"] else files.limit(0), config["least_length"])
+    files, several = files if n["changed"] else files.limit(0), now.where("rows > 1").select("file_path")
+    if several.isEmpty():
+        found = mentions(files, config["least_length"])
+    else:
+        few = _few(several)
+        found = mentions(files.join(few, "file_path", "left_anti"), config["least_length"]).unionByName(summed(mentions(files.join(few, "file_path", "left_semi"), config["least_length"])))
     parted = found.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(config["parts"])).cast("int"))
-    parted.write.mode("overwrite").partitionBy("part").parquet(f"{output}/index/run={run}")
+    with _writers(spark, config["parts"]):
+        parted.write.mode("overwrite").partitionBy("part").parquet(f"{output}/index/run={run}")
     n["rows"] = spark.read.schema(INDEX).parquet(f"{output}/index/run={run}").count()
     marks.write.mode("overwrite").parquet(f"{output}/manifest/run={run}")
     LOG.info("wrote run %d to %s: %d rows of the index, %d of the manifest", run, output, n["rows"], n["changed"] + n["gone"])

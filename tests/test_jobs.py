@@ -79,6 +79,20 @@ def test_index_of_nothing(spark, tmp_path):
     assert reference_index.refresh(spark, files, out)["gone"] == 1 and reference_index.current(spark, out).count() == 0
 
 
+def test_index_rows_are_not_shuffled(spark, tmp_path):
+    rows = [(1, "aaa bbb aaa\nbbb ccc aaa\n\naaa", "s"), (2, "", "s"), (3, "xx yy", "s"), (4, "ddd\neee ddd", "s"), (4, "eee\nddd", "s")]
+    files = reference_index.files_of(spark.createDataFrame([(*r, "clash") for r in rows], DOCS), reference_index.DEFAULTS)
+    found = reference_index.mentions(files.where("file_path <> 's/4'"))
+    assert sorted(map(tuple, found.collect())) == plain_index(rows[:3]) and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    put_docs(spark, f"{tmp_path}/docs", rows)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    reference_index.refresh(spark, f"{tmp_path}/docs", f"{tmp_path}/index")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    now = reference_index.current(spark, f"{tmp_path}/index")
+    assert sorted(map(tuple, now.collect())) == plain_index(rows)
+    assert "hashpartitioning" not in now._jdf.queryExecution().executedPlan().toString()
+
+
 def add_events(spark, path, rows):
     spark.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], EVENTS).coalesce(1).write.mode("append").parquet(path)
 
