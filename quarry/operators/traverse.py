@@ -31,17 +31,26 @@ def transitive_dependents(edges: DataFrame, symbol: str, max_depth: int = 3) ->
     spark = edges.sparkSession
     links = calls(edges).select("dst_name", F.col("src_name").alias("caller"), F.col("src_file").alias("caller_file"), F.col("src_type").alias("caller_type"), F.col("src_line").alias("caller_line"), "call_line")
     frontier = spark.range(1).select(F.lit(symbol).alias("dst_name"))
-    size, visited, levels = 1, frontier.withColumnRenamed("dst_name", "caller"), []
+    size, visited, levels, called = 1, frontier.withColumnRenamed("dst_name", "caller"), [], None
     for depth in range(1, max_depth + 1):
         side = F.broadcast(frontier) if size <= BROADCAST_NAMES else frontier
-        reached = links.join(side, "dst_name").drop("dst_name").join(visited, "caller", "left_anti")
-        one = reached.groupBy("caller").agg(F.min(F.struct("caller_file", "caller_line", "call_line", "caller_type")).alias("r"))
+        reached = links.join(side, "dst_name").drop("dst_name")
+        # the least call line of each caller first (a missing one is the least), by a hash aggregate ahead of any shuffle
+        least = F.when(~F.max(F.col("call_line").isNull()), F.min("call_line"))
+        reached = reached.groupBy("caller", "caller_file", "caller_type", "caller_line").agg(least.alias("call_line"))
+        one = reached.groupBy("caller").agg(F.min(F.struct("caller_file", "caller_line", "call_line", "caller_type")).alias("r")).join(visited, "caller", "left_anti")
         level = stage(one.select("caller", "r.caller_file", "r.caller_type", "r.caller_line", "r.call_line", F.lit(depth).alias("depth")), f"level{depth}")
         size = level.count()
         if not size:
             break
         levels.append(level)
         frontier = level.select(F.col("caller").alias("dst_name"))
+        if size > BROADCAST_NAMES and depth < max_depth:  # few of many names are called, and only those lead on
+            called = stage(links.select("dst_name").distinct(), "called") if called is None else called
+            frontier = stage(frontier.join(called, "dst_name", "left_semi"), f"frontier{depth}")
+            size = frontier.count()
+            if not size:
+                break
         visited = visited.unionByName(level.select("caller"))
     return reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], CALLER)
 

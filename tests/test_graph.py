@@ -224,6 +224,20 @@ def test_dependents_of_all_symbols(spark):
     assert traverse.estimated_dependents(edges.limit(0)).count() == 0
 
 
+def test_search_ends_where_nothing_calls(spark, monkeypatch):
+    columns = "src_file string, src_name string, src_type string, src_line int, dst_file string, dst_name string, dst_type string, dst_line int, edge_type string, call_line int"
+    rows = [("f", f"s{i}", "function", i, "f", f"s{i // 2}", "function", 1, "calls", None if i == 5 and k else 9 - k) for i in range(1, 16) for k in range(2)]
+    rows += [("e", "s9", "class", 3, "f", "s4", "function", 1, "calls", 7), ("f", "s1", "function", 1, "f", "s15", "function", 1, "calls", 2)]
+    edges, staged = spark.createDataFrame(rows, columns), []
+    keep = traverse.stage
+    monkeypatch.setattr(traverse, "stage", lambda df, label: staged.append(label) or keep(df, label))
+    monkeypatch.setattr(traverse, "BROADCAST_NAMES", 0)
+    found = {r.caller: (r.depth, r.caller_file, r.caller_line, r.call_line) for r in traverse.transitive_dependents(edges, "s2", 9).collect()}
+    line = {5: None, 9: 7}
+    assert found == {f"s{i}": (d, "e" if i == 9 else "f", 3 if i == 9 else i, line.get(i, 8)) for d, of in ((1, (4, 5)), (2, (8, 9, 10, 11))) for i in of}
+    assert [x for x in staged if x.startswith("level")] == ["level1", "level2"]
+
+
 def test_pages_far_on_are_read_by_ranges(spark, monkeypatch):
     from quarry.operators import catalog
 
