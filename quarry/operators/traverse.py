@@ -68,33 +68,59 @@ def impact(nodes: DataFrame, edges: DataFrame, symbol: str, change_type: str = "
     return exact_round(out, "impact_ratio")
 
 
-def dependents_of_all(edges: DataFrame, max_depth: int = COUNT_DEPTH) -> DataFrame:
-    """(symbol, dependents) for every called symbol: how many names reach it in so many calls.
-
-    Exact: the pairs (symbol, dependent) of all levels are made, which is for graphs whose
-    neighbourhoods are small. A symbol isn't its own dependent; a cycle alone gives 0."""
+def distinct_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (symbol, caller): every call once, and of these the calls whose caller is called itself. Only the
+    latter lead from level to level, however many callers there are that nothing calls."""
     links = stage(calls(edges).select(F.col("dst_name").alias("symbol"), F.col("src_name").alias("caller")).distinct(), "links")
-    pairs = level = links
-    for depth in range(2, max_depth + 1):
-        step = links.select(F.col("symbol").alias("caller"), F.col("caller").alias("next"))
-        level = stage(level.join(step, "caller").select("symbol", F.col("next").alias("caller")).distinct(), f"pairs{depth}")
-        pairs = pairs.unionByName(level)
-    return pairs.distinct().groupBy("symbol").agg(F.count_if(F.col("caller") != F.col("symbol")).alias("dependents"))
+    both = stage(links.select("caller").distinct().join(links.select(F.col("symbol").alias("caller")).distinct(), "caller", "left_semi"), "called-callers")
+    return links, stage(links.join(_few(both), "caller", "left_semi"), "inner-links")
+
 
+def _few(names: DataFrame) -> DataFrame:
+    """For the narrow side of a join: broadcast if its counted rows are few enough."""
+    return F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
 
-def estimated_dependents(edges: DataFrame, max_depth: int = COUNT_DEPTH, lg_registers: int = 14) -> DataFrame:
+
+def dependents_of_all(edges: DataFrame, max_depth: int = COUNT_DEPTH, links: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(symbol, dependents) for every called symbol: how many names reach it in so many calls.
+
+    Exact: the pairs (symbol, dependent) of all levels are made, which is for graphs whose
+    neighbourhoods are small. Pairs of symbols whose callers nothing calls are their calls. A symbol isn't its own
+    dependent; a cycle alone gives 0. ``links``: what ``distinct_links`` gives."""
+    every, inner = links or distinct_links(edges)
+    count = F.count_if(F.col("caller") != F.col("symbol")).alias("dependents")
+    reach = inner
+    for depth in range(3, max_depth + 1):
+        step = reach.select("symbol", F.col("caller").alias("next"))
+        reach = stage(inner.unionByName(inner.withColumnRenamed("symbol", "next").join(step, "next").select("symbol", "caller")).distinct(), f"reach{depth}")
+    if max_depth < 2:
+        return every.groupBy("symbol").agg(count)
+    reached = reach.select("symbol", F.col("caller").alias("next"))
+    far = every.withColumnRenamed("symbol", "next").join(_few(reached), "next").select("symbol", "caller")
+    hubs = _few(stage(inner.select("symbol").distinct(), "hubs"))
+    near = every.join(hubs, "symbol", "left_semi").unionByName(far).distinct().groupBy("symbol").agg(count)
+    return near.unionByName(every.join(hubs, "symbol", "left_anti").groupBy("symbol").agg(count))
+
+
+def estimated_dependents(edges: DataFrame, max_depth: int = COUNT_DEPTH, lg_registers: int = 14, links: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(symbol, dependents) for every called symbol, within a few hundredths of ``dependents_of_all``.
 
     One HyperLogLog sketch per symbol stands for the names that reach it. Each level merges the
     sketches of a symbol's callers into its own, map-side first: a join and an aggregate for
-    all symbols at once, whose rows don't grow with what the sketches hold. The standard
+    all symbols at once that have a called caller, whose rows don't grow with what the sketches hold. The standard
     error is about 1.04 / sqrt(2 ** lg_registers), 0.8 % by default. A symbol that calls itself through others counts itself."""
-    links = stage(calls(edges).select(F.col("dst_name").alias("symbol"), F.col("src_name").alias("caller")).distinct(), "links")
-    direct = links.groupBy("symbol").agg(F.hll_sketch_agg("caller", lg_registers).alias("sketch"))
-    reached = direct = stage(direct, "sketches1")
+    every, inner = links or distinct_links(edges)
+    direct = stage(every.groupBy("symbol").agg(F.hll_sketch_agg("caller", lg_registers).alias("sketch")), "sketches1")
+    hubs = _few(stage(inner.select("symbol").distinct(), "hubs"))
+    own = direct.join(hubs, "symbol", "left_semi")
+    callers = stage(direct.withColumnRenamed("symbol", "caller").join(_few(inner.select("caller").distinct()), "caller", "left_semi"), "sketches-callers")
+    merged = None
     for depth in range(2, max_depth + 1):
-        of_callers = links.join(reached.select(F.col("symbol").alias("caller"), "sketch"), "caller").select("symbol", "sketch")
-        reached = stage(direct.unionByName(of_callers).groupBy("symbol").agg(F.hll_union_agg("sketch").alias("sketch")), f"sketches{depth}")
+        if merged is not None:
+            callers = callers.join(hubs.withColumnRenamed("symbol", "caller"), "caller", "left_anti").unionByName(merged.withColumnRenamed("symbol", "caller"))
+        of_callers = inner.join(callers, "caller").select("symbol", "sketch")
+        merged = stage(own.unionByName(of_callers).groupBy("symbol").agg(F.hll_union_agg("sketch").alias("sketch")), f"sketches{depth}")
+    reached = direct if merged is None else direct.join(hubs, "symbol", "left_anti").unionByName(merged)
     return reached.select("symbol", F.hll_sketch_estimate("sketch").alias("dependents"))
 
 

@@ -238,6 +238,27 @@ def test_search_ends_where_nothing_calls(spark, monkeypatch):
     assert [x for x in staged if x.startswith("level")] == ["level1", "level2"]
 
 
+def test_dependents_of_all_by_called_callers(spark):
+    rng = random.Random(8)
+    pairs = {(f"s{rng.randrange(40)}", f"s{rng.randrange(40)}") for _ in range(70)} | {(f"leaf{i}", f"s{i % 7}") for i in range(200)} | {(f"leaf{i}", f"end{i % 9}") for i in range(200)} | {("x", "x")}
+    columns = "src_file string, src_name string, src_type string, src_line int, dst_file string, dst_name string, dst_type string, dst_line int, edge_type string, call_line int"
+    edges = spark.createDataFrame([("f", a, "function", 1, "f", b, "function", 1, "calls", 1) for a, b in pairs], columns)
+    callers = {b: {a for a, c in pairs if c == b} for _, b in pairs}
+    links = traverse.distinct_links(edges)
+    assert {(r.caller, r.symbol) for r in links[1].collect()} == {(a, b) for a, b in pairs if a in callers}
+    for depth in (1, 2, 4):
+        want = {}
+        for symbol in callers:
+            reached, level = set(), {symbol}
+            for _ in range(depth):
+                level = {a for b in level for a in callers.get(b, ())}
+                reached |= level
+            want[symbol] = reached
+        assert {r.symbol: r.dependents for r in traverse.dependents_of_all(edges, depth, links=links).collect()} == {s: len(x - {s}) for s, x in want.items()}
+        near = {r.symbol: r.dependents for r in traverse.estimated_dependents(edges, depth, links=links).collect()}
+        assert near.keys() == want.keys() and all(abs(near[s] - len(x)) <= max(1, 0.05 * len(x)) for s, x in want.items())
+
+
 def test_pages_far_on_are_read_by_ranges(spark, monkeypatch):
     from quarry.operators import catalog
 
