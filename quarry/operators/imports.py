@@ -98,7 +98,7 @@ def resolve_by_imports(nodes: DataFrame, raw: DataFrame, bindings: DataFrame, fi
     values (``x.f()`` with a variable ``x``) are such targets. Empty tables give no rows."""
     calls = raw.select(F.col("file_path").alias("src_file"), F.col("source").alias("src_name"), "target", "edge_type", F.col("line_number").alias("call_line"))
     source = nodes.groupBy("file_path", "symbol_name").agg(F.min(F.struct("line_number", "symbol_type")).alias("n")).select(F.col("file_path").alias("src_file"), F.col("symbol_name").alias("src_name"), F.col("n.symbol_type").alias("src_type"), F.col("n.line_number").alias("src_line"))
-    known = calls.join(source, ["src_file", "src_name"])
+    known = stage(calls.join(source, ["src_file", "src_name"]), "known")
     ends = lookup(known, nodes, located(bindings, modules(files)))
     out = known.join(ends, LOOKUP)
     return out.select("src_file", "src_name", "src_type", "src_line", "dst_file", "dst_name", "dst_type", "dst_line", "edge_type", "call_line")

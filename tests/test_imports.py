@@ -86,3 +86,12 @@ def test_a_stored_graph_follows_imports(spark, tmp_path):
     build_graph(spark, store, root, language="python", resolve_scope="imports")
     moved = [(a, b, c.replace("pkg/core", "aaa/core"), d, n) if n == 9 and b == "main" else (a, b, c, d, n) for a, b, c, d, n in want]
     assert calls() == sorted(moved) != sorted(want)
+
+
+def test_query_parses_every_file_once(spark, tmp_path):
+    from quarry.plans import catalog_queries
+
+    spark.createDataFrame([(i,) for i in range(3)], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
+    found = catalog_queries.QUERIES["edge_resolution_imports"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0 and "InPandas" not in plan and "ArrowPython" not in plan
